@@ -19,6 +19,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.substring_dedup import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm import bpe
 
@@ -72,8 +79,8 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = work_path(spark, "records")
     token_records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
-    found = token_records.read_records(spark, path)
-    return found.select("doc_id", "start", "n_tokens", token_records.ids_crc32(F.col("ids")).alias("ids_crc32"))
+    found = token_records.read_records(spark, path, ids_crc32=token_records.ids_crc32(F.col("ids")))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +98,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed(spans, only_base=True), 256).alias("base_sha256"), secret_scan.listed(spans).alias("spans"))
 
 
+def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm import hamming
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(rows).select(F.col("query_id").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), "distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
@@ -100,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_records": op7_token_records,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_hamming_top_k": op10_hamming_top_k,
 }
 
 def _op5_sql() -> str:
@@ -135,4 +150,14 @@ ORACLE_SQL: dict[str, str] = {
         FROM t WINDOW g AS (PARTITION BY norm)
     """,
     "op5_chat": _op5_sql(),
+    "op10_hamming_top_k": """
+        WITH c AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
+        ), p AS (
+            SELECT q.vec_id, c.vec_id AS neighbour_id,
+                   list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: abs(z[1] - z[2])))::BIGINT AS distance
+            FROM c q JOIN c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id)::INTEGER AS rank FROM p)
+        SELECT vec_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
+    """,
 }
