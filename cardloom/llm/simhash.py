@@ -42,14 +42,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; null texts count as empty."""
+    """doc_id, digest (a hash of the text), fp (the fingerprint as a signed long) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), text_hash().alias("digest")).mapInArrow(run, "doc_id long, digest long, fp long")
+
+
+def text_hash() -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(text_of())
 
 
 def masks(radius: int) -> list[int]:
@@ -130,9 +135,9 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row for each row of docs: doc_id, fp, component_id, n_links.
+    """One row for each row of docs: doc_id, digest, fp, component, component_id, n_links.
 
-    component_id is the smallest doc_id reachable over links of at most `radius` differing bits; null
+    component is the root fingerprint of the group; component_id is the smallest doc_id reachable over links of at most `radius` differing bits; null
     doc_ids count only where a component has no other.  n_links: how many other fingerprints the
     document's own links to directly in links().  Null texts count as empty; texts without words share
     fingerprint 0; other columns are ignored; an empty table gives no rows.
@@ -145,8 +150,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = settle(member.join(lowest, "root").join(degree, F.col("fp") == F.col("node"), "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return rows.join(member, "fp").select("doc_id", "fp", "component_id", "n_links")
+    member = settle(member.join(lowest, "root").join(degree, F.col("fp") == F.col("node"), "left").select("fp", F.col("root").alias("component"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return rows.join(member, "fp").select("doc_id", "digest", "fp", "component", "component_id", "n_links")
 
 
 def as_hex(fp: Column) -> Column:
