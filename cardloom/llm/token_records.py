@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import text_of
+from cardloom.llm.common import sweep, text_of
 from cardloom.llm.pieces import library_encoder, text_chunks
 
 HEAD = struct.Struct("<QI")
@@ -88,12 +88,15 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, p
     ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     frames = ordered.mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value"))
     frames.write.option("maxRecordsPerFile", per_file).option("lineSep", "\n").text(f"{path}/data")
+    del ordered, frames
+    sweep(spark)
     found = _parse(spark, path, with_ids=False)
     sums = found.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
     # One row per file: the running total over files, whose names sort as the documents do.
     base = sums.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("base"))
     index = found.join(base, "file").select("file", "seq", "doc_id", "offset", "length", "n_tokens", (F.col("base") + F.col("before")).alias("start"))
     index.write.parquet(f"{path}/index")
+    sweep(spark)
 
 
 def _parse(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
@@ -122,14 +125,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the files: doc_id, start (ids before it), n_tokens, ids (little-endian u32), file, offset.
+def read_records(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
+    """Every record of the files: doc_id, start (ids before it), n_tokens, file, offset, length, and ids (little-endian u32).
 
-    Raises CorruptRecord if a length or checksum doesn't hold.  The index gives start; a record that the
-    index places elsewhere is missing from the result of the join, so its absence shows.
+    With derived columns, which are computed from ids where the files are read, ids themselves are left
+    out and don't travel to the index.  Raises CorruptRecord if a length or checksum doesn't hold; the
+    index gives start, and a record that it places elsewhere is missing from the result.
     """
     index = spark.read.parquet(f"{path}/index").select("file", "offset", "length", "start")
-    return _parse(spark, path, with_ids=True).drop("seq", "before").join(index, ["file", "offset", "length"])
+    kept = [c.alias(name) for name, c in derived.items()] or ["ids"]
+    return _parse(spark, path, with_ids=True).select("file", "offset", "length", "doc_id", "n_tokens", *kept).join(index, ["file", "offset", "length"])
 
 
 def ids_crc32(ids: Column) -> Column:
