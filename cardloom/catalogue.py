@@ -1,10 +1,766 @@
-"""The queries over the driver's tables, and their SQL."""
+"""The queries over the driver's tables, and their SQL.
+
+The tables hold no cards, so queries derive them: neighbouring user and assistant turns are front and
+back, and types, levels, tags and shapes follow from ids.  Texts get headings from line numbers in the
+same way.  The rules are spelled out twice, in Spark and in SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cardloom.functions import similarity
+from cardloom.functions.cost import MID, estimated_cost, selected_model
+from cardloom.functions.text import cjk_count, estimated_tokens, image_scale, image_tokens, preprocessed
+from cardloom.operators import chunks, critique, duplicates, export, images, ledger, matching, review
+from cardloom.operators import sections as sectioning
+from cardloom.operators.cards import parse_responses, score_cards, valid_cards
+from cardloom.plans.convert import preview, run_quality
+from cardloom.schemas import BLOOM_LEVELS, CARD_TYPES, WEIGHTS
+from cardloom.sources.cache import cache_misses
+from cardloom.streaming.ingest import spending_by_window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+DECKS = 16
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _names(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+# ---- documents: sizes, chunks, sections -------------------------------------------------------
+
+CLEAN = r"""clean AS (
+    SELECT doc_id, lang, source, text, regexp_replace(regexp_replace(regexp_replace(text,
+        '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n\s*\n(\s*\n)+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t
+    FROM documents
+), sized AS (
+    SELECT *, length(regexp_replace(t, '[^\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]', '', 'g')) AS cjk FROM clean
+), tokened AS (
+    SELECT *, trunc(cjk / 2.5::DOUBLE + (length(t) - cjk) / 4.0::DOUBLE)::INTEGER AS tokens FROM sized
+)"""
+
+
+@query(f"""WITH {CLEAN}
+    SELECT lang, count(*) AS n_docs, sum(length(t))::BIGINT AS n_chars, sum(tokens)::BIGINT AS n_tokens,
+           round(sum(tokens / 1e6 * 3.0 + (tokens // 4) / 1e6 * 15.0), 6) AS cost_usd, max(tokens) AS largest,
+           count(*) FILTER (WHERE tokens > 2000) AS n_split
+    FROM tokened GROUP BY lang""")
+def doc_preview_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preview(_table(spark, sf_dir, "documents"), token_limit=2000)
+    return rows.groupBy("lang").agg(
+        F.count("*").alias("n_docs"),
+        F.sum("n_chars_clean").alias("n_chars"),
+        F.sum("tokens").alias("n_tokens"),
+        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.max("tokens").alias("largest"),
+        F.count_if(F.col("n_chunks") > 1).alias("n_split"),
+    )
+
+
+@query(f"WITH {CLEAN} SELECT doc_id, length(t) AS n_chars_clean, cjk, tokens FROM tokened")
+def doc_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", preprocessed(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars_clean"), cjk_count(F.col("t")).cast("long").alias("cjk"), estimated_tokens(F.col("t")).alias("tokens"))
+
+
+@query(f"WITH {CLEAN} SELECT source, sum(length(text))::BIGINT AS before, sum(length(t))::BIGINT AS after FROM clean GROUP BY source")
+def doc_preprocess_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("source", F.length("text").alias("a"), F.length(preprocessed(F.col("text"))).alias("b"))
+    return rows.groupBy("source").agg(F.sum("a").alias("before"), F.sum("b").alias("after"))
+
+
+@query(f"""WITH {CLEAN}
+    SELECT CASE WHEN length(t) >= 10000 OR doc_id % 40 >= 30 THEN 'mid-tier' ELSE 'low-tier' END AS model, count(*) AS n_docs,
+           sum(tokens)::BIGINT AS n_tokens, min(doc_id) AS first_doc
+    FROM tokened GROUP BY 1""")
+def model_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", preprocessed(F.col("text")).alias("t"))
+    rows = rows.withColumn("model", selected_model(F.length("t"), F.col("doc_id") % 40))
+    return rows.groupBy("model").agg(F.count("*").alias("n_docs"), F.sum(estimated_tokens(F.col("t"))).alias("n_tokens"), F.min("doc_id").alias("first_doc"))
+
+
+def _fold_sql(limit: int, separator: int, size: str, width: str) -> str:
+    """The packing of paragraphs as a recursion over paragraph numbers."""
+    return f"""WITH RECURSIVE whole AS (
+        SELECT doc_id, replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), chr(10) || chr(10)) AS w FROM documents
+    ), paragraphs AS (
+        SELECT doc_id, w, p, i FROM (SELECT doc_id, w, unnest(string_split(w, chr(10) || chr(10))) AS p, generate_subscripts(string_split(w, chr(10) || chr(10)), 1) AS i FROM whole WHERE w <> '')
+    ), sizes AS (SELECT *, ({size})::BIGINT AS n FROM paragraphs
+    ), steps AS (
+        SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS done, false AS open, 0::BIGINT AS used, -1::BIGINT AS grp, false AS alone FROM whole WHERE w <> ''
+        UNION ALL
+        SELECT doc_id, i, CASE WHEN on_ THEN done WHEN big THEN done2 + 1 ELSE done2 END, NOT big,
+               CASE WHEN big THEN 0 ELSE (CASE WHEN shut THEN 0 ELSE used END) + sep + n END, CASE WHEN on_ THEN done ELSE done2 END, big
+        FROM (
+            SELECT *, n > {limit} AND NOT on_ AS big FROM (
+                SELECT *, open AND NOT shut AS on_, done + CASE WHEN shut THEN 1 ELSE 0 END AS done2 FROM (
+                    SELECT s.doc_id, z.i, s.done, s.open, s.used, z.n, CASE WHEN s.open THEN {separator} ELSE 0 END AS sep,
+                           s.open AND s.used + CASE WHEN s.open THEN {separator} ELSE 0 END + z.n > {limit} AS shut
+                    FROM steps s JOIN sizes z ON z.doc_id = s.doc_id AND z.i = s.i + 1)))
+    ), runs AS (
+        SELECT s.doc_id, grp, bool_or(alone) AS alone, string_agg(p, chr(10) || chr(10) ORDER BY s.i) AS body
+        FROM steps s JOIN paragraphs USING (doc_id, i) GROUP BY s.doc_id, grp
+    ), cut AS (
+        SELECT doc_id, grp, 0 AS k, body FROM runs WHERE NOT alone
+        UNION ALL
+        SELECT doc_id, grp, k, substr(body, (k * ({width}) + 1)::BIGINT, ({width})::BIGINT) FROM (SELECT *, unnest(range(0, (length(body) - 1) // ({width}) + 1)) AS k FROM runs WHERE alone)
+    )"""
+
+
+_TOKENS = "trunc(length(p) / 4.0::DOUBLE)"  # these texts hold no CJK
+
+
+@query(
+    _fold_sql(200, 1, _TOKENS, "greatest(1, trunc(200.0::DOUBLE * (length(body) / trunc(length(body) / 4.0::DOUBLE)))::BIGINT)")
+    + """, small AS (SELECT doc_id, w FROM whole WHERE w <> '' AND trunc(length(w) / 4.0::DOUBLE) <= 200)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, k) - 1 AS chunk_idx, length(body) AS n_chars, md5(body) AS digest
+    FROM cut WHERE doc_id NOT IN (SELECT doc_id FROM small)
+    UNION ALL SELECT doc_id, 0, length(w), md5(w) FROM small"""
+)
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.regexp_replace("text", r"\A\s+|\s+\z", ""), F.lit("\n"), F.lit("\n\n"))
+    rows = chunks.chunk_rows(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", token_limit=200)
+    return rows.select("doc_id", F.col("chunk_idx").cast("long"), F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+@query(
+    _fold_sql(600, 2, "length(p)", "600")
+    + """, parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp, k) - 1 AS part, count(*) OVER (PARTITION BY doc_id) AS n FROM cut
+        WHERE doc_id IN (SELECT doc_id FROM whole WHERE length(w) > 600))
+    SELECT doc_id, 'section-0-' || part AS id, length(body) AS char_count, md5(body) AS digest FROM parts WHERE n > 1
+    UNION ALL SELECT doc_id, 'section-0', length(w), md5(w) FROM whole WHERE w <> '' AND doc_id NOT IN (SELECT doc_id FROM parts WHERE n > 1)"""
+)
+def subsplit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.regexp_replace("text", r"\A\s+|\s+\z", ""), F.lit("\n"), F.lit("\n\n"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).where("text <> ''")
+    parts = docs.select("doc_id", F.posexplode(chunks.numbered(chunks.split_section(F.col("text"), 600))).alias("part", "p"))
+    parts = parts.select("doc_id", "part", F.col("p.part_text").alias("t"), F.col("p.n_parts").alias("n"))
+    name = F.when(F.col("n") > 1, F.concat(F.lit("section-0-"), F.col("part").cast("string"))).otherwise("section-0")
+    return parts.select("doc_id", name.alias("id"), F.length("t").cast("long").alias("char_count"), F.md5("t").alias("digest"))
+
+
+def _headed(docs: DataFrame, marks: dict[int, str]) -> DataFrame:
+    """Lines that aren't blank, those at some places modulo 5 as headings."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    mark = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in marks.items() for v in kv]), (i % 5).cast("int")), F.lit(""))
+    with_marks = F.transform(lines, lambda x, i: F.concat(F.replace(mark(i), F.lit("N"), (i + 1).cast("string")), F.trim(x)))
+    return docs.select("doc_id", "source", F.array_join(with_marks, "\n\n").alias("text"))
+
+
+def _headed_sql(marks: dict[int, str], levels: dict[int, int], strip: str) -> str:
+    case = " ".join(f"WHEN {k} THEN replace('{v}', 'N', i::VARCHAR)" for k, v in marks.items())
+    level = " ".join(f"WHEN {k} THEN {v}" for k, v in levels.items())
+    return f"""WITH listed AS (
+        SELECT doc_id, source, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)) AS l FROM documents
+    ), lines AS (
+        SELECT doc_id, source, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM listed
+    ), marked AS (
+        SELECT doc_id, source, i, CASE (i - 1) % 5 {case} ELSE '' END || raw AS line, raw, CASE (i - 1) % 5 {level} ELSE 0 END AS level FROM lines
+    ), counted AS (
+        SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM marked
+    ), found AS (
+        SELECT doc_id, source, pos, max(level) AS level, string_agg(line, chr(10) || chr(10) ORDER BY i) AS body, coalesce(arg_min({strip}, i) FILTER (WHERE level > 0), '') AS heading
+        FROM counted GROUP BY doc_id, source, pos
+    ), trail AS (
+        SELECT *, {", ".join(f"last_value(CASE WHEN level = {n} THEN heading END IGNORE NULLS) OVER w AS h{n}, coalesce(max(CASE WHEN level = {n} THEN pos END) OVER w, -1) AS p{n}" for n in (1, 2, 3))}
+        FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+    )
+    SELECT doc_id, 'section-' || pos AS id, heading, level::INTEGER AS level, length(body) AS char_count, md5(body) AS digest,
+           concat_ws(' > ', source, CASE WHEN level > 0 AND p1 > -1 THEN h1 END, CASE WHEN level > 0 AND p2 > p1 THEN h2 END,
+                     CASE WHEN level > 0 AND p3 > greatest(p1, p2) THEN h3 END) AS breadcrumb
+    FROM trail"""
+
+
+_MD = {1: "# ", 3: "## ", 4: "### "}
+_JP = {1: "第N章 ", 3: "（N） "}
+
+
+def _sections(spark: SparkSession, sf_dir: str, marks: dict[int, str]) -> DataFrame:
+    rows = sectioning.sections(_headed(_table(spark, sf_dir, "documents"), marks), "doc_id", title="source", max_chars=10_000_000)
+    return rows.select("doc_id", "id", "heading", "level", F.col("char_count").cast("long").alias("char_count"), F.md5("text").alias("digest"), "breadcrumb")
+
+
+@query(_headed_sql(_MD, {1: 1, 3: 2, 4: 3}, "raw"))
+def section_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections(spark, sf_dir, _MD)
+
+
+@query(_headed_sql(_JP, {1: 1, 3: 2}, "line"))
+def japanese_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections(spark, sf_dir, _JP)
+
+
+@query("""
+    WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h, list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: trim(replace(x, chr(10), ' '))) AS ps FROM pages)
+    SELECT page_id, trim(replace(h, chr(10), ' ')) AS heading, len(list_filter(ps, lambda x: x <> '')) AS n_paragraphs,
+           length('# ' || trim(replace(h, chr(10), ' ')) || coalesce(list_aggregate(list_transform(list_filter(ps, lambda x: x <> ''), lambda x: chr(10) || chr(10) || x), 'string_agg', ''), '')) AS char_count
+    FROM p""")
+def sections_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))
+    head = flat(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1))
+    body = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<p[^>]*>(.*?)</p>"), 1), flat), lambda x: x != "")
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("# "), head, F.array_join(F.transform(body, lambda x: F.concat(F.lit("\n\n"), x)), "")).alias("text"), F.size(body).cast("long").alias("n_paragraphs"))
+    rows = sectioning.sections(pages, "page_id", max_chars=10_000_000)
+    return rows.join(pages.select("page_id", "n_paragraphs"), "page_id").select("page_id", "heading", "n_paragraphs", F.col("char_count").cast("long").alias("char_count"))
+
+
+@query("""SELECT source, 't' || (doc_id % 7) AS heading, min(n_chars % 300)::INTEGER AS first_page, max(n_chars % 300)::INTEGER AS last_page,
+           CASE WHEN min(n_chars % 300) = max(n_chars % 300) THEN 'p.' || min(n_chars % 300) ELSE 'pp.' || min(n_chars % 300) || '-' || max(n_chars % 300) END AS page_range
+    FROM documents GROUP BY 1, 2""")
+def toc_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = (F.col("n_chars") % 300).cast("int")
+    titled = F.struct(F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 0, page).alias("page"))
+    untitled = F.struct(F.lit("").alias("title"), page.alias("page"))
+    return sectioning.page_ranges(_table(spark, sf_dir, "documents").select("source", page.alias("page"), F.array(titled, untitled).alias("toc_items")), "source")
+
+
+@query("""SELECT sha256(text) AS content_hash, count(*) AS n_copies, min(doc_id) AS first_doc FROM documents GROUP BY 1""")
+def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return docs.groupBy("content_hash").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""SELECT doc_id, sha256(text) AS cache_key FROM documents
+    WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)""")
+def cache_miss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("cache_key"))
+    return cache_misses(docs, docs.where("doc_id % 3 = 0"))
+
+
+# ---- spending ---------------------------------------------------------------------------------
+
+USAGE = """usage AS (
+    SELECT event_id, ts, user_id, CASE event_id % 4 WHEN 0 THEN 'mid-tier' WHEN 1 THEN 'low-tier' WHEN 2 THEN 'top-tier' ELSE 'unknown' END AS model,
+           200 + event_id % 5000 AS input_tokens, 50 + event_id % 700 AS output_tokens, event_id % 3 = 0 AS batch FROM events
+), ledger AS (
+    SELECT *, input_tokens / 1e6 * ((CASE model WHEN 'mid-tier' THEN 3.0 WHEN 'low-tier' THEN 0.8 ELSE 15.0 END)::DOUBLE * CASE WHEN batch THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)
+            + output_tokens / 1e6 * ((CASE model WHEN 'mid-tier' THEN 15.0 WHEN 'low-tier' THEN 4.0 ELSE 75.0 END)::DOUBLE * CASE WHEN batch THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS cost_usd
+    FROM usage
+)"""
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    model = F.when(e % 4 == 0, "mid-tier").when(e % 4 == 1, "low-tier").when(e % 4 == 2, "top-tier").otherwise("unknown")
+    return _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", model.alias("model"), (e % 5000 + 200).alias("input_tokens"), (e % 700 + 50).alias("output_tokens"), (e % 3 == 0).alias("batch"))
+
+
+@query(f"""WITH {USAGE} SELECT model, batch, count(*) AS calls, sum(input_tokens)::BIGINT AS tokens_in, round(sum(cost_usd), 6) AS cost_usd FROM ledger GROUP BY ALL""")
+def cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.with_cost(_usage(spark, sf_dir))
+    return rows.groupBy("model", "batch").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("tokens_in"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+@query(f"""WITH {USAGE} SELECT user_id % 50 AS team, round(sum(cost_usd), 6) AS total_cost, count(*) AS request_count, round(1.5 - sum(cost_usd), 6) AS budget_remaining, sum(cost_usd) <= 1.5 AS within_budget
+    FROM ledger GROUP BY 1""")
+def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.with_cost(_usage(spark, sf_dir)).withColumn("team", F.col("user_id") % 50)
+    found = ledger.totals(rows, "team", budget=1.5)
+    return found.select("team", F.round("total_cost", 6).alias("total_cost"), "request_count", F.round("budget_remaining", 6).alias("budget_remaining"), "within_budget")
+
+
+def _gate_sql(partition: str, budget: float) -> str:
+    over = f"OVER ({f'PARTITION BY {partition}' if partition else ''} ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    first = f"OVER ({f'PARTITION BY {partition}' if partition else ''})"
+    return f"""WITH {USAGE}, gated AS (SELECT *, coalesce(sum(cost_usd) {over}, 0) AS spent FROM ledger)
+    SELECT event_id, round(spent, 6) AS spent_before, spent <= {budget} AS allowed,
+           coalesce(event_id = min(CASE WHEN spent <= {budget} AND spent >= {0.8 * budget} THEN event_id END) {first}, false) AS warns
+    FROM gated"""
+
+
+@query(_gate_sql("user_id % 20", 2.0))
+def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.with_cost(_usage(spark, sf_dir)).withColumn("team", F.col("user_id") % 20)
+    found = ledger.budget_gate(rows, ["event_id"], budget=2.0, partition=["team"])
+    return found.select("event_id", F.round("spent_before", 6).alias("spent_before"), "allowed", "warns")
+
+
+@query(_gate_sql("", 40.0))
+def budget_gate_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger.budget_gate(ledger.with_cost(_usage(spark, sf_dir)), ["event_id"], budget=40.0)
+    return found.select("event_id", F.round("spent_before", 6).alias("spent_before"), "allowed", "warns")
+
+
+@query(f"""WITH {USAGE} SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", round(sum(cost_usd), 6) AS cost_usd, count(*) AS calls FROM ledger GROUP BY 1, 2""")
+def spending_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spending_by_window(_usage(spark, sf_dir))
+    return found.select("start", "end", F.round("cost_usd", 6).alias("cost_usd"), "calls")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, length(text) % 30 AS n, sum(length(text) % 30) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM conversations)
+    SELECT conv_id, turn, coalesce(b, 0)::BIGINT AS cards_before, coalesce(b, 0) < 50 AS allowed FROM s""")
+def card_cap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 30).alias("n_cards"))
+    return ledger.card_cap_gate(rows, ["turn"], ["conv_id"]).select("conv_id", "turn", "cards_before", "allowed")
+
+
+@query("""SELECT conv_id, coalesce(arg_min(role, turn) FILTER (WHERE role <> 'system'), 'none') AS model_used FROM conversations GROUP BY 1""")
+def first_model_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") != "system", F.col("role")).otherwise("").alias("model"))
+    return ledger.model_used(calls, "conv_id", "turn", "none")
+
+
+# ---- cards ------------------------------------------------------------------------------------
+
+CARDS = f"""turns AS (
+    SELECT conv_id, turn, role, text, lead(role) OVER w AS role2, lead(text) OVER w AS text2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), cards AS (
+    SELECT 'deck-' || (conv_id % {DECKS}) AS source_file, row_number() OVER (PARTITION BY conv_id % {DECKS} ORDER BY conv_id, turn) - 1 AS card_idx,
+        CASE WHEN conv_id % 8 = 3 AND turn % 4 = 0 THEN '{{{{c1::' || substr(text, 1, 30) || '}}}} ' || substr(text, 31, 40)
+             WHEN conv_id % 7 = 1 THEN substr(text, 1, 8) WHEN conv_id % 7 = 2 THEN substr(text, 1, 120) || '?' ELSE text END AS front,
+        CASE WHEN conv_id % 8 = 3 AND turn % 4 = 0 THEN '' WHEN conv_id % 5 = 0 THEN substr(text2, 1, 60) WHEN conv_id % 5 = 1 THEN substr(text2, 1, 3)
+             WHEN conv_id % 11 = 0 THEN '1. ' || substr(text2, 1, 20) || ' 2. ' || substr(text2, 21, 20) ELSE text2 END AS back,
+        {_names(CARD_TYPES)}[conv_id % 8 + 1] AS card_type, {_names(BLOOM_LEVELS)}[turn % 6 + 1] AS bloom_level,
+        CASE conv_id % 3 WHEN 0 THEN ['topic::t' || (conv_id % 4), 'turns'] WHEN 1 THEN ['turns'] ELSE ['topic::t' || (conv_id % 4)] END AS tags
+    FROM turns WHERE role = 'user' AND role2 = 'assistant'
+)"""
+
+
+def cards_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_file, card_idx and a card for each pair of turns."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = _table(spark, sf_dir, "conversations").withColumns({"role2": F.lead("role").over(w), "text2": F.lead("text").over(w)})
+    rows = turns.where("role = 'user' AND role2 = 'assistant'")
+    c, t, a, b = F.col("conv_id"), F.col("turn"), F.col("text"), F.col("text2")
+    cloze = (c % 8 == 3) & (t % 4 == 0)
+    front = F.when(cloze, F.concat(F.lit("{{c1::"), a.substr(1, 30), F.lit("}} "), a.substr(31, 40))).when(c % 7 == 1, a.substr(1, 8)).when(c % 7 == 2, F.concat(a.substr(1, 120), F.lit("?"))).otherwise(a)
+    listed = F.concat(F.lit("1. "), b.substr(1, 20), F.lit(" 2. "), b.substr(21, 20))
+    back = F.when(cloze, F.lit("")).when(c % 5 == 0, b.substr(1, 60)).when(c % 5 == 1, b.substr(1, 3)).when(c % 11 == 0, listed).otherwise(b)
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    topic = F.concat(F.lit("topic::t"), (c % 4).cast("string"))
+    tags = F.when(c % 3 == 0, F.array(topic, F.lit("turns"))).when(c % 3 == 1, F.array(F.lit("turns"))).otherwise(F.array(topic))
+    number = F.row_number().over(Window.partitionBy(c % DECKS).orderBy("conv_id", "turn")) - 1
+    empty = F.array().cast("array<string>")
+    return rows.select(
+        F.concat(F.lit("deck-"), (c % DECKS).cast("string")).alias("source_file"),
+        number.alias("card_idx"),
+        front.alias("front"),
+        back.alias("back"),
+        pick(CARD_TYPES, c % 8).alias("card_type"),
+        pick(BLOOM_LEVELS, t % 6).alias("bloom_level"),
+        tags.alias("tags"),
+        empty.alias("related_concepts"),
+        F.lit(None).cast("string").alias("mnemonic_hint"),
+        empty.alias("media"),
+    )
+
+
+@query(f"WITH {CARDS} SELECT source_file, card_idx, md5(front) AS front, md5(back) AS back, card_type, bloom_level, array_to_string(tags, ' ') AS tags FROM cards")
+def cards_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cards_of(spark, sf_dir)
+    return rows.select("source_file", F.col("card_idx").cast("long"), F.md5("front").alias("front"), F.md5("back").alias("back"), "card_type", "bloom_level", F.array_join("tags", " ").alias("tags"))
+
+
+SCORED = (
+    CARDS
+    + r""", measured AS (
+    SELECT *, length(front) AS nf, length(back) AS nb, regexp_matches(front, '[？?]') AS asks, regexp_matches(front, '\{\{c\d+::') AS marked,
+        len(regexp_extract_all(front, '\{\{c\d+::')) AS n_cloze,
+        greatest(1, len(list_filter(string_split_regex(back, '[。．.！!]\s*'), lambda x: regexp_matches(x, '\S')))) AS n_sentences FROM cards
+), dims AS (
+    SELECT *,
+        CASE WHEN card_type = 'cloze' THEN CASE WHEN marked THEN CASE WHEN nf >= 10 THEN 1.0 ELSE 0.7 END ELSE 0.4 END::DOUBLE
+             WHEN card_type IN ('reversible', 'term_definition') AND nf >= 1 THEN CASE WHEN nf <= 80 THEN 1.0 ELSE 0.8 END::DOUBLE
+             WHEN nf < 10 THEN greatest(0.3::DOUBLE, nf / 10.0::DOUBLE * 0.6::DOUBLE)
+             ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.7::DOUBLE + CASE WHEN asks THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN nf <= 200 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END)) END AS front_quality,
+        CASE WHEN card_type = 'cloze' THEN CASE WHEN nb = 0 THEN 1.0 ELSE 0.8 END::DOUBLE WHEN nb = 0 THEN 0.0::DOUBLE WHEN nb < 5 THEN 0.4::DOUBLE
+             WHEN nb > 200 THEN greatest(0.2::DOUBLE, 0.7::DOUBLE - least(0.5::DOUBLE, (nb - 200) / 200.0::DOUBLE)) WHEN nb >= 10 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS back_quality,
+        CASE card_type WHEN 'cloze' THEN CASE WHEN marked THEN 1.0 ELSE 0.3 END WHEN 'qa' THEN CASE WHEN marked THEN 0.5 ELSE 1.0 END
+             WHEN 'summary_point' THEN CASE WHEN marked THEN 0.5 ELSE 1.0 END WHEN 'term_definition' THEN CASE WHEN nf <= 50 AND nb > 0 THEN 1.0 ELSE 0.7 END
+             WHEN 'reversible' THEN CASE WHEN nf <= 80 AND nb > 0 THEN 1.0 ELSE 0.7 END
+             WHEN 'compare_contrast' THEN CASE WHEN regexp_matches(front, '違い|比較|差|differ|compar') THEN 1.0 ELSE 0.7 END
+             WHEN 'sequence' THEN CASE WHEN regexp_matches(front, '次|後|ステップ|step|after|before') THEN 1.0 ELSE 0.7 END ELSE 0.8 END::DOUBLE AS card_type_fit,
+        0.9::DOUBLE AS bloom_level_fit,
+        CASE WHEN len(tags) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN len(list_filter(tags, lambda x: contains(x, '::'))) > 0 THEN 0.3::DOUBLE ELSE 0 END
+             + CASE WHEN len(tags) >= 2 THEN 0.2::DOUBLE ELSE 0 END) END AS tags_quality,
+        CASE WHEN card_type = 'cloze' THEN CASE WHEN n_cloze <= 3 THEN 1.0::DOUBLE ELSE greatest(0.5::DOUBLE, 1.0::DOUBLE - (n_cloze - 3) * 0.1::DOUBLE) END
+             WHEN nb = 0 THEN 0.9::DOUBLE WHEN n_sentences <= 1 THEN 1.0::DOUBLE WHEN n_sentences = 2 THEN 0.8::DOUBLE WHEN n_sentences = 3 THEN 0.6::DOUBLE
+             WHEN regexp_matches(back, 'また[、,]|さらに|加えて|そして|および|ならびに') THEN greatest(0.2::DOUBLE, greatest(0.3::DOUBLE, 1.0::DOUBLE - n_sentences * 0.15::DOUBLE) - 0.15::DOUBLE)
+             ELSE greatest(0.3::DOUBLE, 1.0::DOUBLE - n_sentences * 0.15::DOUBLE) END AS atomicity
+    FROM measured
+), scored AS (
+    SELECT *, front_quality * 0.25::DOUBLE + back_quality * 0.25::DOUBLE + card_type_fit * 0.15::DOUBLE + bloom_level_fit * 0.1::DOUBLE + tags_quality * 0.1::DOUBLE + atomicity * 0.15::DOUBLE AS weighted_total,
+        array_to_string(list_filter([
+            CASE WHEN card_type NOT IN ('cloze', 'reversible', 'term_definition') AND (nf < 10 OR (NOT asks AND front_quality < 0.7::DOUBLE)) THEN 'vague_question' END,
+            CASE WHEN nb > 200 THEN 'too_long_answer' END,
+            CASE WHEN card_type IN ('qa', 'summary_point') AND (regexp_matches(back, '(?:\d+[.、．]|[・\-*])\s*\S.*(?:\n|\s+)(?:\d+[.、．]|[・\-*])\s*\S') OR regexp_matches(front, '挙げ|列挙|リスト|すべて|全て|3つ|三つ|4つ|四つ|5つ|五つ')) THEN 'list_not_cloze' END
+        ], lambda x: x IS NOT NULL), ',') AS flags FROM dims
+)"""
+)
+
+
+@query(f"WITH {SCORED} SELECT source_file, card_idx, {', '.join(f'round({d}, 9) AS {d}' for d in WEIGHTS)}, round(weighted_total, 9) AS weighted_total FROM scored")
+def score_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = score_cards(cards_of(spark, sf_dir))
+    return rows.select("source_file", F.col("card_idx").cast("long"), *[F.round(d, 9).alias(d) for d in (*WEIGHTS, "weighted_total")])
+
+
+@query(f"WITH {SCORED} SELECT card_type, count(*) AS n_cards, round(avg(weighted_total), 6) AS mean_total, round(min(weighted_total), 9) AS least, round(max(weighted_total), 9) AS most FROM scored GROUP BY 1")
+def score_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = score_cards(cards_of(spark, sf_dir))
+    return rows.groupBy("card_type").agg(F.count("*").alias("n_cards"), F.round(F.avg("weighted_total"), 6).alias("mean_total"), F.round(F.min("weighted_total"), 9).alias("least"), F.round(F.max("weighted_total"), 9).alias("most"))
+
+
+@query(f"WITH {SCORED} SELECT source_file, card_idx, flags FROM scored")
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = score_cards(cards_of(spark, sf_dir))
+    return rows.select("source_file", F.col("card_idx").cast("long"), F.array_join("flags", ",").alias("flags"))
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE {both} / (len({a}) + len({b}) - {both})::DOUBLE END"
+
+
+def _bigrams_sql(s: str) -> str:
+    return f"CASE WHEN length({s}) >= 2 THEN list_distinct(list_transform(range(1, length({s})), lambda i: substr({s}, i::BIGINT, 2))) WHEN length({s}) = 1 THEN [{s}] ELSE []::VARCHAR[] END"
+
+
+PAIRS = (
+    SCORED
+    + rf""", featured AS (
+    SELECT source_file, card_idx, card_type, back, list_sort(list_distinct(tags)) AS tag_set, {_bigrams_sql("front")} AS f, {_bigrams_sql("back")} AS b,
+        list_distinct(list_filter(string_split_regex(front, '[\s\x{{3000}}\x{{3001}}\x{{3002}}\x{{FF1F}}?\x{{FF01}}!,.\-:\x{{FF1A}}]+'), lambda x: length(x) >= 2)) AS t FROM cards
+), compared AS (
+    SELECT x.source_file, x.card_idx AS i, y.card_idx AS j, x.card_type = y.card_type AS typed, x.tag_set = y.tag_set AS tagged, x.back <> '' AND y.back <> '' AS backed,
+        {_jaccard_sql("x.f", "y.f")} AS fs, {_jaccard_sql("x.t", "y.t")} AS ts, {_jaccard_sql("x.b", "y.b")} AS bs
+    FROM featured x JOIN featured y ON x.source_file = y.source_file AND x.card_idx < y.card_idx
+), pairs AS (
+    SELECT * FROM compared WHERE (typed AND fs > 0.7) OR (tagged AND fs > 0.5) OR (typed AND ts > 0.5) OR (typed AND backed AND bs > 0.4 AND fs > 0.1) OR (typed AND backed AND tagged AND bs > 0.35)
+)"""
+)
+
+
+@query(f"WITH {PAIRS} SELECT source_file, i, j FROM pairs")
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicates.similar_pairs(cards_of(spark, sf_dir))
+    return found.select("source_file", F.col("i").cast("long"), F.col("j").cast("long"))
+
+
+@query(f"WITH {PAIRS} SELECT source_file, count(*) AS n_pairs, round(avg(fs), 9) AS front_mean, round(max(bs), 9) AS back_most, round(avg(ts), 9) AS token_mean FROM compared GROUP BY 1")
+def pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = duplicates.featured(cards_of(spark, sf_dir))
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.source_file") == F.col("b.source_file")) & (F.col("a.card_idx") < F.col("b.card_idx")))
+    s = [similarity.jaccard(F.col(f"a.{n}"), F.col(f"b.{n}")).alias(n) for n in "ftb"]
+    return met.select(F.col("a.source_file").alias("source_file"), *s).groupBy("source_file").agg(F.count("*").alias("n_pairs"), F.round(F.avg("f"), 9).alias("front_mean"), F.round(F.max("b"), 9).alias("back_most"), F.round(F.avg("t"), 9).alias("token_mean"))
+
+
+@query(
+    f"""WITH {PAIRS}, members AS (SELECT source_file, i AS card_idx FROM pairs UNION SELECT source_file, j FROM pairs)
+    SELECT source_file, card_idx, concat_ws(',', CASE WHEN flags <> '' THEN flags END, CASE WHEN m.card_idx IS NOT NULL THEN 'duplicate_concept' END) AS flags
+    FROM scored LEFT JOIN members m USING (source_file, card_idx)"""
+)
+def duplicate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = cards_of(spark, sf_dir)
+    rows = duplicates.flag_duplicates(score_cards(cards), duplicates.similar_pairs(cards))
+    return rows.select("source_file", F.col("card_idx").cast("long"), F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"""WITH {SCORED} SELECT source_file, card_idx, weighted_total >= 0.9 AS passed, CASE WHEN weighted_total < 0.9 THEN row_number() OVER (PARTITION BY source_file, weighted_total >= 0.9 ORDER BY card_idx) - 1 END AS low_idx FROM scored""")
+def threshold_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = critique.route(score_cards(cards_of(spark, sf_dir)))
+    return rows.select("source_file", F.col("card_idx").cast("long"), "passed", F.col("low_idx").cast("long"))
+
+
+LOW = SCORED + ", low AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY card_idx) - 1 AS low_idx FROM scored WHERE weighted_total < 0.9)"
+#: Cards that fall short are removed, improved, split in two, or left without a review, by their index.
+MERGED = (
+    LOW
+    + """, merged AS (
+    SELECT source_file, 0 AS kind, low_idx AS pos, 0 AS item, low_idx, 'better ' || front AS front FROM low WHERE low_idx % 5 IN (1, 2)
+    UNION ALL SELECT source_file, 0, low_idx, 1, low_idx, 'second ' || front FROM low WHERE low_idx % 5 = 2
+    UNION ALL SELECT source_file, 0, low_idx, 0, low_idx, front FROM low WHERE low_idx % 5 = 3
+    UNION ALL SELECT source_file, 1, low_idx, 0, low_idx, front FROM low WHERE low_idx % 5 = 4
+)"""
+)
+
+
+def _reviews(routed: DataFrame) -> DataFrame:
+    """Answers to critique requests, as a model would write them, with a review that can't be used."""
+    low = routed.where("NOT passed")
+    card = lambda word: F.struct(F.concat(F.lit(word), "front").alias("front"), "back", "card_type", "bloom_level", "tags")
+    bad = F.struct(F.lit("").alias("front"), "back", "card_type", "bloom_level", "tags")
+    n = F.col("low_idx") % 5
+    action = F.when(n == 0, "remove").when(n == 1, "improve").when(n == 2, "split").when(n == 3, "keep")
+    new = F.when(n == 1, F.array(card("better "), bad)).when(n == 2, F.array(card("better "), card("second ")))
+    one = F.struct(F.col("low_idx").alias("card_index"), action.alias("action"), new.alias("improved_cards"))
+    met = low.where(n != 4).groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("low_idx", F.to_json(one).alias("r")))).alias("r"))
+    said = F.concat(F.lit("Here it is:\n```json\n["), F.array_join(F.transform("r", lambda x: x["r"]), ","), F.lit(', {"note": "no index"}, 7]\n```'))
+    return critique.parse_reviews(met.select("source_file", said.alias("text")))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    routed = critique.route(score_cards(cards_of(spark, sf_dir)))
+    return routed, critique.merge_reviews(routed.where("NOT passed"), _reviews(routed))
+
+
+@query(f"WITH {MERGED} SELECT source_file, kind, item, low_idx, md5(front) AS front FROM merged")
+def critique_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, merged = _merged(spark, sf_dir)
+    return merged.select("source_file", "kind", "item", "low_idx", F.md5("front").alias("front"))
+
+
+REPORT = f"""WITH {MERGED}, a AS (
+    SELECT source_file, count(*) AS total_cards, count(*) FILTER (WHERE weighted_total >= 0.9) AS passed_cards FROM scored GROUP BY 1
+), m AS (SELECT source_file, count(*) AS after FROM merged GROUP BY 1
+), report AS (
+    SELECT source_file, total_cards, passed_cards, total_cards - passed_cards AS critiqued_cards, greatest(0, total_cards - passed_cards - coalesce(after, 0)) AS removed_cards,
+        least(coalesce(after, 0), total_cards - passed_cards) AS improved_cards, greatest(0, coalesce(after, 0) - total_cards + passed_cards) AS split_cards, passed_cards + coalesce(after, 0) AS final_card_count
+    FROM a LEFT JOIN m USING (source_file)
+)"""
+
+
+@query(REPORT + " SELECT *, round(passed_cards / total_cards, 9) AS pass_rate FROM report")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return critique.quality_report(*_merged(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 9))
+
+
+@query(REPORT + f" SELECT {', '.join(f'sum({c})::BIGINT AS {c}' for c in critique.COUNTERS)}, round(sum(passed_cards) / sum(total_cards), 9) AS pass_rate FROM report")
+def quality_report_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return critique.merge_reports(critique.quality_report(*_merged(spark, sf_dir))).withColumn("pass_rate", F.round("pass_rate", 9))
+
+
+@query(
+    f"""WITH {MERGED}, every AS (
+        SELECT source_file, -1 AS kind, card_idx AS pos, 0 AS item, front FROM scored WHERE weighted_total >= 0.9 UNION ALL SELECT source_file, kind, pos, item, front FROM merged)
+    SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY kind, pos, item) - 1 AS card_idx, md5(front) AS front FROM every"""
+)
+def final_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = cards_of(spark, sf_dir)
+    final, _ = run_quality(cards, _reviews(critique.route(score_cards(cards))))
+    return final.select("source_file", F.col("card_idx").cast("long"), F.md5("front").alias("front"))
+
+
+@query(
+    f"""WITH {CARDS} SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY card_idx) - 1 AS card_idx, md5(front) AS front, CASE WHEN card_idx % 6 = 1 THEN md5('') ELSE md5(back) END AS back,
+        array_to_string(tags, ' ') AS tags FROM cards WHERE card_idx % 6 < 2"""
+)
+def parse_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sixth card is whole, the next lacks a back; the others are wrong in front, type, tags or shape."""
+    n = F.col("card_idx") % 6
+    front, kind = F.when(n == 2, "").otherwise(F.col("front")), F.when(n == 3, "riddle").otherwise(F.col("card_type"))
+    tags = F.when(n == 4, F.array().cast("array<string>")).otherwise(F.col("tags"))
+    item = F.to_json(F.struct(front.alias("front"), F.when(n != 1, F.col("back")).alias("back"), kind.alias("card_type"), "bloom_level", tags.alias("tags"), "related_concepts"))
+    rows = cards_of(spark, sf_dir).withColumn("said", F.when(n == 5, F.to_json(F.struct("front"))).otherwise(item))
+    met = rows.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("card_idx", "said"))).alias("s"))
+    text = F.concat(F.lit("```json\n["), F.array_join(F.transform("s", lambda x: x["said"]), ",\n"), F.lit(',"a string", 5]\n```'))
+    found = valid_cards(parse_responses(met.select("source_file", text.alias("text")), "source_file"), "source_file")
+    return found.select("source_file", F.col("card_idx").cast("long"), F.md5("front").alias("front"), F.md5("back").alias("back"), F.array_join("tags", " ").alias("tags"))
+
+
+# ---- evaluation -------------------------------------------------------------------------------
+
+EXPECTED = f"""{CARDS}, expected AS (
+    SELECT 'deck-' || (item_id % {DECKS}) AS case_id, row_number() OVER (PARTITION BY item_id % {DECKS} ORDER BY item_id) - 1 AS exp_idx,
+        list_transform(string_split(text, ' ')[1:4], lambda x: lower(x)) AS fk, list_transform(string_split(text, ' ')[5:9], lambda x: lower(x)) AS bk,
+        CASE WHEN item_id % 2 = 0 THEN {_names(CARD_TYPES)}[item_id % 8 + 1] END AS wanted FROM benchmark
+), scores AS (
+    SELECT case_id, exp_idx, card_idx, CASE WHEN wanted IS NOT NULL THEN f * 0.4::DOUBLE + b * 0.4::DOUBLE + CASE WHEN card_type = wanted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.2::DOUBLE ELSE f * 0.5::DOUBLE + b * 0.5::DOUBLE END AS score
+    FROM (SELECT case_id, exp_idx, card_idx, wanted, card_type, CASE WHEN len(fk) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(fk, lambda x: contains(front, x))) / len(fk)::DOUBLE END AS f,
+        CASE WHEN len(bk) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(bk, lambda x: contains(back, x))) / len(bk)::DOUBLE END AS b FROM expected JOIN cards ON source_file = case_id)
+)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    i = F.col("item_id")
+    case = F.concat(F.lit("deck-"), (i % DECKS).cast("string"))
+    number = F.row_number().over(Window.partitionBy(i % DECKS).orderBy("item_id")) - 1
+    words = F.transform(F.split("text", " "), F.lower)
+    wanted = F.when(i % 2 == 0, F.element_at(F.array(*[F.lit(t) for t in CARD_TYPES]), (i % 8 + 1).cast("int")))
+    expected = _table(spark, sf_dir, "benchmark").select(case.alias("case_id"), number.alias("exp_idx"), F.slice(words, 1, 4).alias("front_keywords"), F.slice(words, 5, 5).alias("back_keywords"), wanted.alias("wanted_type"))
+    return expected, cards_of(spark, sf_dir).withColumnRenamed("source_file", "case_id")
+
+
+@query(f"WITH {EXPECTED} SELECT case_id, exp_idx, card_idx, round(score, 9) AS score FROM scores")
+def keyword_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = matching.score_matrix(*_cases(spark, sf_dir))
+    rows = matrix.select("case_id", "exp_idx", F.explode(F.arrays_zip("gen", "scores")).alias("x"))
+    return rows.select("case_id", F.col("exp_idx").cast("long"), F.col("x.gen").cast("long").alias("card_idx"), F.round("x.scores", 9).alias("score"))
+
+
+MATCHED = (
+    "WITH RECURSIVE "
+    + EXPECTED
+    + """, matrix AS (
+    SELECT case_id, exp_idx, list(score ORDER BY card_idx) AS s FROM scores GROUP BY ALL
+), picks AS (
+    SELECT case_id, -1::BIGINT AS exp_idx, []::BIGINT[] AS used, NULL::BIGINT AS gen_idx, 0.0::DOUBLE AS similarity FROM (SELECT DISTINCT case_id FROM matrix)
+    UNION ALL
+    SELECT case_id, exp_idx, CASE WHEN hit THEN list_append(used, place) ELSE used END, CASE WHEN hit THEN place - 1 END, CASE WHEN hit THEN best ELSE 0.0::DOUBLE END
+    FROM (SELECT *, best > 0 AND best >= 0.3::DOUBLE AS hit, list_position(free, best)::BIGINT AS place FROM (SELECT *, list_max(free) AS best FROM (
+        SELECT m.case_id, m.exp_idx, p.used, list_transform(m.s, lambda x, i: CASE WHEN list_contains(p.used, i) THEN -1.0::DOUBLE ELSE x END) AS free FROM picks p JOIN matrix m ON m.case_id = p.case_id AND m.exp_idx = p.exp_idx + 1)))
+), matched AS (SELECT case_id, exp_idx, gen_idx, similarity FROM picks WHERE exp_idx >= 0)"""
+)
+
+
+@query(MATCHED + " SELECT case_id, exp_idx, gen_idx, round(similarity, 9) AS similarity FROM matched")
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.greedy_match(*_cases(spark, sf_dir))
+    return found.select("case_id", F.col("exp_idx").cast("long"), F.col("gen_idx").cast("long"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(
+    MATCHED
+    + """, t AS (SELECT count(*) AS total_expected, count(gen_idx) AS total_matched, coalesce(sum(similarity) FILTER (WHERE gen_idx IS NOT NULL), 0) AS s, (SELECT count(*) FROM cards) AS total_generated FROM matched
+    ), r AS (SELECT *, total_matched / total_expected::DOUBLE AS r, total_matched / total_generated::DOUBLE AS p FROM t)
+    SELECT round(r, 9) AS recall, round(p, 9) AS precision, round(CASE WHEN r + p > 0 THEN 2.0 * r * p / (r + p) ELSE 0 END, 9) AS f1, round(CASE WHEN total_matched > 0 THEN s / total_matched ELSE 0 END, 9) AS avg_similarity,
+        0.25::DOUBLE AS total_cost_usd, total_expected, total_generated, total_matched FROM r"""
+)
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected, generated = _cases(spark, sf_dir)
+    found = matching.metrics(matching.greedy_match(expected, generated), generated, cost_usd=0.25)
+    return found.select(*[F.round(c, 9).alias(c) if c in ("recall", "precision", "f1", "avg_similarity") else F.col(c) for c in found.columns])
+
+
+@query(
+    MATCHED
+    + """ SELECT m.case_id, count(gen_idx) AS n_matched, count(*) AS n_expected, any_value(g.n) AS n_generated, round(count(gen_idx) / count(*), 9) AS recall
+    FROM matched m JOIN (SELECT source_file, count(*) AS n FROM cards GROUP BY 1) g ON g.source_file = m.case_id GROUP BY 1"""
+)
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected, generated = _cases(spark, sf_dir)
+    return matching.case_recall(matching.greedy_match(expected, generated), generated).withColumn("recall", F.round("recall", 9))
+
+
+@query(MATCHED + " SELECT source_file AS case_id, card_idx FROM cards WHERE source_file IN (SELECT case_id FROM matched) AND (source_file, card_idx) NOT IN (SELECT (case_id, gen_idx) FROM matched WHERE gen_idx IS NOT NULL)")
+def eval_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected, generated = _cases(spark, sf_dir)
+    cases = expected.select("case_id").distinct()
+    rest = matching.unmatched(generated.join(cases, "case_id", "left_semi"), matching.greedy_match(expected, generated))
+    return rest.select("case_id", F.col("card_idx").cast("long"))
+
+
+@query(f"""WITH {CLEAN} SELECT quality, tokens >= 100 AS passed, count(*) AS n FROM tokened JOIN labels USING (doc_id) GROUP BY ALL""")
+def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (estimated_tokens(preprocessed(F.col("text"))) >= 100).alias("passed"))
+    return docs.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "passed").agg(F.count("*").alias("n"))
+
+
+# ---- export, review, images -------------------------------------------------------------------
+
+
+def _tsv(x: str) -> str:
+    return f"replace(replace({x}, chr(9), ' '), chr(10), '<br>')"
+
+
+@query(
+    f"""WITH {CARDS}, r AS (SELECT source_file, card_idx, card_type, {_tsv("front")} AS f, {_tsv("back")} AS b, array_to_string(list_concat(tags, ['bloom::' || bloom_level, 'extra']), ' ') AS t FROM cards)
+    SELECT source_file, card_idx, 0 AS row_idx, md5(f || chr(9) || b || chr(9) || t) AS row FROM r
+    UNION ALL SELECT source_file, card_idx, 1, md5(b || chr(9) || f || chr(9) || t) FROM r WHERE card_type = 'reversible'"""
+)
+def tsv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = export.tsv_rows(cards_of(spark, sf_dir), ["extra"])
+    return rows.select("source_file", F.col("card_idx").cast("long"), "row_idx", F.md5("row").alias("row"))
+
+
+@query(
+    f"""WITH {CARDS}, r AS (SELECT source_file, card_idx, card_type, {_tsv("front")} AS f, {_tsv("back")} AS b, array_to_string(list_concat(tags, ['bloom::' || bloom_level]), ' ') AS t FROM cards
+    ), w AS (SELECT source_file, card_idx, 0 AS k, f || chr(9) || b || chr(9) || t AS row FROM r UNION ALL SELECT source_file, card_idx, 1, b || chr(9) || f || chr(9) || t FROM r WHERE card_type = 'reversible')
+    SELECT source_file, md5('#separator:tab' || chr(10) || '#html:true' || chr(10) || '#tags column:3' || chr(10) || string_agg(row, chr(10) ORDER BY card_idx, k)) AS tsv FROM w GROUP BY 1"""
+)
+def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.tsv_documents(cards_of(spark, sf_dir)).withColumn("tsv", F.md5("tsv"))
+
+
+@query(
+    f"""WITH {CARDS} SELECT source_file, card_idx, CASE card_type WHEN 'cloze' THEN 'Cloze' WHEN 'reversible' THEN 'Basic (and reversed card)' ELSE 'Basic' END AS model,
+        CASE WHEN card_type = 'cloze' THEN 'Extra,Text' ELSE 'Back,Front' END AS fields, len(tags) + 1 AS n_tags FROM cards"""
+)
+def note_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = export.notes(cards_of(spark, sf_dir), "deck")
+    fields = F.array_join(F.array_sort(F.map_keys("note.fields")), ",")
+    return rows.select("source_file", F.col("card_idx").cast("long"), F.col("note.modelName").alias("model"), fields.alias("fields"), F.size("note.tags").cast("long").alias("n_tags"))
+
+
+@query(f"""WITH {CARDS} SELECT source_file, count(*) AS n_cards, count(*) FILTER (WHERE card_type = 'cloze') AS n_cloze FROM cards GROUP BY 1""")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = export.json_documents(cards_of(spark, sf_dir), "mid-tier", "2026-01-01T00:00:00+00:00")
+    kinds = F.from_json("json", "struct<cards:array<struct<card_type:string>>>")["cards"]
+    return made.select("source_file", F.size(kinds).cast("long").alias("n_cards"), F.size(F.filter(kinds, lambda c: c["card_type"] == "cloze")).cast("long").alias("n_cloze"))
+
+
+@query(f"""WITH {CARDS} SELECT count(*) AS total, count(*) FILTER (WHERE card_idx % 9 <> 0) AS added, count(*) FILTER (WHERE card_idx % 9 = 0) AS failed FROM cards""")
+def push_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = cards_of(spark, sf_dir).select(F.col("card_idx").alias("position"), F.when(F.col("card_idx") % 9 != 0, F.col("card_idx")).alias("note_id"))
+    return export.push_report(answers).select("total", "added", "failed")
+
+
+REVIEW = f"""WITH {CARDS}, items AS (
+    SELECT source_file, card_idx, CASE card_idx % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN card_idx % 8 = 0 THEN 'edited' ELSE front END AS front FROM cards)"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards, n = cards_of(spark, sf_dir), F.col("card_idx")
+    decided = cards.where(n % 4 < 2).select("source_file", "card_idx", F.when(n % 4 == 0, "accepted").otherwise("rejected").alias("status"), F.when(n % 8 == 0, "edited").alias("new_front"), F.lit(None).cast("string").alias("new_back"))
+    return review.review_items(cards, decided)
+
+
+@query(REVIEW + " SELECT source_file, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("pending", "accepted", "rejected")) + " FROM items GROUP BY 1")
+def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.stats(_items(spark, sf_dir), "source_file")
+
+
+@query(REVIEW + " SELECT source_file, card_idx, md5(front) AS front FROM items WHERE status = 'accepted'")
+def accepted_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.accepted(_items(spark, sf_dir)).select("source_file", F.col("card_idx").cast("long"), F.md5("front").alias("front"))
+
+
+BOXES = """boxes AS (
+    SELECT doc_id // 8 AS doc_id, (doc_id % 8) // 4 AS page_num, k AS idx, (n_chars % 50 + k * 37)::DOUBLE AS x0, (n_chars % 70)::DOUBLE AS y0, (n_chars % 50 + k * 37 + n_chars % 190 - 15)::DOUBLE AS x1,
+        (n_chars % 70 + 30 + doc_id % 300)::DOUBLE AS y1, 595.0::DOUBLE AS page_width, 842.0::DOUBLE AS page_height, 100 + n_chars % 3000 AS width, 100 + doc_id % 2000 AS height
+    FROM documents, range(0, 7) r(k) WHERE doc_id % 4 = 0
+), pages_ AS (
+    SELECT doc_id, page_num, count(*) AS n_images, sum(greatest((x1 - x0) * (y1 - y0), 0)) / (595.0::DOUBLE * 842.0::DOUBLE) AS coverage FROM boxes GROUP BY ALL
+)"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, n, k = F.col("doc_id"), F.col("n_chars"), F.col("idx")
+    rows = _table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("idx"))
+    left, low = n % 50 + k * 37, n % 70
+    box = [left.cast("double").alias("x0"), low.cast("double").alias("y0"), (left + n % 190 - 15).cast("double").alias("x1"), (low + 30 + d % 300).cast("double").alias("y1")]
+    page = [F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), (n % 3000 + 100).alias("width"), (d % 2000 + 100).alias("height")]
+    return rows.select(F.floor(d / 8).alias("doc_id"), F.floor((d % 8) / 4).alias("page_num"), "idx", *box, *page)
+
+
+@query(f"WITH {BOXES} SELECT doc_id, page_num, n_images, round(coverage, 9) AS coverage, coverage >= 0.2 AS significant FROM pages_")
+def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.page_coverage(_boxes(spark, sf_dir)).withColumn("coverage", F.round("coverage", 9))
+
+
+@query(
+    f"""WITH {BOXES}, n AS (SELECT b.*, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY idx) AS nth FROM boxes b JOIN pages_ USING (doc_id, page_num) WHERE coverage >= 0.2)
+    SELECT doc_id, page_num, idx, (width * height) // 750 AS tokens, round(least(CASE WHEN greatest(width, height) > 1568 THEN 1568.0::DOUBLE / greatest(width, height) ELSE 1.0 END,
+        CASE WHEN width * height > 1150000 THEN sqrt(1150000.0::DOUBLE / (width * height)) ELSE 1.0 END), 9) AS scale FROM n WHERE nth <= 5"""
+)
+def chosen_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = images.chosen_images(_boxes(spark, sf_dir))
+    return found.select("doc_id", "page_num", "idx", image_tokens(F.col("width"), F.col("height")).alias("tokens"), F.round(image_scale(F.col("width"), F.col("height")), 9).alias("scale"))
+
+
+@query(f"WITH {CLEAN} SELECT doc_id, tokens, round(tokens / 1e6 * 3.0 + (tokens // 4) / 1e6 * 15.0, 9) AS cost_usd FROM tokened")
+def projected_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", estimated_tokens(preprocessed(F.col("text"))).alias("tokens"))
+    cost: Column = estimated_cost(F.lit(MID), F.col("tokens"), F.floor(F.col("tokens") / 4))
+    return rows.withColumn("cost_usd", F.round(cost, 9))
