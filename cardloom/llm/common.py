@@ -28,10 +28,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: With it, Spark removes the shuffle files of an execution when that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint: cuts lineage, and a lost executor costs no more than the tasks that ran on it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Checkpoint: cuts lineage, and a lost executor costs no more than the tasks that ran on it.
+
+    What the checkpoint shuffled is not read again, so those files go at once.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # select: a plan made under this setting
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def sweep(spark: SparkSession) -> None:

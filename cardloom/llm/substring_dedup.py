@@ -81,7 +81,7 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
     columns are ignored; an empty table gives no rows.  length: more than PERIOD + 2.
 
     The hashes that repeat are counted with partial sums, and each text gets back only its own, so no
-    task holds a hot window's texts; a window is told apart by 128 bits.
+    task holds a hot window's texts; a window is told apart by 96 bits.
     """
     anchor = length - PERIOD + 1
     if anchor < 3:
@@ -109,7 +109,7 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
                 whole = words.fits(length)
                 whole = whole[near[whole]]
                 rows = batch.column(0)[a:b].take(pa.array(words.of[whole]))
-                yield pa.record_batch([pa.array(words.runs(length, whole)), pa.array(words.runs(length, whole, 2)), rows], ["h", "g", "doc_id"])
+                yield pa.record_batch([pa.array(words.runs(length, whole)), pa.array(words.runs(length, whole, 2).astype(np.int32)), rows], ["h", "g", "doc_id"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +140,7 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
     sweep(spark)
     same = F.col("doc_id").eqNullSafe(F.col("owner"))
     some = texts.join(near, same).select("doc_id", "text", "hashes")
-    hits = again(some.mapInArrow(windows, "h long, g long, doc_id long"), "h", "g")
+    hits = again(some.mapInArrow(windows, "h long, g int, doc_id long"), "h", "g")
     del near, some
     sweep(spark)
     every = texts.join(hits, same, "left").select("doc_id", "text", F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
