@@ -20,9 +20,14 @@ def json_body(response: Column) -> Column:
 
 
 def parse_status(body: Column) -> Column:
-    """ok, invalid_json or not_array."""
+    """ok, invalid_json or not_array.
+
+    The parser stops after the first value, so what follows it is found by parsing the body once more
+    inside an array and inside an object: no text closes both early.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull()
     parsed = F.try_parse_json(body)
-    return F.when(parsed.isNull(), "invalid_json").when(~F.schema_of_variant(parsed).startswith("ARRAY"), "not_array").otherwise("ok")
+    return F.when(parsed.isNull() | ~alone, "invalid_json").when(~F.schema_of_variant(parsed).startswith("ARRAY"), "not_array").otherwise("ok")
 
 
 def elements(body: Column) -> Column:
