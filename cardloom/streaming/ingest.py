@@ -11,9 +11,12 @@ from cardloom.sources.files import content_hash, supported
 
 
 def stream_documents(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Documents as they arrive: source_path, arrived, content_hash, text; a content seen within a day comes once."""
+    """Text and Markdown as they arrive: source_path, arrived, content_hash, text; a content seen within a day comes once.
+
+    Files that need a converter go through load_documents() instead, as do those that aren't UTF-8.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).load(path)
-    rows = files.where(supported(F.col("path"))).select(F.col("path").alias("source_path"), F.col("modificationTime").alias("arrived"), content_hash(F.col("content")).alias("content_hash"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    rows = files.where(supported(F.col("path")) & ~F.lower("path").endswith(".pdf")).select(F.col("path").alias("source_path"), F.col("modificationTime").alias("arrived"), content_hash(F.col("content")).alias("content_hash"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     once = rows.where("text IS NOT NULL").withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["content_hash"])
     return once.withColumn("text", preprocessed(F.col("text")))
 
