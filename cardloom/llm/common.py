@@ -47,6 +47,15 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def discard(settled: DataFrame) -> None:
+    """Remove the files of a frame from settle() that nothing will read again, without waiting for Spark's cleaner."""
+    held = settled._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if held.isDefined():
+        jvm = settled.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(settled.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import settle, sweep, text_of
+from cardloom.llm.common import discard, settle, sweep, text_of
 from cardloom.llm.pieces import piece_keys, powers, text_chunks
 
 #: A perfect difference set modulo PERIOD.
@@ -88,6 +88,8 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
         raise ValueError(f"length must be more than {PERIOD + 2}")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    # Whom a hash goes back to; rows that share an owner share hashes that repeat, which does no harm.
+    texts = texts.withColumn("owner", F.coalesce("doc_id", F.xxhash64("text")))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +97,7 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
                 words = Words(buf, offsets)
                 at = words.anchors(anchor)
                 rows = batch.column(0)[a:b].take(pa.array(words.of[at]))
-                yield pa.record_batch([pa.array(words.runs(anchor, at)), rows], ["h", "doc_id"])
+                yield pa.record_batch([pa.array(words.runs(anchor, at)), rows], ["h", "owner"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +111,7 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
                 whole = words.fits(length)
                 whole = whole[near[whole]]
                 rows = batch.column(0)[a:b].take(pa.array(words.of[whole]))
-                yield pa.record_batch([pa.array(words.runs(length, whole)), pa.array(words.runs(length, whole, 2).astype(np.int32)), rows], ["h", "g", "doc_id"])
+                yield pa.record_batch([pa.array(words.runs(length, whole)), pa.array(words.runs(length, whole, 2).astype(np.int32)), rows], ["h", "g", "owner"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,14 +136,16 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
         twice = settle(rows.groupBy(*keys).count().where("count > 1").select(*keys))
         # Both sides of the join are plain exchanges, so a hot hash's rows can be split among tasks.
         mine = rows.join(twice, list(keys), "left_semi")
-        return settle(mine.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set("h").alias("hashes")))
+        found = settle(mine.groupBy("owner").agg(F.collect_set("h").alias("hashes")))
+        discard(twice)
+        return found
 
-    near = again(texts.mapInArrow(anchors, "h long, doc_id long"), "h")
+    owned = texts.select("owner", "text")
+    near = again(owned.mapInArrow(anchors, "h long, owner long"), "h")
     sweep(spark)
-    same = F.col("doc_id").eqNullSafe(F.col("owner"))
-    some = texts.join(near, same).select("doc_id", "text", "hashes")
-    hits = again(some.mapInArrow(windows, "h long, g int, doc_id long"), "h", "g")
-    del near, some
+    some = owned.join(near, "owner").select("owner", "text", "hashes")
+    hits = again(some.mapInArrow(windows, "h long, g int, owner long"), "h", "g")
+    discard(near)
     sweep(spark)
-    every = texts.join(hits, same, "left").select("doc_id", "text", F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
+    every = texts.join(hits, "owner", "left").select("doc_id", "text", F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
     return every.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
