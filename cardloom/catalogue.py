@@ -43,6 +43,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _few(table: DataFrame) -> bool:
+    """Whether a table has fewer partitions than there are cores, so that most would stay idle."""
+    return table._jdf.queryExecution().toRdd().getNumPartitions() < table.sparkSession.sparkContext.defaultParallelism
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a small table is dealt out to all cores, a large one stays as it is."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.repartition(spark.sparkContext.defaultParallelism) if _few(docs) else docs
+
+
 def _names(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -66,7 +77,7 @@ CLEAN = r"""clean AS (
            count(*) FILTER (WHERE tokens > 2000) AS n_split
     FROM tokened GROUP BY lang""")
 def doc_preview_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = preview(_table(spark, sf_dir, "documents"), token_limit=2000)
+    rows = preview(_documents(spark, sf_dir), token_limit=2000)
     return rows.groupBy("lang").agg(
         F.count("*").alias("n_docs"),
         F.sum("n_chars_clean").alias("n_chars"),
@@ -79,13 +90,13 @@ def doc_preview_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CLEAN} SELECT doc_id, length(t) AS n_chars_clean, cjk, tokens FROM tokened")
 def doc_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", preprocessed(F.col("text")).alias("t"))
+    rows = _documents(spark, sf_dir).select("doc_id", preprocessed(F.col("text")).alias("t"))
     return rows.select("doc_id", F.length("t").cast("long").alias("n_chars_clean"), cjk_count(F.col("t")).cast("long").alias("cjk"), estimated_tokens(F.col("t")).alias("tokens"))
 
 
 @query(f"WITH {CLEAN} SELECT source, sum(length(text))::BIGINT AS before, sum(length(t))::BIGINT AS after FROM clean GROUP BY source")
 def doc_preprocess_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("source", F.length("text").alias("a"), F.length(preprocessed(F.col("text"))).alias("b"))
+    rows = _documents(spark, sf_dir).select("source", F.length("text").alias("a"), F.length(preprocessed(F.col("text"))).alias("b"))
     return rows.groupBy("source").agg(F.sum("a").alias("before"), F.sum("b").alias("after"))
 
 
@@ -94,7 +105,7 @@ def doc_preprocess_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
            sum(tokens)::BIGINT AS n_tokens, min(doc_id) AS first_doc
     FROM tokened GROUP BY 1""")
 def model_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", preprocessed(F.col("text")).alias("t"))
+    rows = _documents(spark, sf_dir).select("doc_id", preprocessed(F.col("text")).alias("t"))
     rows = rows.withColumn("model", selected_model(F.length("t"), F.col("doc_id") % 40))
     return rows.groupBy("model").agg(F.count("*").alias("n_docs"), F.sum(estimated_tokens(F.col("t"))).alias("n_tokens"), F.min("doc_id").alias("first_doc"))
 
@@ -139,7 +150,7 @@ _TOKENS = "trunc(length(p) / 4.0::DOUBLE)"  # these texts hold no CJK
 )
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.regexp_replace("text", r"\A\s+|\s+\z", ""), F.lit("\n"), F.lit("\n\n"))
-    rows = chunks.chunk_rows(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", token_limit=200)
+    rows = chunks.chunk_rows(_documents(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id", token_limit=200)
     return rows.select("doc_id", F.col("chunk_idx").cast("long"), F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
@@ -152,7 +163,7 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def subsplit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.regexp_replace("text", r"\A\s+|\s+\z", ""), F.lit("\n"), F.lit("\n\n"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).where("text <> ''")
+    docs = _documents(spark, sf_dir).select("doc_id", text.alias("text")).where("text <> ''")
     parts = docs.select("doc_id", F.posexplode(chunks.numbered(chunks.split_section(F.col("text"), 600))).alias("part", "p"))
     parts = parts.select("doc_id", "part", F.col("p.part_text").alias("t"), F.col("p.n_parts").alias("n"))
     name = F.when(F.col("n") > 1, F.concat(F.lit("section-0-"), F.col("part").cast("string"))).otherwise("section-0")
@@ -196,7 +207,7 @@ _JP = {1: "第N章 ", 3: "（N） "}
 
 
 def _sections(spark: SparkSession, sf_dir: str, marks: dict[int, str]) -> DataFrame:
-    rows = sectioning.sections(_headed(_table(spark, sf_dir, "documents"), marks), "doc_id", title="source", max_chars=10_000_000)
+    rows = sectioning.sections(_headed(_documents(spark, sf_dir), marks), "doc_id", title="source", max_chars=10_000_000)
     return rows.select("doc_id", "id", "heading", "level", F.col("char_count").cast("long").alias("char_count"), F.md5("text").alias("digest"), "breadcrumb")
 
 
@@ -339,7 +350,8 @@ CARDS = f"""turns AS (
 def cards_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_file, card_idx and a card for each pair of turns."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = _table(spark, sf_dir, "conversations").withColumns({"role2": F.lead("role").over(w), "text2": F.lead("text").over(w)})
+    table = _table(spark, sf_dir, "conversations")
+    turns = table.withColumns({"role2": F.lead("role").over(w), "text2": F.lead("text").over(w)})
     rows = turns.where("role = 'user' AND role2 = 'assistant'")
     c, t, a, b = F.col("conv_id"), F.col("turn"), F.col("text"), F.col("text2")
     cloze = (c % 8 == 3) & (t % 4 == 0)
@@ -351,7 +363,7 @@ def cards_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(c % 3 == 0, F.array(topic, F.lit("turns"))).when(c % 3 == 1, F.array(F.lit("turns"))).otherwise(F.array(topic))
     number = F.row_number().over(Window.partitionBy(c % DECKS).orderBy("conv_id", "turn")) - 1
     empty = F.array().cast("array<string>")
-    return rows.select(
+    cards = rows.select(
         F.concat(F.lit("deck-"), (c % DECKS).cast("string")).alias("source_file"),
         number.alias("card_idx"),
         front.alias("front"),
@@ -363,6 +375,7 @@ def cards_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("mnemonic_hint"),
         empty.alias("media"),
     )
+    return cards.repartition(spark.sparkContext.defaultParallelism, "source_file", "card_idx") if _few(table) else cards
 
 
 @query(f"WITH {CARDS} SELECT source_file, card_idx, md5(front) AS front, md5(back) AS back, card_type, bloom_level, array_to_string(tags, ' ') AS tags FROM cards")
@@ -653,7 +666,7 @@ def eval_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CLEAN} SELECT quality, tokens >= 100 AS passed, count(*) AS n FROM tokened JOIN labels USING (doc_id) GROUP BY ALL""")
 def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", (estimated_tokens(preprocessed(F.col("text"))) >= 100).alias("passed"))
+    docs = _documents(spark, sf_dir).select("doc_id", (estimated_tokens(preprocessed(F.col("text"))) >= 100).alias("passed"))
     return docs.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "passed").agg(F.count("*").alias("n"))
 
 
@@ -761,6 +774,6 @@ def chosen_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CLEAN} SELECT doc_id, tokens, round(tokens / 1e6 * 3.0 + (tokens // 4) / 1e6 * 15.0, 9) AS cost_usd FROM tokened")
 def projected_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", estimated_tokens(preprocessed(F.col("text"))).alias("tokens"))
+    rows = _documents(spark, sf_dir).select("doc_id", estimated_tokens(preprocessed(F.col("text"))).alias("tokens"))
     cost: Column = estimated_cost(F.lit(MID), F.col("tokens"), F.floor(F.col("tokens") / 4))
     return rows.withColumn("cost_usd", F.round(cost, 9))

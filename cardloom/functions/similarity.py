@@ -11,8 +11,8 @@ SEPARATORS = r"[\s\x{3000}\x{3001}\x{3002}\x{FF1F}?\x{FF01}!,.\-:\x{FF1A}]+"
 
 
 def _pairs(text: Column) -> Column:
-    """Substrings of two characters; none for a shorter text."""
-    return F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """Substrings of two characters; none for a shorter text.  One pass: each match takes a character and looks at the next."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(..))."), 1)
 
 
 def bigrams(text: Column) -> Column:

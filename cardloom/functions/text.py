@@ -33,7 +33,8 @@ def preprocessed(text: Column) -> Column:
 
 
 def cjk_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
+    """How many characters are CJK: runs of them are cut out, so other texts are only read through."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{CJK}]+", ""))
 
 
 def is_cjk(char: Column) -> Column:

@@ -44,11 +44,13 @@ def _ranges(sizes: Column, limit: int, separator: int) -> Column:
 def _cut(paragraphs: Column, ranges: Column, width) -> Column:
     """The text of each range; a paragraph on its own is sliced every width(paragraph) characters."""
 
+    def slices(p: Column) -> Column:
+        cut = lambda w: F.transform(F.sequence(F.lit(0), ((F.length(p) - 1) / w).cast("int")), lambda k: F.substring(p, (k * w + 1).cast("int"), w.cast("int")))
+        return let(width(p), cut)
+
     def texts(r: Column) -> Column:
-        p = F.get(paragraphs, r["a"])
-        w = width(p)
-        slices = F.transform(F.sequence(F.lit(0), ((F.length(p) - 1) / w).cast("int")), lambda k: F.substring(p, (k * w + 1).cast("int"), w.cast("int")))
-        return F.when(r["b"] < 0, slices).otherwise(F.array(F.array_join(F.slice(paragraphs, r["a"] + 1, F.greatest(F.lit(1), r["b"] - r["a"])), "\n\n")))
+        together = F.array(F.array_join(F.slice(paragraphs, r["a"] + 1, F.greatest(F.lit(1), r["b"] - r["a"])), "\n\n"))
+        return F.when(r["b"] < 0, let(F.get(paragraphs, r["a"]), slices)).otherwise(together)
 
     return F.flatten(F.transform(ranges, texts))
 

@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.similarity import bigrams, jaccard, tokens
+from cardloom.functions.text import let
 
 #: The least similarity that any rule accepts, by the set that it compares.
 FLOOR = {"f": 0.5, "t": 0.5, "b": 0.35}
+#: Cards of a source up to which comparing all pairs costs less than the index.
+LARGE = 2_000
+
+
+def _codes(grams: Column) -> Column:
+    """A number for each set element of one or two characters, which compares faster than the string."""
+    second = lambda g: F.when(F.length(g) > 1, F.ascii(F.substring(g, 2, 1)) + 1).otherwise(F.lit(0))
+    return F.transform(grams, lambda g: F.ascii(g).cast("long") * (1 << 21) + second(g))
 
 
 def featured(cards: DataFrame) -> DataFrame:
@@ -19,33 +28,57 @@ def featured(cards: DataFrame) -> DataFrame:
         "card_type",
         F.array_sort(F.array_distinct("tags")).alias("tag_set"),
         (F.length("back") > 0).alias("has_back"),
-        bigrams(F.col("front")).alias("f"),
+        _codes(bigrams(F.col("front"))).alias("f"),
         tokens(F.col("front")).alias("t"),
-        bigrams(F.col("back")).alias("b"),
+        _codes(bigrams(F.col("back"))).alias("b"),
     )
 
 
 def similar(a: str = "a", b: str = "b") -> Column:
-    """Q11 over two aliased featured() frames; cheap comparisons first."""
+    """Q11 over two aliased featured() frames: pairs of unlike type and tags fall out first, and each similarity is worked out once."""
     x, y = (lambda n: F.col(f"{a}.{n}")), (lambda n: F.col(f"{b}.{n}"))
     typed, tagged = x("card_type") == y("card_type"), x("tag_set") == y("tag_set")
-    front, token, back = (jaccard(x(n), y(n)) for n in "ftb")
     both = typed & x("has_back") & y("has_back")
-    return (typed & (front > 0.7)) | (tagged & (front > 0.5)) | (typed & (token > 0.5)) | (both & (back > 0.4) & (front > 0.1)) | (both & tagged & (back > 0.35))
+    # A similarity is at most the ratio of the sets' sizes, so most needn't be worked out.
+    reach = lambda n: F.least(F.size(x(n)), F.size(y(n))) > F.greatest(F.size(x(n)), F.size(y(n))) * F.lit(FLOOR[n])
+    sim = lambda n, needed: F.when(needed, jaccard(x(n), y(n))).otherwise(F.lit(0.0)).alias(n)
+    sims = F.struct(sim("f", F.lit(True)), sim("t", typed & reach("t")), sim("b", both & reach("b")))
+    rules = lambda s: (typed & (s["f"] > 0.7)) | (tagged & (s["f"] > 0.5)) | (typed & (s["t"] > 0.5)) | (both & (s["b"] > 0.4) & (s["f"] > 0.1)) | (both & tagged & (s["b"] > 0.35))
+    return (typed | tagged) & let(sims, rules)
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out by keys in as many partitions as shuffles have: comparing costs far more than the rows weigh."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def similar_pairs(cards: DataFrame, indexed: bool = True) -> DataFrame:
+def similar_pairs(cards: DataFrame, indexed: bool | None = None) -> DataFrame:
     """source_file, i, j (i < j) of the pairs of cards that cover the same concept.
 
     Plain, it compares all pairs of a source.  Indexed, it compares those that share an element among the
     first |s| - ceil(t |s|) + 1 of a fixed order of their front bigrams, front tokens or back bigrams, and
-    the card type or the tags: sets whose similarity exceeds t must, so the result is the same.
+    the card type or the tags: sets whose similarity exceeds t must, so the result is the same.  By
+    default sources of up to LARGE cards go the plain way and others the indexed one.
     """
-    rows = featured(cards)
+    if indexed is None:
+        sizes = cards.groupBy("source_file").count()
+        small = cards.join(sizes.where(F.col("count") <= LARGE), "source_file", "left_semi")
+        large = cards.join(sizes.where(F.col("count") > LARGE), "source_file", "left_semi")
+        if sizes.where(F.col("count") > LARGE).limit(1).isEmpty():
+            return _plain_pairs(cards)
+        return _plain_pairs(small).unionByName(_indexed_pairs(large))
+    return _indexed_pairs(cards) if indexed else _plain_pairs(cards)
+
+
+def _plain_pairs(cards: DataFrame) -> DataFrame:
+    rows = _spread(featured(_spread(cards, "source_file", "card_idx")), "source_file")
     a, b = rows.alias("a"), rows.alias("b")
-    if not indexed:
-        met = a.join(b, (F.col("a.source_file") == F.col("b.source_file")) & (F.col("a.card_idx") < F.col("b.card_idx")))
-        return met.where(similar()).select(F.col("a.source_file").alias("source_file"), F.col("a.card_idx").alias("i"), F.col("b.card_idx").alias("j"))
+    met = a.join(b, (F.col("a.source_file") == F.col("b.source_file")) & (F.col("a.card_idx") < F.col("b.card_idx")))
+    return met.where(similar()).select(F.col("a.source_file").alias("source_file"), F.col("a.card_idx").alias("i"), F.col("b.card_idx").alias("j"))
+
+
+def _indexed_pairs(cards: DataFrame) -> DataFrame:
+    rows = featured(_spread(cards, "source_file", "card_idx"))
 
     def prefix(name: str) -> Column:
         ordered = F.array_sort(F.transform(name, lambda e: F.xxhash64(e)))
@@ -58,9 +91,10 @@ def similar_pairs(cards: DataFrame, indexed: bool = True) -> DataFrame:
     keys = keys.select("source_file", "card_idx", "e.set", "e.h", F.explode("blocks").alias("block"))
     other = keys.withColumnRenamed("card_idx", "j")
     near = keys.withColumnRenamed("card_idx", "i").join(other, ["source_file", "block", "set", "h"]).where("i < j").select("source_file", "i", "j").distinct()
-    met = near.join(a, (near.source_file == F.col("a.source_file")) & (near.i == F.col("a.card_idx")))
-    met = met.join(b, (near.source_file == F.col("b.source_file")) & (near.j == F.col("b.card_idx")))
-    return met.where(similar()).select(near.source_file, near.i, near.j)
+    a, b, near = rows.alias("a"), rows.alias("b"), _spread(near, "source_file", "i").alias("near")
+    met = near.join(a, (F.col("near.source_file") == F.col("a.source_file")) & (F.col("near.i") == F.col("a.card_idx")))
+    met = met.join(b, (F.col("near.source_file") == F.col("b.source_file")) & (F.col("near.j") == F.col("b.card_idx")))
+    return met.where(similar()).select("near.source_file", "near.i", "near.j")
 
 
 def flag_duplicates(scored: DataFrame, pairs: DataFrame) -> DataFrame:

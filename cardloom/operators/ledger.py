@@ -31,7 +31,7 @@ def _running(rows: DataFrame, value: Column, out: str, order: list[str], partiti
     if partition:
         w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn(out, F.coalesce(F.sum(out).over(w), F.lit(0).cast(rows.schema[out].dataType)))
-    # Written and read again: the partition numbers must be the same for the sums and the rows.
+    # Kept: the partition numbers must be the same for the sums and the rows.
     dealt = rows.repartitionByRange(*order).withColumn("part_no", F.spark_partition_id()).persist()
     zero = F.lit(0).cast(rows.schema[out].dataType)
     sums = dealt.groupBy("part_no").agg(F.sum(out).alias("part_sum"))

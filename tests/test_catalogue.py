@@ -1,4 +1,4 @@
-"""Every query of the catalogue against its SQL, on the smallest tables."""
+"""Every query of the catalogue against its SQL, on the tables of the correctness run."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pytest
 
 from cardloom import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
