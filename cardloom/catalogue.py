@@ -616,12 +616,12 @@ MATCHED = (
     "WITH RECURSIVE "
     + EXPECTED
     + """, matrix AS (
-    SELECT case_id, exp_idx, list(score ORDER BY card_idx) AS s FROM scores GROUP BY ALL
+    SELECT case_id, exp_idx, coalesce(list(score ORDER BY card_idx) FILTER (WHERE card_idx IS NOT NULL), []::DOUBLE[]) AS s FROM expected LEFT JOIN scores USING (case_id, exp_idx) GROUP BY ALL
 ), picks AS (
     SELECT case_id, -1::BIGINT AS exp_idx, []::BIGINT[] AS used, NULL::BIGINT AS gen_idx, 0.0::DOUBLE AS similarity FROM (SELECT DISTINCT case_id FROM matrix)
     UNION ALL
     SELECT case_id, exp_idx, CASE WHEN hit THEN list_append(used, place) ELSE used END, CASE WHEN hit THEN place - 1 END, CASE WHEN hit THEN best ELSE 0.0::DOUBLE END
-    FROM (SELECT *, best > 0 AND best >= 0.3::DOUBLE AS hit, list_position(free, best)::BIGINT AS place FROM (SELECT *, list_max(free) AS best FROM (
+    FROM (SELECT *, best > 0 AND best >= 0.3::DOUBLE AS hit, list_position(free, best)::BIGINT AS place FROM (SELECT *, coalesce(list_max(free), 0.0::DOUBLE) AS best FROM (
         SELECT m.case_id, m.exp_idx, p.used, list_transform(m.s, lambda x, i: CASE WHEN list_contains(p.used, i) THEN -1.0::DOUBLE ELSE x END) AS free FROM picks p JOIN matrix m ON m.case_id = p.case_id AND m.exp_idx = p.exp_idx + 1)))
 ), matched AS (SELECT case_id, exp_idx, gen_idx, similarity FROM picks WHERE exp_idx >= 0)"""
 )
@@ -648,8 +648,8 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     MATCHED
-    + """ SELECT m.case_id, count(gen_idx) AS n_matched, count(*) AS n_expected, any_value(g.n) AS n_generated, round(count(gen_idx) / count(*), 9) AS recall
-    FROM matched m JOIN (SELECT source_file, count(*) AS n FROM cards GROUP BY 1) g ON g.source_file = m.case_id GROUP BY 1"""
+    + """ SELECT m.case_id, count(gen_idx) AS n_matched, count(*) AS n_expected, coalesce(any_value(g.n), 0) AS n_generated, round(count(gen_idx) / count(*), 9) AS recall
+    FROM matched m LEFT JOIN (SELECT source_file, count(*) AS n FROM cards GROUP BY 1) g ON g.source_file = m.case_id GROUP BY 1"""
 )
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected, generated = _cases(spark, sf_dir)
