@@ -1,0 +1,179 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, none missed.
+
+With the shingles of all texts in one order, two sets that are similar enough share one of the first
+n // 5 + 1 shingles of each: these name the buckets in which candidates meet.  The order is by a sketch of
+how common a shingle is, then by its hash, so passages that many texts hold come last; any order is exact.
+Only components are wanted, so each member of a bucket first meets three of the bucket's members, and
+then those members alone whose component is still another one.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cardloom.llm.common import settle, sweep, text_of
+from cardloom.llm.simhash import least_reachable, text_hash
+
+WORDS = 5
+#: Slots of the sketch of common shingles, in slices that are summed apart.
+SLOTS, SLICES = 1 << 22, 64
+#: Longs of a set's bitmap, whose bits are parities: no more of them differ than members do.
+BITMAP = 8
+#: Each gives another order of the sets, whose least member of a bucket is met by all.
+TURNS = (0, 0x5555555555555555, 0x3C69A5F00F5A963C)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of the runs of five words (of all words, if there are fewer), ascending; no words: none."""
+    words = (text or "").encode().lower().split()  # of bytes: A-Z alone, and ASCII white space
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)] if words else [], np.uint64)
+    digest, known = xxhash.xxh64_intdigest, {}
+    hashes = np.fromiter((known[w] if w in known else known.setdefault(w, digest(w)) for w in words), np.uint64, len(words))
+    runs = np.zeros(len(words) - WORDS + 1, np.uint64)
+    for k in range(WORDS):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(runs)]
+    runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(runs ^ (runs >> np.uint64(32)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of at least 0.8; two sets without members are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(42)).astype(np.int64)
+
+
+def common(docs: DataFrame) -> np.ndarray:
+    """For each slot of the shingles' hashes, how many times texts have a shingle there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.uint32)
+
+        def put(held: list[np.ndarray]) -> None:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            seen[at] += times.astype(np.uint32)
+
+        for batch in batches:
+            held, size = [], 0
+            for t in batch.column(0):
+                held.append(_slots(shingles(t.as_py())))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    put(held)
+                    held, size = [], 0
+            if held:
+                put(held)
+        parts = [zlib.compress(x.tobytes(), 1) for x in seen.reshape(SLICES, -1) if x.any()]
+        yield pa.record_batch([pa.array([k for k, x in enumerate(seen.reshape(SLICES, -1)) if x.any()], pa.int32()), pa.array(parts, pa.binary())], ["slice", "seen"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS // SLICES, np.uint32)
+        for batch in batches:
+            for x in batch.column("seen"):
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "seen"])
+
+    found = docs.select(text_of().alias("text")).mapInArrow(count, "slice int, seen binary").groupBy("slice").applyInArrow(add, "slice int, seen binary")
+    times = np.zeros((SLICES, SLOTS // SLICES), np.uint32)
+    for r in found.collect():
+        times[r.slice] = np.frombuffer(bytes(r.seen), np.uint32)
+    return times.reshape(-1)
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), id (of the set of shingles), n (its size), bits (its bitmap) and first (the shingles that name its buckets) of every row."""
+    times = docs.sparkSession.sparkContext.broadcast(common(docs))
+
+    def one(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+        found = shingles(text)
+        order = np.lexsort((found, times.value[_slots(found)]))
+        bits = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP).astype(np.uint8) & 1
+        first = found[order[: len(found) // 5 + 1]]
+        return np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64), len(found), np.packbits(bits, bitorder="little").view(np.int64), first.view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                ids, sizes, bits, first = zip(*(one(t.as_py()) for t in part.column(1)), strict=True)
+                longs = lambda x: pa.array(x, pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), longs(bits), longs(first)], ["doc_id", "digest", "id", "n", "bits", "first"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), text_hash().alias("digest"))
+    return rows.mapInArrow(run, "doc_id long, digest long, id long, n long, bits array<long>, first array<long>")
+
+
+def _near() -> Column:
+    """Whether two sets can be similar by their sizes and bitmaps: as many members differ, at least, as bits do."""
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(BITMAP)), F.lit(0))
+    return (5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")) & (9 * differ <= F.col("an") + F.col("bn"))
+
+
+def _side(rows: DataFrame, side: str, *more: Column) -> DataFrame:
+    return rows.select(F.col("id").alias(side), F.col("n").alias(f"{side}n"), *[F.col("bits")[k].alias(f"{side}{k}") for k in range(BITMAP)], *more)
+
+
+def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar, by their texts; texts: id, digest of one text of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, held = None, None
+            good = []
+            for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, held = a, shingles(s.as_py())
+                good.append(similar(held, shingles(t.as_py())))
+            yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    pairs = settle(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id")
+    held = docs.select(text_hash().alias("digest"), text_of().alias("text")).join(wanted, "digest").dropDuplicates(["id"])
+    held = settle(held.select("id", "text"))
+    of = lambda side: held.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
+    return settle(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, digest (text_hash()), component.
+
+    Rows have the same component if a chain of texts leads from one to the other, each with a Jaccard
+    similarity of 0.8 or more to the next.  Null texts count as empty; texts without words are one
+    component; texts of fewer than five words are similar if their words are the same; other columns are
+    ignored; an empty table gives no rows.
+    """
+    rows = settle(sets(docs))
+    one = settle(rows.groupBy("id").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first")))
+    texts, known = one.select("id", "digest"), one.select("id", "n", "bits")
+    buckets = one.select("id", F.explode("first").alias("token"))
+    least = [F.min(F.col("id").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"m{k}") for k, x in enumerate(TURNS)]
+    shared = buckets.groupBy("token").agg(F.count("*").alias("members"), *least).where("members > 1").drop("members")
+    held = settle(buckets.join(shared, "token"))
+    met = held.select(F.col("id"), F.explode(F.array_distinct(F.array("m0", "m1", "m2"))).alias("m")).where("id <> m")
+    met = met.select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
+    pairs = met.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_near()).select("a", "b")
+    links = _verified(docs, texts, pairs)
+    roots = settle(least_reachable(links))
+    sweep(docs.sparkSession)
+
+    member = held.select("token", "id").join(roots, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("root", "id").alias("root"))
+    mixed = member.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    member = settle(member.join(mixed, "token").join(known, "id"))
+    left, right = _side(member, "a", F.col("token"), F.col("root").alias("ra")), _side(member, "b", F.col("token"), F.col("root").alias("rb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).where(_near()).select("a", "b").distinct()
+    links = settle(links.unionByName(_verified(docs, texts, pairs)))
+    roots = settle(least_reachable(links))
+    sweep(docs.sparkSession)
+    found = rows.select("doc_id", "digest", "id").join(roots, F.col("id") == F.col("node"), "left")
+    return found.select("doc_id", "digest", F.coalesce("root", "id").alias("component"))

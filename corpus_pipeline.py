@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cardloom.llm import packing, quality, secret_scan
 from cardloom.llm.common import lower_ascii, text_of, work_path
 from cardloom.llm.exact_dedup import exact_duplicates
+from cardloom.llm.jaccard import similar_texts
 from cardloom.llm.queries import table, vocabulary
 from cardloom.llm.simhash import near_duplicates, text_hash
 
@@ -50,6 +51,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _only(docs, text_hash(), least.select("w.doc_id", "w.digest"))
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document with the smallest doc_id."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    least = similar_texts(docs).groupBy("component").agg(F.min(order).alias("w"))
+    return _only(docs, text_hash(), least.select("w.doc_id", "w.digest"))
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced by their kinds; n_chars follows where the text changed."""
     hidden = secret_scan.redacted(F.col("text"))
@@ -68,7 +76,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality", keep_quality),
     ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
+    ("near_dedup", drop_similar),
     ("secrets", hide_secrets),
     ("packing", pack_sequences),
 ]

@@ -1,0 +1,82 @@
+"""The near-copy stage against brute-force Jaccard over five-word shingles."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import corpus_pipeline as P
+from cardloom.llm import jaccard
+from tests.llm.helpers import awkward, documents
+
+
+def plain(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute(rows):
+    """The component of each distinct set of shingles, by all pairs."""
+    values = sorted({plain(t) for _, t in rows}, key=sorted)
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for k, a in enumerate(values):
+        for b in values[k + 1 :]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[top(b)] = top(a)
+    return {v: top(v) for v in values}
+
+
+def near_copies(seed=3):
+    """Copies with changed words around the threshold, a chain, one crowded group, and a passage that many texts share."""
+    rnd = random.Random(seed)
+    say = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    out, passage = [], say(40)
+    for n in (5, 6, 12, 60, 150, 400):
+        for changes in range(max(2, n // 20)):
+            base = say(n)
+            out.append(base)
+            for at in [rnd.sample(range(n), min(n, 1 + changes))]:
+                out.append([f"new{w}" if k in at else w for k, w in enumerate(base)])
+    chain = say(100)
+    for _ in range(6):
+        chain = chain[8:] + say(8)
+        out.append(chain)
+    crowd = say(150)
+    for _ in range(60):
+        at = set(rnd.sample(range(150), rnd.randint(0, 6)))
+        out.append([f"x{rnd.randrange(99)}" if k in at else w for k, w in enumerate(crowd)])
+    out += [say(rnd.randint(5, 60)) + passage + say(rnd.randint(5, 60)) for _ in range(60)]
+    return [(1000 + i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_near_stage_drops_every_similar_text(spark):
+    assert dict(P.STAGES)["near_dedup"] is P.drop_similar
+    rows = awkward() + near_copies()
+    docs = documents(spark, rows, clashing=True)
+    root, least = brute(rows), {}
+    for i, t in rows:
+        if i is not None:
+            least[root[plain(t)]] = min(i, least.get(root[plain(t)], i))
+    kept = dict(P.STAGES)["near_dedup"](spark, docs, "")
+    assert kept.columns == docs.columns
+    got = Counter((root[plain(r.text)], r.doc_id) for r in kept.collect())
+    assert got == Counter((g, least.get(g)) for g in set(root.values()))
+    assert len(got) < len(root)
+
+
+def test_order_of_shingles_is_free(spark, monkeypatch):
+    rows = near_copies(8)
+    monkeypatch.setattr(jaccard, "common", lambda docs: jaccard.np.zeros(jaccard.SLOTS, jaccard.np.uint8))
+    found = {r.doc_id: r.component for r in jaccard.similar_texts(documents(spark, rows)).collect()}
+    root = brute(rows)
+    assert len({(found[i], root[plain(t)]) for i, t in rows}) == len(set(found.values())) == len(set(root.values()))
+
+
+def test_empty_table(spark):
+    assert jaccard.similar_texts(documents(spark, [])).count() == 0
