@@ -31,6 +31,12 @@ def sign_code(embedding: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+def whole_sign_code(embedding: Column) -> Column:
+    """sign_code(); an error for more than 64 components, which would not all count."""
+    longer = F.raise_error(F.concat(F.lit("an embedding has "), F.size(embedding).cast("string"), F.lit(" components; codes have 64 bits"))).cast("long")
+    return F.when(F.size(embedding) > BITS, longer).otherwise(sign_code(embedding))
+
+
 @cache
 def flips(width: int, radius: int) -> np.ndarray:
     """All values of `width` bits with exactly `radius` ones."""

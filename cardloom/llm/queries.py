@@ -101,7 +101,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm import hamming
 
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.whole_sign_code(F.col("embedding")).alias("code"))
     return hamming.top_k(rows).select(F.col("query_id").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), "distance")
 
 
