@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import text_of
-from cardloom.llm.pieces import PieceEncoder, piece_starts, text_chunks
+from cardloom.llm.pieces import CHUNK, PieceEncoder, locate, segments, text_chunks
 
 #: Pieces of one recursive query; bounds its rows.
 BLOCK = 20_000
@@ -55,7 +55,7 @@ GROUP BY seq ORDER BY seq
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """token -> rank, from lines of base64 and rank."""
-    with open(path, "rb") as f:
+    with open(locate(path), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
@@ -128,7 +128,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 def encode(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids (array of int) of every text.
 
-    ranks: a rank file.  Null texts count as empty and give no ids; every row is a text of its own, so
+    ranks: a rank file, by its path or its name among the public tokenizers.  Null texts count as empty and give no ids; every row is a text of its own, so
     repeated and null doc_ids are kept; other columns are ignored; an empty table gives no rows.
     """
 
@@ -179,9 +179,16 @@ class _Trip:
         self.mark, self.texts, self.bytes = None, [], []
 
     def chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
-        start = piece_starts(buf, offsets)
+        """Tokens, decimal ids and decoded bytes of each text."""
+        if len(offsets) > 2 or len(buf) <= 2 * CHUNK:
+            return self._part(buf, offsets)
+        parts = [self._part(buf[a:b], np.array([0, b - a])) for a, b in segments(buf)]
+        count, texts, raw = zip(*((n[0], t[0], r[0]) for n, t, r in parts), strict=True)
+        return [sum(count)], [b",".join(texts)], [b"".join(raw)]
+
+    def _part(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
         e = self.encoder
-        codes = e.codes(buf, start, np.append(start[1:], len(buf))) if len(start) else np.empty(0, np.int32)
+        codes, pieces = e.coded(buf, offsets)
         if self.mark is not e.table.keys:  # the encoder has forgotten its pieces
             self.mark, self.texts, self.bytes = e.table.keys, [], []
         while len(self.texts) < e.known:
@@ -190,8 +197,8 @@ class _Trip:
             ids = [e.flat[s : s + n].tolist() for s, n in zip(e.begin[a:b].tolist(), e.count[a:b].tolist(), strict=True)]
             self.texts += [",".join(map(str, x)).encode() for x in ids]
             self.bytes += merger(self.ranks).decode(ids)
-        bound = np.searchsorted(start, offsets).tolist()
-        tokens = np.concatenate([[0], np.cumsum(e.count[codes].astype(np.int64))])
+        bound = pieces.tolist()
+        tokens = np.concatenate([[0], np.cumsum(e.count[codes])])
         held = codes.tolist()
         spans = list(zip(bound[:-1], bound[1:], strict=True))
         texts, raw = self.texts, self.bytes
@@ -205,4 +212,3 @@ class _Trip:
 @cache
 def _trip(ranks: str) -> _Trip:
     return _Trip(ranks)
-

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -67,14 +68,15 @@ def text_parts(text: Column) -> Column:
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row for each conv_id: conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens.
 
-    turns: conv_id, turn, role and content (array of parts), or text in place of content.  Turns are
+    turns: conv_id, turn, role and content (array of parts), or text where no column content is an array.  Turns are
     ordered by turn, ties by role, then content; repeated rows are turns of their own.  Nulls: an
     unknown role or text is empty, a null turn comes first, rows with a null conv_id form one
     conversation.  loss_spans (start, end; code points, end exclusive) are the contents of loss_role's
     turns, escaped as they stand.  Other columns are ignored; an empty table gives no rows.  A
     conversation becomes one string, so all its turns meet in one row, however many they are.
     """
-    content = F.col("content") if "content" in turns.columns else text_parts(F.col("text"))
+    parted = "content" in turns.columns and isinstance(turns.schema["content"].dataType, T.ArrayType)
+    content = F.col("content") if parted else text_parts(F.col("text"))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("parts"))
     rows = rows.select("conv_id", "turn", "role", flattened(F.col("parts")).alias("body"), attachments(F.col("parts")).alias("files"))
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))

@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import lower_ascii, settle, sweep, text_of
+from cardloom.llm.common import discard, lower_ascii, settle, text_of
 
 BLOCK = 4096
 #: Buckets that blocks are sorted in; a bucket's rows are sorted, and spilled, by one task.
 BUCKETS = 1 << 16
-#: Copies of a block are first named within so many shares, so no task gets more than a share of a hot block.
+#: Copies of a block are first named within so many shares at least, so no task gets more than a share of a hot
+#: block; as many as the session shuffles to, where that is more.
 SHARES = 64
 
 
@@ -39,7 +40,8 @@ def _block_names(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("data") / F.lit(BLOCK)).cast("int")))
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("data"), i * BLOCK + 1, F.lit(BLOCK)))
     blocks = rows.select("doc_id", "digest", "n", F.posexplode(cut).alias("idx", "block"))
-    share = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SHARES))
+    shares = max(SHARES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(shares))
     blocks = blocks.withColumn("bucket", _bucket(F.col("idx"), F.col("block"), share))
     # Within a share: name, and keep the bytes on the first row of each name alone.
     named = blocks.withColumn("share_name", _name("bucket", "idx", "block"))
@@ -53,13 +55,17 @@ def _block_names(docs: DataFrame) -> DataFrame:
 
 
 def text_names(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n, name: equal (n, name) mean equal normalised texts.  One row for each row of docs."""
+    """doc_id, digest, n, name, row (a number of its own): equal (n, name) mean equal normalised texts.
+
+    One row for each row of docs, in a checkpoint.
+    """
     blocks = settle(_block_names(docs))
-    sweep(docs.sparkSession)
     known = blocks.where("name is not null").select("share_name", F.col("name").alias("of_share"))
+    # A hot share_name's rows can be split among tasks: this join and the one below are plain exchanges.
     rows = settle(blocks.drop("name").join(known, "share_name").select("doc_id", "digest", "n", "idx", F.col("of_share").alias("name")))
+    discard(blocks)
     width = rows.agg(F.max("n")).first()[0] or 1
-    done = rows.where("n = 1").select("doc_id", "digest", "n", "name")
+    done, held = rows.where("n = 1").select("doc_id", "digest", "n", "name"), [rows]
     left = rows.where("n > 1").withColumn("of", F.col("n"))
     while width > 1:
         # Rows that share doc_id and digest are the same text and get the same names, so either will do.
@@ -73,6 +79,8 @@ def text_names(docs: DataFrame) -> DataFrame:
         kinds = settle(kinds)
         same = (F.col("idx") == F.col("k_idx")) & (F.col("a") == F.col("k_a")) & F.col("b").eqNullSafe(F.col("k_b"))
         left = settle(pairs.join(kinds, same).select("doc_id", "digest", "n", "idx", "of", "name"))
+        discard(pairs, kinds)
+        held.append(left)
         width = (width + 1) // 2
         done = done.unionByName(left.where("of = 1").select("doc_id", "digest", "n", "name"))
         left = left.where("of > 1")
@@ -80,7 +88,10 @@ def text_names(docs: DataFrame) -> DataFrame:
     times = rows.where("n > 1 and idx = 0").groupBy(F.col("doc_id").alias("t_id"), F.col("digest").alias("t_digest")).agg(F.count("*").alias("times"))
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("digest") == F.col("t_digest"))
     again = F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))).alias("again")
-    return done.join(times.where("times > 1"), same, "left").select("doc_id", "digest", "n", "name", again).drop("again")
+    found = done.join(times.where("times > 1"), same, "left").select("doc_id", "digest", "n", "name", again).drop("again")
+    named = settle(found.withColumn("row", F.monotonically_increasing_id()))
+    discard(*held)
+    return named
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -89,11 +100,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Texts (null: empty) are equal if identical after lower-casing A-Z; of equal texts the row with the
     largest doc_id stays.  A null doc_id is less than any other, and keep_id is null where no row of the
     group has one.  Of rows that share both text and the largest doc_id, exactly one is kept.  Other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows.  Joins on a hot name are plain exchanges, whose
+    skewed partitions Spark splits (spark.sql.adaptive.skewJoin.enabled).  The result is one checkpoint.
     """
-    rows = settle(text_names(docs))
-    sweep(docs.sparkSession)
-    groups = settle(rows.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("n"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
-    return rows.withColumn("turn", turn).join(groups, ["n", "name"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    rows = text_names(docs)
+    groups = settle(rows.groupBy("n", "name").agg(F.max(F.struct("doc_id", "row")).alias("w"), F.count("*").alias("group_size")))
+    found = rows.join(groups, ["n", "name"]).select("doc_id", F.col("w.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("w.row")).alias("kept"), F.col("digest").alias("text_sha256"))
+    found = settle(found)
+    discard(rows, groups)
+    return found

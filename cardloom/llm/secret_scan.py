@@ -48,14 +48,15 @@ class Rule:
         return trigram_query(self.pattern)
 
 
-#: In the order in which spans with one start are listed.  A hex run of 32 or more is what is left of the
+#: In the order in which spans with one start are listed.  Each takes time in proportion to the text: what repeats
+#: in a rule can't start again inside its own match, or starts only where such a run does.  A hex run of 32 or more is what is left of the
 #: maximal runs [0-9a-f]+ when the shorter ones are dropped; the same holds for access keys.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, fold=True, base=True),
     Rule("access", r"AKIA[A-Z0-9]{12,}", base=True),
     Rule("hex", r"[0-9a-f]{32,}", base=True),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_hook", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}", fold=True),
@@ -191,10 +192,12 @@ class Scanner:
                         found.setdefault(row, []).append((m.start(), order, rule.kind, m.end()))
         out = {}
         for row, hits in found.items():
-            a = int(offsets[row])
-            point = np.cumsum((buf[a : offsets[row + 1]] & 0xC0) != 0x80)  # code points up to and with each byte
-            points = lambda i, a=a, point=point: int(point[i - a - 1]) if i > a else 0
-            out[row] = [(kind, points(start), points(end)) for start, _, kind, end in sorted(hits)]
+            at, point, where = int(offsets[row]), 0, {}
+            for place in sorted({x for start, _, _, end in hits for x in (start, end)}):  # code points before each
+                point += int(np.count_nonzero((buf[at:place] & 0xC0) != 0x80))
+                at = place
+                where[place] = point
+            out[row] = [(kind, where[start], where[end]) for start, _, kind, end in sorted(hits)]
         return out
 
 

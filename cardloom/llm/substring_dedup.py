@@ -10,14 +10,15 @@ finds every candidate; only windows around an anchor that occurs again are then
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import discard, settle, sweep, text_of
-from cardloom.llm.pieces import piece_keys, powers, text_chunks
+from cardloom.llm.common import discard, settle, text_of
+from cardloom.llm.pieces import CHUNK, piece_keys, rolling, text_chunks
 
 #: A perfect difference set modulo PERIOD.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -28,49 +29,146 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 class Words:
     """The words of a chunk of texts, and hashes of runs of them."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, before: int = 0, core: int | None = None, final: bool = True):
+        """before: words of the (only) text before buf; core: bytes of buf in which runs of interest start; final: nothing follows."""
         inside = np.zeros(len(buf) + 2, bool)
         inside[1:-1] = ~BLANK[buf]
         edge = np.zeros(len(buf) + 1, bool)
         edge[offsets] = True  # a text's last word doesn't run on into the next text
         self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge) & np.append(np.ones(len(buf), bool), False))
         self.end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-        self.buf = buf
+        self.buf, self.before, self.whole, self.final = buf, before, core is None, final
         self.bound = np.searchsorted(self.start, offsets)  # words of text i: bound[i] to bound[i + 1]
         self.of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bound))
-        self.keys = piece_keys(buf, self.start, self.end) if len(self.start) else np.empty(0, np.uint64)
+        self.core = len(self.start) if core is None else int(np.searchsorted(self.start, core))
+        self.keys = {0: self._keys(0)}
 
-    def runs(self, size: int, at: np.ndarray, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of the `size` words from each place in `at`."""
-        up, down = powers(len(self.keys))
-        mixed = (self.keys ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    def _keys(self, salt: int) -> np.ndarray:
+        return piece_keys(self.buf, self.start, self.end, salt) if len(self.start) else np.empty(0, np.uint64)
+
+    def runs(self, size: int, at: np.ndarray, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of the `size` words from each place in `at` (ascending); each salt has word keys of its own."""
+        if salt not in self.keys:
+            self.keys[salt] = self._keys(salt)
+        mixed = (self.keys[salt] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(30)
-        rolled = np.zeros(len(mixed) + 1, np.uint64)
-        np.cumsum(mixed * up[: len(mixed)], out=rolled[1:])
-        out = (rolled[at + size] - rolled[at]) * down[at]
+        out = rolling(mixed, at, size)
         out *= np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
         return out.view(np.int64)
 
     def fits(self, size: int) -> np.ndarray:
         """Places from which `size` words of one text run."""
-        at = np.arange(max(0, len(self.keys) - size + 1))
+        at = np.arange(max(0, len(self.start) - size + 1))
         return at[at + size <= self.bound[1:][self.of[at]]] if len(at) else at
 
     def anchors(self, size: int) -> np.ndarray:
         at = self.fits(size)
-        return at[np.isin((at - self.bound[:-1][self.of[at]]) % PERIOD, COVER)] if len(at) else at
+        return at[np.isin((at - self.bound[:-1][self.of[at]] + self.before) % PERIOD, COVER)] if len(at) else at
 
     def spread(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which words lie in any of the ranges a to b (exclusive)."""
-        step = np.zeros(len(self.keys) + 1, np.int64)
+        step = np.zeros(len(self.start) + 1, np.int64)
         np.add.at(step, a, 1)
-        np.add.at(step, b, -1)
+        np.add.at(step, np.minimum(b, len(self.start)), -1)
         return np.cumsum(step[:-1]) > 0
 
 
+def segmented(texts: pa.Array, length: int) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, words) of runs of texts; a text of more than 2 * CHUNK bytes comes in several.
+
+    Each of those ends `length` words after its core (or with the text), so every run that starts in the core is whole.
+    """
+    for a, b, buf, offsets in text_chunks(texts):
+        if len(offsets) > 2 or len(buf) <= 2 * CHUNK:
+            yield a, b, Words(buf, offsets)
+            continue
+        at, before = 0, 0
+        while at < len(buf):
+            end = _word_end(buf, at + CHUNK)
+            stop, more = end, 16 * length
+            while stop < len(buf):  # as far as it takes to hold the words after the core
+                stop = _word_end(buf, end + more)
+                inside = ~BLANK[buf[end:stop]]
+                if np.count_nonzero(inside[1:] & ~inside[:-1]) > length:
+                    break
+                more *= 2
+            words = Words(buf[at:stop], np.array([0, stop - at]), before, end - at, end >= len(buf))
+            yield a, b, words
+            at, before = end, before + words.core
+
+
+def _word_end(buf: np.ndarray, at: int) -> int:
+    """The first place from `at` on that is no word's inside."""
+    while at < len(buf):
+        hit = np.flatnonzero(BLANK[buf[at : at + (1 << 16)]])
+        if len(hit):
+            return at + int(hit[0])
+        at += 1 << 16
+    return len(buf)
+
+
+def anchor_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """h, owner of each anchor of texts (owner, text)."""
+    anchor = length - PERIOD + 1
+    for batch in batches:
+        for a, b, words in segmented(batch.column(1), length):
+            at = words.anchors(anchor)
+            at = at[at < words.core]
+            rows = batch.column(0)[a:b].take(pa.array(words.of[at]))
+            yield pa.record_batch([pa.array(words.runs(anchor, at)), rows], ["h", "owner"])
+
+
+def window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """h, g, owner of each window around an anchor of (owner, text, hashes) that is among the hashes."""
+    anchor = length - PERIOD + 1
+    for batch in batches:
+        known = batch.column(2)
+        for a, b, words in segmented(batch.column(1), length):
+            at = words.anchors(anchor)
+            at = at[np.isin(words.runs(anchor, at), known[a:b].flatten().to_numpy())]
+            first = np.maximum(at - (length - anchor), words.bound[:-1][words.of[at]])
+            near = words.spread(first, at + 1)
+            whole = words.fits(length)
+            whole = whole[near[whole] & (whole < words.core)]
+            rows = batch.column(0)[a:b].take(pa.array(words.of[whole]))
+            yield pa.record_batch([pa.array(words.runs(length, whole)), pa.array(words.runs(length, whole, 1).astype(np.int32)), rows], ["h", "g", "owner"])
+
+
+def removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The result for texts (doc_id, text, hashes of the windows that go)."""
+    for batch in batches:
+        known, last, over, parts = batch.column(2), -1, 0, []
+        n_words = n_removed = 0
+        for a, b, words in segmented(batch.column(1), length):
+            gone = np.zeros(len(words.start), bool)
+            hits = known[a:b].flatten().to_numpy()
+            if a != last:
+                last, over, parts, n_words, n_removed = a, 0, [], 0, 0
+            gone[:over] = True  # words of windows that started in the segment before
+            if len(hits):
+                at = words.fits(length)
+                at = at[at < words.core]
+                at = at[np.isin(words.runs(length, at), hits)]
+                gone |= words.spread(at, at + length)
+                over = max(over - words.core, int(at[-1]) + length - words.core if len(at) else 0, 0)
+            gone, bound = gone[: words.core], np.minimum(words.bound, words.core).tolist()
+            data = words.buf.tobytes()
+            cut = list(zip(words.start[: words.core].tolist(), words.end[: words.core].tolist(), (~gone).tolist(), strict=True))
+            kept = [b" ".join([data[s:e] for s, e, stays in cut[i:j] if stays]) for i, j in zip(bound[:-1], bound[1:], strict=True)]
+            count, lost = np.diff(bound), np.diff(np.concatenate([[0], np.cumsum(gone)])[bound])
+            if not words.whole:  # a segment of a long text: the last one gives the row
+                parts += [x for x in kept if x]
+                n_words, n_removed = n_words + int(count[0]), n_removed + int(lost[0])
+                if not words.final:
+                    continue
+                kept, count, lost = [b" ".join(parts)], np.array([n_words]), np.array([n_removed])
+            kept = pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())
+            yield pa.record_batch([batch.column(0)[a:b], pa.array(count.astype(np.int64)), pa.array(lost.astype(np.int64)), kept], ["doc_id", "n_words", "n_removed", "kept"])
+
+
 def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
@@ -78,59 +176,19 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
     or another; windows are judged on the input, so all copies of a passage go, the first included.
     Words are separated by ASCII white space and otherwise unchanged.  Null and empty texts have no
     words; rows that repeat, or share a doc_id, or have a null one, are texts of their own; other
-    columns are ignored; an empty table gives no rows.  length: more than PERIOD + 2.
+    columns are ignored; an empty table gives no rows.  length: PERIOD + 2 or more.
 
     The hashes that repeat are counted with partial sums, and each text gets back only its own, so no
-    task holds a hot window's texts; a window is told apart by 96 bits.
+    task holds a hot window's texts; a window is told apart by 96 bits, of two hashes over two sets of
+    word keys.  A long text is handled in segments of about CHUNK bytes.  The result reads one
+    checkpoint, which Spark's cleaner removes with it; the others are gone.
     """
-    anchor = length - PERIOD + 1
-    if anchor < 3:
-        raise ValueError(f"length must be more than {PERIOD + 2}")
-    spark = docs.sparkSession
+    if length < PERIOD + 2:
+        raise ValueError(f"length must be {PERIOD + 2} or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # Whom a hash goes back to; rows that share an owner share hashes that repeat, which does no harm.
     texts = texts.withColumn("owner", F.coalesce("doc_id", F.xxhash64("text")))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, buf, offsets in text_chunks(batch.column(1)):
-                words = Words(buf, offsets)
-                at = words.anchors(anchor)
-                rows = batch.column(0)[a:b].take(pa.array(words.of[at]))
-                yield pa.record_batch([pa.array(words.runs(anchor, at)), rows], ["h", "owner"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.column(2)
-            for a, b, buf, offsets in text_chunks(batch.column(1)):
-                words = Words(buf, offsets)
-                at = words.anchors(anchor)
-                at = at[np.isin(words.runs(anchor, at), known[a:b].flatten().to_numpy())]
-                first = np.maximum(at - (length - anchor), words.bound[:-1][words.of[at]])
-                near = words.spread(first, at + 1)
-                whole = words.fits(length)
-                whole = whole[near[whole]]
-                rows = batch.column(0)[a:b].take(pa.array(words.of[whole]))
-                yield pa.record_batch([pa.array(words.runs(length, whole)), pa.array(words.runs(length, whole, 2).astype(np.int32)), rows], ["h", "g", "owner"])
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.column(2)
-            for a, b, buf, offsets in text_chunks(batch.column(1)):
-                words = Words(buf, offsets)
-                gone = np.zeros(len(words.keys), bool)
-                hits = known[a:b].flatten().to_numpy()
-                if len(hits):
-                    at = words.fits(length)
-                    at = at[np.isin(words.runs(length, at), hits)]
-                    gone = words.spread(at, at + length)
-                data, bound = buf.tobytes(), words.bound.tolist()
-                cut = list(zip(words.start.tolist(), words.end.tolist(), (~gone).tolist(), strict=True))
-                kept = [b" ".join([data[s:e] for s, e, stays in cut[i:j] if stays]).decode("utf-8", "replace") for i, j in zip(bound[:-1], bound[1:], strict=True)]
-                removed = np.add.reduceat(np.append(gone, False), words.bound[:-1]) if len(gone) else np.zeros(b - a)
-                removed = np.where(np.diff(words.bound) > 0, removed, 0).astype(np.int64)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(np.diff(words.bound).astype(np.int64)), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
     def again(rows: DataFrame, *keys: str) -> DataFrame:
         """Of each text's hashes those that occur more than once: owner, hashes."""
         twice = settle(rows.groupBy(*keys).count().where("count > 1").select(*keys))
@@ -141,11 +199,9 @@ def repeated_passages(docs: DataFrame, length: int = 35) -> DataFrame:
         return found
 
     owned = texts.select("owner", "text")
-    near = again(owned.mapInArrow(anchors, "h long, owner long"), "h")
-    sweep(spark)
+    near = again(owned.mapInArrow(partial(anchor_hashes, length=length), "h long, owner long"), "h")
     some = owned.join(near, "owner").select("owner", "text", "hashes")
-    hits = again(some.mapInArrow(windows, "h long, g int, owner long"), "h", "g")
+    hits = again(some.mapInArrow(partial(window_hashes, length=length), "h long, g int, owner long"), "h", "g")
     discard(near)
-    sweep(spark)
     every = texts.join(hits, "owner", "left").select("doc_id", "text", F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
-    return every.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    return every.mapInArrow(partial(removed, length=length), "doc_id long, n_words long, n_removed long, kept string")

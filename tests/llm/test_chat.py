@@ -50,3 +50,8 @@ def test_runs_without_python(spark):
     turns = spark.sql("SELECT 1L AS conv_id, 1L AS turn, 'user' AS role, 'x' AS text")
     plan = chat.format_chats(turns)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_column_named_content_that_holds_no_parts_is_ignored(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "hi", "x")], "conv_id long, turn long, role string, text string, content string")
+    assert chat.format_chats(turns).select(chat.read_turns(F.col("formatted"))[0]["text"].alias("t")).first().t == "hi"
