@@ -1,27 +1,26 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into m segments, each with an index from its value to the codes that have it.  Codes
-within distance m * (r + 1) - 1 of a query have a segment within r of the query's, so after looking up
-all segment values within radius r every such code has been seen.  The radius grows until the kth best
-verified distance is covered by that bound; then no unseen code can be nearer, or as near.
+A code is cut into m segments, each with an index from its value to the codes that have it: the rows
+(segment, value, code).  Codes within distance m * (r + 1) - 1 of a query have a segment within r of the
+query's, so after looking up all segment values within radius r every such code has been seen.  The
+radius grows until the kth best verified distance is covered by that bound; then no unseen code can be
+nearer, or as near, and the query is dropped.  All of it are joins on (segment, value): the index is
+never copied, whatever the number of queries.
 """
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
+from math import comb, log2
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import settle
+from cardloom.llm.common import discard, settle
 
 BITS = 64
-#: Distinct codes of a shard, about, and queries of a block: what one task holds.
-SHARD = 1 << 17
-BLOCK = 1 << 12
+#: Codes that one shard of a scan has, about; values that a radius may look up for a query, even among fewer codes.
+SHARD, LOOKUPS = 1 << 17, 1 << 12
 
 
 def sign_code(embedding: Column) -> Column:
@@ -37,64 +36,39 @@ def whole_sign_code(embedding: Column) -> Column:
     return F.when(F.size(embedding) > BITS, longer).otherwise(sign_code(embedding))
 
 
-@cache
-def flips(width: int, radius: int) -> np.ndarray:
+def segments(codes: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment: a value of one has few codes, on average."""
+    m = min(16, max(4, round(BITS / max(1.0, log2(max(2, codes))))))
+    bounds = [BITS * i // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def flips(width: int, radius: int) -> list[int]:
     """All values of `width` bits with exactly `radius` ones."""
-    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
-
-
-class MultiIndex:
-    """Distinct codes, indexed by each of m segments."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.m = int(np.clip(round(BITS / max(1.0, np.log2(max(2, len(codes))))), 4, 16))
-        bounds = np.linspace(0, BITS, self.m + 1).astype(int)
-        self.parts = [(int(a), int(b - a)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.order, self.begin = [], []
-        for shift, width in self.parts:
-            key = self.segment(codes, shift, width)
-            self.order.append(np.argsort(key, kind="stable"))
-            self.begin.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << width))]))
-
-    @staticmethod
-    def segment(codes: np.ndarray, shift: int, width: int) -> np.ndarray:
-        return (codes >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
-
-    def nearest(self, query: np.uint64, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances of all codes as near as the one with which the weights reach k."""
-        seen = np.zeros(len(self.codes), bool)
-        near = np.zeros(BITS + 1, np.int64)  # weight seen at each distance
-        found, far = [], []
-        radius = 0
-        while True:
-            fresh = []
-            for (shift, width), order, begin in zip(self.parts, self.order, self.begin, strict=True):
-                if radius <= width:
-                    key = int(query) >> shift & ((1 << width) - 1)
-                    keys = flips(width, radius) ^ key
-                    a, n = begin[keys], begin[keys + 1] - begin[keys]
-                    a, n = a[n > 0], n[n > 0]
-                    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    new = order[at]
-                    new = new[~seen[new]]
-                    seen[new] = True
-                    fresh.append(new)
-            new = np.concatenate(fresh) if fresh else np.empty(0, np.int64)
-            distance = np.bitwise_count(self.codes[new] ^ query).astype(np.int64)
-            found.append(new)
-            far.append(distance)
-            near += np.bincount(distance, weight[new], BITS + 1).astype(np.int64)
-            enough = np.flatnonzero(np.cumsum(near) >= k)
-            covered = self.m * (radius + 1) - 1
-            radius += 1
-            if (len(enough) and enough[0] <= covered) or radius > max(w for _, w in self.parts):
-                limit = enough[0] if len(enough) else BITS
-                where, distance = np.concatenate(found), np.concatenate(far)
-                return where[distance <= limit], distance[distance <= limit]
-
-
-def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
+
+
+def _value(code: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _lookups(j: int, part: tuple[int, int], radius: int) -> Column:
+    """Array of (j, value): the values of segment j that differ from the query's in `radius` bits."""
+    value = _value(F.col("qcode"), *part)
+    return F.transform(F.array(*map(F.lit, flips(part[1], radius))), lambda x: F.struct(F.lit(j).alias("j"), value.bitwiseXOR(x).alias("value")))
+
+
+def _first_here(j: int, radius: int, parts: list[tuple[int, int]]) -> Column:
+    """Whether segment j is the first of those that differ least between qcode and code: where a pair is met once."""
+    differ = F.col("qcode").bitwiseXOR(F.col("code"))
+    out = F.lit(True)
+    for i, (shift, width) in enumerate(parts):
+        if i != j:
+            out &= F.bit_count(_value(differ, shift, width)) >= F.lit(radius + (i < j))
+    return out
+
+
+def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD) -> DataFrame:
     """query_id, rank (1 to k), id, distance: for each query the k other rows with the nearest codes, exactly.
 
     rows: id, code (64 bits as a long).  Queries are the rows whose id is divisible by `every`; ties go to
@@ -103,8 +77,10 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD, bl
     other rows give fewer ranks.
 
     Rows with one code are one entry of the index, with their k + 1 least ids, which is all that any
-    query can need.  The index is dealt into shards and the queries into blocks; a task searches one
-    shard for one block, so what it holds is bounded, and the shards' results meet by query.
+    query can need.  A pair is met in one segment and at one radius only, and a task keeps the k + 1 best
+    rows of a query before they are shuffled.  Skewed values of a segment are split as skewed joins are.
+    Where a radius has more values to look up than there are codes, the queries left over are compared
+    with all codes, shard by shard.  The result is one checkpoint.
     """
     given = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).where("id is not null and code is not null")
     given = settle(given.groupBy("id").agg(F.min("code").alias("code")))
@@ -113,31 +89,53 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD, bl
     whole = Window.partitionBy("code").orderBy("id")
     least = given.withColumn("n", F.row_number().over(share)).where(F.col("n") <= k + 1).withColumn("n", F.row_number().over(whole)).where(F.col("n") <= k + 1)
     index = settle(least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    queries = given.where(F.col("id") % every == 0)
-    shards = max(1, -(-index.count() // shard))
-    blocks = max(1, -(-queries.count() // block))
-    dealt = index.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), "code", "ids")
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "id", "code")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes = left["code"].to_numpy().astype(np.int64).view(np.uint64)
-        ids = left["ids"].combine_chunks()
-        flat, bound = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
-        weight = np.diff(bound)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(codes):
-            made = MultiIndex(codes)
-            for query, code in zip(right["id"].to_pylist(), right["code"].to_numpy().astype(np.int64).view(np.uint64), strict=True):
-                where, distance = made.nearest(code, weight, k + 1)
-                each = weight[where]
-                at = np.repeat(bound[where] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-                mine, far = flat[at], np.repeat(distance, each)
-                order = np.lexsort((mine, far))
-                order = order[mine[order] != query][:k]
-                out.append((np.full(len(order), query), mine[order], far[order]))
-        columns = [np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else [()] * 3)]
-        return pa.table(dict(zip(("query_id", "id", "distance"), (pa.array(c.astype(np.int64)) for c in columns), strict=True)))
-
-    found = dealt.groupBy("s", "b").cogroup(asked.groupBy("s", "b")).applyInArrow(search, "query_id long, id long, distance long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    codes = index.count()
+    parts = segments(codes)
+    values = lambda code: F.array(*[F.struct(F.lit(j).alias("j"), _value(code, *p).alias("value")) for j, p in enumerate(parts)])
+    entries = index.select(F.explode(values(F.col("code"))).alias("at"), "code", "ids").select("at.j", "at.value", "code", "ids")
+    best = Window.partitionBy("query_id").orderBy("distance", "id")
+
+    def nearest(met: DataFrame) -> DataFrame:
+        met = met.withColumn("distance", F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).cast("long")).where("distance <= reach")
+        return met.select("query_id", F.explode("ids").alias("id"), "distance").where("id <> query_id")
+
+    def kept(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    asking = given.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("code").alias("qcode"), F.lit(BITS).cast("long").alias("reach"))
+    asking = settle(asking)
+    discard(given)
+    found = None
+    radius, widest = 0, max(w for _, w in parts)
+    while radius <= widest and not asking.isEmpty():
+        lookups = sum(comb(w, radius) for _, w in parts)
+        if lookups > max(codes, LOOKUPS):
+            # The rest, against all codes: each shard once for each query; pairs met before are left out.
+            shards = max(1, -(-codes // shard))
+            left = asking.select("query_id", "qcode", "reach", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"))
+            differ = F.col("qcode").bitwiseXOR(F.col("code"))
+            unmet = F.lit(True)
+            for p in parts:
+                unmet &= F.bit_count(_value(differ, *p)) >= radius
+            met = index.withColumn("s", F.pmod(F.xxhash64("code"), F.lit(shards))).join(left, "s").where(unmet)
+            radius = widest
+        else:
+            look = [_lookups(j, p, radius) for j, p in enumerate(parts) if radius <= p[1]]
+            asked = asking.select("query_id", "qcode", "reach", F.explode(F.concat(*look)).alias("at")).select("query_id", "qcode", "reach", "at.j", "at.value")
+            once = F.lit(False)
+            for j in range(len(parts)):
+                once |= (F.col("j") == j) & _first_here(j, radius, parts)
+            met = asked.join(entries, ["j", "value"]).where(once)
+        more = kept(nearest(met)).drop("rank")
+        before, found = found, settle(kept(more if found is None else found.drop("rank").unionByName(more)))
+        covered = len(parts) * (radius + 1) - 1
+        # A query's reach: no farther row can be among its k best.
+        known = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        reach = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(BITS).cast("long"))
+        was, asking = asking, settle(asking.drop("reach").join(known, "query_id", "left").select("query_id", "qcode", reach.alias("reach"), F.coalesce(F.col("n") >= k, F.lit(False)).alias("full")).where(~F.col("full") | (F.col("reach") > covered)).drop("full"))
+        discard(was, *([] if before is None else [before]))
+        radius += 1
+    discard(index, asking)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance long")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "distance")

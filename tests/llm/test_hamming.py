@@ -25,14 +25,15 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "block"), [(1 << 17, 1 << 12), (40, 3)])
-def test_equals_brute_force(spark, shard, block):
+@pytest.mark.parametrize(("shard", "lookups"), [(1 << 17, 1 << 12), (40, 0)])
+def test_equals_brute_force(spark, monkeypatch, shard, lookups):
+    monkeypatch.setattr(hamming, "LOOKUPS", lookups)  # 0: far queries are compared with all codes
     rnd = random.Random(7)
     hot = rnd.getrandbits(64)
     rows = [(i, signed(rnd.getrandbits(64))) for i in range(250)] + [(1000 + i, signed(hot)) for i in range(80)]
     rows += [(2000 + i, signed(hot ^ (1 << i % 9) ^ (1 << i % 5))) for i in range(40)] + [(None, 1), (7, None), (20, 5), (20, 5), (-30, 0), (30, -1)]
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "id long, code long, s string, ids string")
-    got = hamming.top_k(frame, k=6, every=10, shard=shard, block=block).collect()
+    got = hamming.top_k(frame, k=6, every=10, shard=shard).collect()
     assert sorted((r.query_id, r["rank"], r.id, r.distance) for r in got) == brute(rows, 6, 10)
 
 
