@@ -12,11 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(name: str) -> str:
-    """Place of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: Names of public vocabularies; a worker finds them on its own machine.
+RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +26,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm import bpe
 
-    trip = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+    trip = bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
     return trip.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
@@ -75,18 +72,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm import token_records
-    from cardloom.llm.common import work_path
+    from cardloom.llm.common import remove, settle, work_path
 
     path = work_path(spark, "records")
-    token_records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    token_records.write_records(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
     found = token_records.read_records(spark, path, ids_crc32=token_records.ids_crc32(F.col("ids")))
-    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+    found = settle(found.select("doc_id", "start", "n_tokens", "ids_crc32"))
+    remove(spark, path)
+    return found
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardloom.llm.packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    pieces = pack(table(spark, sf_dir, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

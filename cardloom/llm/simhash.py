@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import settle, sweep, text_of
+from cardloom.llm.common import discard, settle, text_of
 
 BITS = 64
 #: Buckets of up to so many fingerprints compare them in pairs; larger ones link them through points.
@@ -34,6 +34,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(x, seed) for x in runs], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         part = hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -58,27 +63,29 @@ def text_hash() -> Column:
 
 
 def masks(radius: int) -> list[int]:
-    """The bits that each table of the covering keys by, as signed longs."""
+    """The bits that each table of the covering keys by, as signed longs: about half of them in every table.
+
+    radius: up to 6, where the vectors are those of 7 bits that begin with a one.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("64 bits are covered up to a radius of 6")
     vectors = (1 << (radius + 1)) - 1
-    chosen = []
-    for v in range(1, vectors + 1):
-        mask = sum(1 << i for i in range(BITS) if bin((1 + i % vectors) & v).count("1") % 2)
-        chosen.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
-    return chosen
+    m = [(1 << radius) + i if vectors > BITS else 1 + i % vectors for i in range(BITS)]
+    return [_signed(sum(1 << i for i in range(BITS) if bin(m[i] & v).count("1") % 2)) for v in range(1, vectors + 1)]
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """a, b (a < b): links between the distinct values of prints.fp whose components are those of all pairs
-    within the radius, and which all lie within it.
+    within the radius (0 to 4), and which all lie within it.
 
     Small buckets give the pairs themselves.  In a larger bucket each fingerprint goes to the points that
-    differ from it in up to radius / 2 of the bits that the table leaves out, and links to the least
-    fingerprint there: two share a point only if they are within the radius, and any two within it share
-    one, so a bucket's work grows with its size and not with its square.  (An odd radius takes
-    radius // 2 on one side and one bit more on the other.)
+    differ from it in up to radius - radius // 2 of the bits that the table leaves out; those that reach a
+    point within radius // 2 hold it, and all that reach it link to the least holder.  Any two fingerprints
+    within the radius meet at a point that one of them holds, so a bucket's work grows with its size and
+    not with its square.  Hot keys are split as skewed joins are.
     """
-    if radius != 2:
-        raise ValueError("links() covers a radius of 2")
+    if not 0 <= radius <= 4:
+        raise ValueError("links() covers a radius of 0 to 4")
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks(radius))]))
     rows = prints.select("fp").distinct().select("fp", tables.alias("t")).select("fp", "t.v", "t.key")
     full = rows.groupBy("v", "key").count().where("count > 1")
@@ -88,13 +95,28 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = few.withColumnRenamed("fp", "a").join(other, ["v", "key"]).where(F.col("a") < F.col("b")).where(near).select("a", "b")
     out = [_signed(1 << i) for i in range(BITS)]
-    left_out = F.element_at(F.array(*[F.array(*[F.lit(x) for x in out if not x & m]) for m in masks(radius)]), F.col("v") + 1)
-    points = F.transform(F.concat(F.array(F.lit(0).cast("long")), left_out), lambda x: F.col("fp").bitwiseXOR(x))
-    many = held.where(F.col("count") > PAIRED).select("v", "key", "fp", F.explode(points).alias("point"))
-    # At most one fingerprint for each bit left out, and the point itself: a bounded group.
-    met = many.groupBy("v", "point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.unionByName(stars).distinct()
+    left_out = F.element_at(F.array(*[F.array(*[F.lit(x) for x in out if not x & m]).cast("array<bigint>") for m in masks(radius)]), F.col("v") + 1)
+    points = _changed(left_out, radius - radius // 2)
+    many = held.where(F.col("count") > PAIRED).select("v", "key", "fp", F.explode(points).alias("change"))
+    many = many.select("v", F.col("fp").bitwiseXOR(F.col("change")).alias("point"), "fp", (F.bit_count("change") <= radius // 2).alias("holds"))
+    # At most one fingerprint for each change: a bounded group.
+    met = many.groupBy("v", "point").agg(F.min(F.when(F.col("holds"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = met.where("a is not null").select(F.col("a").alias("x"), F.explode("fps").alias("y")).where("x <> y")
+    stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = settle(pairs.unionByName(stars).distinct())
+    discard(held)
+    return found
+
+
+def _changed(bits: Column, most: int) -> Column:
+    """The exclusive ors of up to `most` different members of an array of single bits."""
+    none = F.array(F.lit(0).cast("long"))
+    if most == 0:
+        return none
+    if most == 1:
+        return F.concat(none, bits)
+    two = F.flatten(F.transform(bits, lambda x, i: F.transform(F.slice(bits, i + 2, F.size(bits)), lambda y: x.bitwiseXOR(y))))
+    return F.concat(none, bits, two)
 
 
 def _signed(x: int) -> int:
@@ -102,23 +124,25 @@ def _signed(x: int) -> int:
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) of every node of edges (a, b).
+    """node, root (the least node of its component) of every node of edges (a, b), in a checkpoint.
 
     Alternates two steps: each node hands its larger neighbours to the least one it knows, then its
     smaller neighbours.  Both keep components as they are, no hub is ever collected, and the edges end
     up as stars around the roots after a number of rounds that is logarithmic in the longest path.
     """
-    spark = edges.sparkSession
     edges, last = settle(edges.select("a", "b")), None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+            found = settle(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct())
+            discard(edges)
+            return found
         last = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = _star(both, larger=True)
-        edges = _star(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), larger=False)
-        sweep(spark)
+        half = _star(both, larger=True)
+        discard(edges)
+        edges = _star(half.select(F.col("b").alias("a"), F.col("a").alias("b")), larger=False)
+        discard(half)
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -131,27 +155,31 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     out = moved.select(F.col("m").alias("x"), F.col("b").alias("y"))
     if not larger:
         out = out.unionByName(least.select(F.col("m").alias("x"), F.col("of").alias("y")))
-    return settle(out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    found = settle(out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(edges, least)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, digest, fp, component, component_id, n_links.
 
-    component is the root fingerprint of the group; component_id is the smallest doc_id reachable over links of at most `radius` differing bits; null
-    doc_ids count only where a component has no other.  n_links: how many other fingerprints the
-    document's own links to directly in links().  Null texts count as empty; texts without words share
-    fingerprint 0; other columns are ignored; an empty table gives no rows.
+    component is the root fingerprint of the group; component_id is the smallest doc_id reachable over
+    links of at most `radius` (0 to 4) differing bits; null doc_ids count only where a component has no
+    other.  n_links: how many other fingerprints the document's own links to directly in links().  Null
+    texts count as empty; texts without words share fingerprint 0; other columns are ignored; an empty
+    table gives no rows.  The result is one checkpoint.
     """
     rows = settle(fingerprints(docs, shingle))
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = settle(links(nodes, radius))
-    roots = settle(least_reachable(edges))
-    sweep(docs.sparkSession)
+    edges = links(nodes, radius)
+    roots = least_reachable(edges)
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = settle(member.join(lowest, "root").join(degree, F.col("fp") == F.col("node"), "left").select("fp", F.col("root").alias("component"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return rows.join(member, "fp").select("doc_id", "digest", "fp", "component", "component_id", "n_links")
+    member = member.join(lowest, "root").join(degree, F.col("fp") == F.col("node"), "left").select("fp", F.col("root").alias("component"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = settle(rows.join(member, "fp").select("doc_id", "digest", "fp", "component", "component_id", "n_links"))
+    discard(rows, nodes, edges, roots)
+    return found
 
 
 def as_hex(fp: Column) -> Column:

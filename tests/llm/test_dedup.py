@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pytest
 import xxhash
 
 from cardloom.llm import simhash
@@ -86,9 +87,19 @@ def test_covering_reaches_every_pair():
         for b in range(a + 1):
             flip = (1 << a) ^ (1 << b) if a != b else 1 << a
             assert any(not flip & m % (1 << 64) for m in masks)
+    rnd = random.Random(6)
+    for radius in range(7):
+        masks = simhash.masks(radius)
+        assert all(28 <= bin(m % (1 << 64)).count("1") for m in masks) and len(masks) == (2 << radius) - 1
+        for _ in range(300):
+            flip = sum(1 << i for i in rnd.sample(range(64), radius))
+            assert any(not flip & m % (1 << 64) for m in masks)
+    with pytest.raises(ValueError):
+        simhash.masks(7)
 
 
-def test_links_in_large_buckets_and_long_chains(spark):
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
+def test_links_in_large_buckets_and_long_chains(spark, radius):
     rnd = random.Random(5)
     base = rnd.getrandbits(64)
     values = {base}
@@ -101,12 +112,12 @@ def test_links_in_large_buckets_and_long_chains(spark):
     values |= {rnd.getrandbits(64) for _ in range(50)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     frame = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame).collect()]
-    assert all(bin(a ^ b).count("1") <= 2 for a, b in links)
-    edges = simhash.links(frame)
+    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame, radius).collect()]
+    assert all(a != b and bin(a ^ b).count("1") <= radius for a, b in links)
+    edges = simhash.links(frame, radius)
     found = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.least_reachable(edges).collect()}
     groups = defaultdict(set)
-    for v, r in components(values).items():
+    for v, r in components(values, radius).items():
         groups[r].add(v)
     mine = defaultdict(set)
     for v in values:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
-import corpus_pipeline as P
+from cardloom.llm import pipeline as P
 from cardloom.llm import quality
 from tests.llm.helpers import awkward, documents
-from tests.llm.test_dedup import UPPER, components, plain_fingerprint
+from tests.llm.test_dedup import UPPER
+from tests.llm.test_near_texts import groups_of
 from tests.llm.test_quality import corpus
 
 
@@ -50,15 +51,15 @@ def test_near_stage(spark):
     rows = awkward()
     docs = documents(spark, rows, clashing=True)
     kept = P.drop_near_copies(spark, docs, "")
-    root = components([plain_fingerprint(t) for _, t in rows])
-    groups = Counter(root[plain_fingerprint(r.text)] for r in kept.collect())
-    assert set(groups) == set(root.values()) and set(groups.values()) == {1}
+    root = groups_of([t for _, t in rows])
+    assert kept.columns == docs.columns
+    got = Counter(root[r.text or ""] for r in kept.collect())
+    assert set(got) == set(root.values()) and set(got.values()) == {1}
     least = {}
     for i, t in rows:
         if i is not None:
-            g = root[plain_fingerprint(t)]
-            least[g] = min(i, least.get(g, i))
-    assert all(r.doc_id == least.get(root[plain_fingerprint(r.text)]) for r in kept.collect())
+            least[root[t or ""]] = min(i, least.get(root[t or ""], i))
+    assert all(r.doc_id == least.get(root[r.text or ""]) for r in kept.collect())
 
 
 def test_secrets_stage(spark):
