@@ -1,95 +1,5 @@
-"""From raw documents to packed training sequences.
+"""The training-corpus pipeline: its stages, its run, and its SQL, if any; cardloom.llm.pipeline has them."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what one keeps is written and read again
-as the next one's docs.  All but the last return the columns of documents, extra ones included.  Null
-and empty texts are documents like any other: the classifier scores them, one of each group of copies
-stays, and packing gives them their end id.  An empty table goes through every stage.
-"""
+from cardloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from cardloom.llm import packing, quality, secret_scan
-from cardloom.llm.common import lower_ascii, text_of, work_path
-from cardloom.llm.exact_dedup import exact_duplicates
-from cardloom.llm.jaccard import similar_texts
-from cardloom.llm.queries import table, vocabulary
-from cardloom.llm.simhash import near_duplicates, text_hash
-
-
-def _row_key(digest: Column) -> Column:
-    """Tells rows apart, also where doc_ids repeat or are null."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest.cast("string"))
-
-
-def _only(docs: DataFrame, digest: Column, winners: DataFrame) -> DataFrame:
-    """The rows of docs with the keys of winners (doc_id, digest), one for each key."""
-    rows = docs.select(_row_key(digest).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(winners.select(_row_key(F.col("digest")).alias("key")).distinct(), "key")
-    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
-    return kept.withColumn("turn", turn).where("turn = 1").select("row.*")
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of these documents, does not reject."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs.where(quality.scored(F.col("text"), model) >= 0.5)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the largest doc_id."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
-    return _only(docs, F.sha2(lower_ascii(text_of()), 256), kept)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest doc_id."""
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    least = near_duplicates(docs).groupBy("component").agg(F.min(order).alias("w"))
-    return _only(docs, text_hash(), least.select("w.doc_id", "w.digest"))
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document with the smallest doc_id."""
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    least = similar_texts(docs).groupBy("component").agg(F.min(order).alias("w"))
-    return _only(docs, text_hash(), least.select("w.doc_id", "w.digest"))
-
-
-def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its secrets replaced by their kinds; n_chars follows where the text changed."""
-    hidden = secret_scan.redacted(F.col("text"))
-    rows = docs.withColumn("text", F.struct(F.col("text").alias("old"), hidden.alias("new")))
-    if "n_chars" in docs.columns:
-        changed = ~F.col("text.old").eqNullSafe(F.col("text.new"))
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("text.new").cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.col("text.new"))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document in sequences of at most 1024 tokens."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("exact_dedup", drop_copies),
-    ("near_dedup", drop_similar),
-    ("secrets", hide_secrets),
-    ("packing", pack_sequences),
-]
-
-#: SQL can express neither the classifier nor the fingerprints; tests/llm compares with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = work_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
