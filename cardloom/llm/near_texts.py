@@ -31,6 +31,8 @@ WORDS = 5
 PRINTS, RADIUS = 4, 4
 #: Longs of a set's bitmap, whose bits are parities: no more of them differ than members do.
 BITMAP = 8
+#: Rows of a batch that a worker takes at a time.
+PART = 500
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -80,10 +82,9 @@ def _described(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = lambda x: pa.array(x, pa.list_(pa.int64()))
         for batch in batches:
-            rows = [one(words) for _, words in word_keys(batch.column(1))]
-            for a in range(0, len(rows), 2000):
-                sids, sizes, bits, prints = zip(*rows[a : a + 2000], strict=True)
-                part = batch.slice(a, 2000)
+            for a in range(0, len(batch), PART):
+                part = batch.slice(a, PART)
+                sids, sizes, bits, prints = zip(*(one(words) for _, words in word_keys(part.column(1))), strict=True)
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), longs(bits), longs(prints)], ["doc_id", "digest", "sid", "n", "bits", "prints"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(text_of()).alias("text"), text_hash().alias("digest"))
@@ -112,12 +113,13 @@ def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            good = []
-            for a, (_, s), (_, t) in zip(batch.column(0).to_pylist(), word_keys(batch.column(2)), word_keys(batch.column(3)), strict=True):
-                if a != last:
-                    last, held = a, shingles(s)
-                good.append(similar(held, shingles(t)))
-            yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            for at in range(0, len(batch), PART):
+                part, good = batch.slice(at, PART), []
+                for a, (_, s), (_, t) in zip(part.column(0).to_pylist(), word_keys(part.column(2)), word_keys(part.column(3)), strict=True):
+                    if a != last:
+                        last, held = a, shingles(s)
+                    good.append(similar(held, shingles(t)))
+                yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
 
     pairs = settle(pairs)
     held = settle(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), known))
@@ -164,6 +166,8 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     """
     rows = settle(_described(docs))
     known = rows.groupBy("sid").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prints").alias("prints"))
+    # As many parts as the session shuffles to: each row has a key for every table.
+    known = known.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     known = settle(known.withColumn("id", F.monotonically_increasing_id()))
     tables = F.array(*[F.lit(m) for m in masks(RADIUS)])
     keys = F.flatten(F.transform("prints", lambda p, j: F.transform(tables, lambda m, i: F.xxhash64(j, i, p.bitwiseAND(m)))))

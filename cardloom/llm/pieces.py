@@ -28,9 +28,9 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: Bytes of text handled at a time; a longer text makes a chunk of its own, which is cut into segments.
 CHUNK = 2 << 20
 #: Bytes (or words) over which a hash rolls before it starts anew.
-STEP = 1 << 20
+STEP = 1 << 17
 #: The table keeps no piece of more bytes, and is emptied when it holds so many ids, or bytes of pieces.
-KEEP, MOST_IDS, MOST_BYTES = 1024, 1 << 24, 1 << 26
+KEEP, MOST_IDS, MOST_BYTES = 1024, 1 << 23, 1 << 25
 #: Longer pieces are keyed by a cryptographic digest instead of the rolling hash.
 LONG = 64
 MASK = (1 << 64) - 1
@@ -226,7 +226,7 @@ class PieceEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.raw, self.held = np.zeros(1 << 16, np.uint8), 0
         self.known = 0
-        self.begin, self.count, self.at, self.size = (np.zeros(1 << 16, np.int64) for _ in range(4))
+        self.begin, self.count, self.at, self.size = (np.zeros(1 << 16, np.int32) for _ in range(4))
 
     def _grow(self, name: str, need: int) -> np.ndarray:
         a = getattr(self, name)
@@ -238,7 +238,7 @@ class PieceEncoder:
     def _same(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Whether each piece has the bytes that its code stands for."""
         same = self.size[codes] == size
-        s, n, at = start[same], size[same], self.at[codes[same]]
+        s, n, at = start[same], size[same], self.at[codes[same]].astype(np.int64)
         first = np.cumsum(n) - n
         step = np.arange(int(n.sum()))
         differ = np.flatnonzero(self.raw[np.repeat(at - first, n) + step] != buf[np.repeat(s - first, n) + step])
@@ -303,7 +303,7 @@ class PieceEncoder:
         return codes, np.searchsorted(start, offsets)
 
     def _gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = self.count[codes]
+        count = self.count[codes].astype(np.int64)
         bound = np.concatenate([[0], np.cumsum(count)])
         return self.flat[np.repeat(self.begin[codes] - bound[:-1], count) + np.arange(bound[-1])], bound
 
