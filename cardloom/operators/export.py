@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,12 +141,34 @@ def resolve_output(source: str, out: str | None, fmt: str, is_dir: bool = False)
     return path.parent if fmt == "both" else path.with_suffix(f".{fmt}")
 
 
+def _places(sources: list[str]) -> dict[str, str]:
+    """Where each source's output goes, without its suffix: its stem, or as much of its path as tells it from the others."""
+    out, left = {}, sources
+    for name in (lambda p: p.stem, lambda p: str(_below(p, sources).with_suffix("")), lambda p: str(_below(p, sources))):
+        named = {s: name(PurePosixPath(s)) for s in left}
+        times = Counter([*named.values(), *out.values()])
+        out |= {s: n for s, n in named.items() if times[n] == 1}
+        left = [s for s in left if s not in out]
+    return out | {s: str(_below(PurePosixPath(s), sources)) for s in left}
+
+
+def _below(path: PurePosixPath, sources: list[str]) -> PurePosixPath:
+    top = os.path.commonpath([str(PurePosixPath(s).parent) for s in sources])
+    return path.relative_to(top) if top else PurePosixPath(str(path).lstrip("/"))
+
+
 def write_documents(documents: DataFrame, column: str, folder: str, suffix: str) -> list[Path]:
-    """K6, K8: one file for each source on the driver's disk, written over what is there; for small results."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    """K6, K8: one file for each source on the driver's disk, written over what is there; for small results.
+
+    Sources with one stem keep the folders below the one that they share, so none replaces another; those
+    that differ in their suffix alone keep it.
+    """
+    sources = [r.source_file for r in documents.select("source_file").distinct().toLocalIterator()]
+    places = _places(sources)
     made = []
     for row in documents.select("source_file", column).toLocalIterator():
-        path = Path(folder, Path(row.source_file).stem + f".{suffix}")
+        path = Path(folder, places[row.source_file] + f".{suffix}")
+        path.parent.mkdir(parents=True, exist_ok=True)
         text = row[column]
         if suffix == "json":
             text = json.dumps(json.loads(text), ensure_ascii=False, indent=2)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.functions.text import image_base64
+
 COVERAGE, PER_PAGE = 0.20, 5
 
 
@@ -34,3 +36,13 @@ def media_name(doc: str, page: str, idx: str, media_type: str):
     """K7: a file name for an image; the document's id comes first, so documents can share a folder."""
     suffix = F.when(F.contains(F.col(media_type), F.lit("png")), F.lit("png")).otherwise(F.lit("jpg"))
     return F.concat(F.lit("_media/"), F.col(doc).cast("string"), F.lit("_page"), F.col(page).cast("string"), F.lit("_img"), F.col(idx).cast("string"), F.lit("."), suffix)
+
+
+def flattened(images: DataFrame) -> DataFrame:
+    """doc_id and images, all images of all its pages in order (page_num, idx), as one array of media_type and data.
+
+    data: base64 of image_bytes, empty where there are none.
+    """
+    each = F.struct("page_num", "idx", "media_type", image_base64(F.col("image_bytes")).alias("data"))
+    met = images.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("i"))
+    return met.select("doc_id", F.transform("i", lambda x: F.struct(x["media_type"].alias("media_type"), x["data"].alias("data"))).alias("images"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.cost import estimated_cost, selected_model
+from cardloom.settling import settle
 
 BUDGET, WARN_AT, MAX_CARDS, SECTION_CARDS, SECTION_MIN_CHARS = 1.00, 0.8, 50, 20, 50
 
@@ -31,8 +32,8 @@ def _running(rows: DataFrame, value: Column, out: str, order: list[str], partiti
     if partition:
         w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn(out, F.coalesce(F.sum(out).over(w), F.lit(0).cast(rows.schema[out].dataType)))
-    # Kept: the partition numbers must be the same for the sums and the rows.
-    dealt = rows.repartitionByRange(*order).withColumn("part_no", F.spark_partition_id()).persist()
+    # Written: the partition numbers must be the same for the sums and the rows, also after an executor is lost.
+    dealt = settle(rows.repartitionByRange(*order).withColumn("part_no", F.spark_partition_id()))
     zero = F.lit(0).cast(rows.schema[out].dataType)
     sums = dealt.groupBy("part_no").agg(F.sum(out).alias("part_sum"))
     before = sums.withColumn("base", F.coalesce(F.sum("part_sum").over(Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)), zero)).drop("part_sum")

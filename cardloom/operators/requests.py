@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardloom.functions.cost import selected_model
 from cardloom.operators.cards import parse_responses, section_tagged, valid_cards
-from cardloom.operators.ledger import section_plan
+from cardloom.operators.ledger import BUDGET, MAX_CARDS, WARN_AT, section_plan, with_cost
 
 SYSTEM = "You write study cards. Answer with a JSON array of cards and nothing else."
 MAX_TOKENS = 8192
@@ -77,9 +80,24 @@ def with_retry(call: Callable[[], dict], retryable: tuple[type[Exception], ...],
     raise RuntimeError(f"no answer after {attempts} attempts") from last
 
 
+ANSWER = "source_file string, custom_id string, status string, model string, input_tokens long, output_tokens long, block_type string, text string"
+
+
+def answers_at(spark: SparkSession, path: str) -> DataFrame:
+    """The answers that a run has bought so far; none yet: an empty table."""
+    try:
+        return spark.read.schema(ANSWER).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], ANSWER)
+
+
 def call_provider(requests: DataFrame, provider: Provider, path: str, retryable: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)) -> DataFrame:
-    """The answers, written to path before anything reads them, since calls cost money and a plan may run twice."""
-    columns = "source_file string, custom_id string, status string, model string, input_tokens long, output_tokens long, block_type string, text string"
+    """The answers to requests, kept at path before anything reads them, since calls cost money and a plan may run twice.
+
+    A request whose key has an answer there is not sent again, so a run that broke off goes on where it
+    stopped; one that failed is.  Any error of the provider makes that request an errored row and leaves
+    the others alone.
+    """
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -90,12 +108,90 @@ def call_provider(requests: DataFrame, provider: Provider, path: str, retryable:
                 try:
                     a = with_retry(lambda r=r: provider(r.model, r.system_prompt, r.user_prompt, int(r.max_tokens)), retryable)
                     out.append((r.source_file, r.custom_id, "succeeded", a["model"], a["input_tokens"], a["output_tokens"], a.get("block_type", "text"), a.get("text")))
-                except RuntimeError:
+                except Exception:  # whatever it was, it is this request's error
                     out.append((r.source_file, r.custom_id, "errored", r.model, 0, 0, None, None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")])
-
-    requests.mapInPandas(run, columns).write.mode("overwrite").parquet(path)
-    return requests.sparkSession.read.parquet(path)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+    spark, key = requests.sparkSession, ["source_file", "custom_id"]
+    answered = answers_at(spark, path).where("status = 'succeeded'").select(*key)
+    requests.join(answered, key, "left_anti").select(*key, "model", "system_prompt", "user_prompt", "max_tokens").mapInPandas(run, ANSWER).write.mode("append").parquet(path)
+    found = answers_at(spark, path)
+    # A request that failed before and has an answer now counts once.
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("status") != "succeeded"))
+    return found.withColumn("turn", best).where("turn = 1").drop("turn").join(requests.select(*key), key, "left_semi")
+
+
+def chunk_requests(documents: DataFrame, max_cards: int = MAX_CARDS, force: str | None = None, **options) -> DataFrame:
+    """G3 without sections: a request for each chunk (source_file, text, chunks), the model chosen once by the whole text."""
+    rows = documents.withColumn("model", selected_model(F.length("text"), F.lit(max_cards), F.lit(force) if force else None))
+    rows = rows.select("source_file", "model", F.posexplode("chunks").alias("section_pos", "chunk"))
+    name = F.concat(F.lit("chunk-"), F.col("section_pos").cast("string"))
+    asked = user_prompt(F.col("chunk"), max_cards, **options)
+    return rows.select("source_file", name.alias("custom_id"), "section_pos", F.lit(0).alias("part"), "model", asked.alias("user_prompt"), F.lit(SYSTEM).alias("system_prompt"), F.lit(MAX_TOKENS).alias("max_tokens")).where("user_prompt IS NOT NULL")
+
+
+def vision_requests(documents: DataFrame, images: DataFrame, model: str, max_cards: int = MAX_CARDS) -> DataFrame:
+    """One request for each document, over its whole text and all its images; always the model given, no options.
+
+    documents: source_file, text; images: source_file, images (C12).  user_prompt is the JSON of the
+    message's parts: the images that have bytes, then a text that announces how many there are in all.
+    """
+    rows = documents.select("source_file", "text").join(images, "source_file", "left")
+    part = lambda kind, media, data, text: F.struct(F.lit(kind).alias("type"), media.alias("media_type"), data.alias("data"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    shown = F.transform(F.filter("images", lambda i: i["data"] != ""), lambda i: part("image", i["media_type"], i["data"], none))
+    shown = F.coalesce(shown, F.array().cast("array<struct<type:string,media_type:string,data:string,text:string>>"))
+    count = F.coalesce(F.size("images"), F.lit(0))
+    said = F.concat(F.greatest(count, F.lit(0)).cast("string"), F.lit(" images come with this text.\n\n"), user_prompt(F.col("text"), max_cards))
+    prompt = F.to_json(F.concat(shown, F.array(part("text", none, none, said))))
+    rows = rows.where(F.length("text") > 0)
+    return rows.select("source_file", F.lit("vision").alias("custom_id"), F.lit(0).alias("section_pos"), F.lit(0).alias("part"), F.lit(model).alias("model"), prompt.alias("user_prompt"), F.lit(SYSTEM).alias("system_prompt"), F.lit(MAX_TOKENS).alias("max_tokens"))
+
+
+@dataclass
+class Spending:
+    """What a run has spent, the wave before which it warned (0: none), and why it stopped early, if it did."""
+
+    spent: float = 0.0
+    calls: int = 0
+    warned_at: int = 0
+    stopped: str | None = None
+
+
+def spend(requests: DataFrame, provider: Provider, path: str, budget: float = BUDGET, warn_at: float = WARN_AT, max_cards: int | None = MAX_CARDS, in_turn: bool = False, retryable: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)) -> tuple[DataFrame, Spending]:
+    """P3, P4, W2 to W4 around the calls themselves: (answers, what was spent).
+
+    The first requests of all documents are one wave, the second ones the next, and so on.  Before each
+    wave, what was spent so far decides: over the budget nothing more is sent, and at warn_at of it there
+    is one warning; a document that has max_cards valid cards (None: no cap) asks for no more.  So a run
+    overshoots by one wave at most; in_turn makes each request a wave of its own, in the order of
+    documents, where it overshoots by one call.  Answers that path holds already count as spent, and
+    aren't bought again.
+    """
+    spark, state = requests.sparkSession, Spending()
+    order = Window.orderBy("source_file", "section_pos", "part") if in_turn else Window.partitionBy("source_file").orderBy("section_pos", "part")
+    waved = requests.withColumn("wave", F.row_number().over(order)).cache()
+    try:
+        for wave in range(1, (waved.agg(F.max("wave")).first()[0] or 0) + 1):
+            bought = answers_at(spark, path)
+            total = with_cost(usage(bought)).agg(F.sum("cost_usd"), F.count("*")).first()
+            state.spent, state.calls = float(total[0] or 0.0), total[1]
+            if state.spent > budget:
+                state.stopped = f"spent {state.spent:.6f} of {budget:.6f}"
+                break
+            if not state.warned_at and state.spent >= warn_at * budget:
+                state.warned_at = wave
+            asking = waved.where(F.col("wave") == wave)
+            if max_cards is not None:
+                full = collect_cards(waved, bought).groupBy("source_file").count().where(F.col("count") >= max_cards)
+                asking = asking.join(full.select("source_file"), "source_file", "left_anti")
+            call_provider(asking.drop("wave"), provider, path, retryable)
+    finally:
+        waved.unpersist()
+    found = answers_at(spark, path)
+    total = with_cost(usage(found)).agg(F.sum("cost_usd"), F.count("*")).first()
+    state.spent, state.calls = float(total[0] or 0.0), total[1]
+    return found, state
 
 
 def usable(responses: DataFrame) -> DataFrame:
@@ -111,12 +207,27 @@ def collect_cards(requests: DataFrame, responses: DataFrame, tag_sections: bool
     return section_tagged(cards) if tag_sections else cards
 
 
-def usage(responses: DataFrame, batch: bool = False) -> DataFrame:
-    """The ledger of usable answers: empty ones and those without text cost nothing here."""
-    rows = usable(responses).where("text <> ''")
+def usage(responses: DataFrame, batch: bool = False, empty: bool = False) -> DataFrame:
+    """The ledger of usable answers: empty ones and those without text cost nothing here, but with empty (vision) all do."""
+    rows = responses.where("status = 'succeeded'") if empty else usable(responses).where("text <> ''")
     return rows.select("source_file", "custom_id", "model", "input_tokens", "output_tokens", F.lit(batch).alias("batch"))
 
 
+def submit(requests: DataFrame, send: Callable[[list[dict]], str], size: int = 10_000) -> list[str]:
+    """Hands the requests to a batch service, `size` at a time; the ids of the batches.  No requests are an error."""
+    made, block = [], []
+    for row in requests.orderBy("source_file", "section_pos", "part").toLocalIterator():
+        block.append(row.asDict())
+        if len(block) == size:
+            made.append(send(block))
+            block = []
+    if block:
+        made.append(send(block))
+    if not made:
+        raise ValueError("no requests to submit")
+    return made
+
+
 def poll(status: Callable[[], str], every: float, timeout: float, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
     """Waits until a batch has ended; the time is looked at after each poll."""
     began = clock()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,23 @@ def review_items(cards: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.drop("decided", "new_front", "new_back")
 
 
+def set_status(decisions: DataFrame, chosen: DataFrame, status: str) -> DataFrame:
+    """Decisions with the status of the cards in chosen (source_file, card_idx) set; their edits stay."""
+    return _changed(decisions, chosen.select("source_file", "card_idx"), status=F.lit(status))
+
+
+def edit_cards(decisions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Decisions with the texts of edits (source_file, card_idx, new_front, new_back) taken over, empty ones too; statuses stay."""
+    return _changed(decisions, edits.select("source_file", "card_idx", F.col("new_front").alias("f"), F.col("new_back").alias("b")), new_front=F.col("f"), new_back=F.col("b"))
+
+
+def _changed(decisions: DataFrame, cards: DataFrame, **values: Column) -> DataFrame:
+    rows = decisions.withColumn("known", F.lit(True)).join(cards.withColumn("hit", F.lit(True)), ["source_file", "card_idx"], "full_outer")
+    rows = rows.withColumn("status", F.coalesce("status", F.lit("pending")))
+    rows = rows.withColumns({n: F.when(F.col("hit"), v).otherwise(F.col(n)) for n, v in values.items()})
+    return rows.select("source_file", "card_idx", "status", "new_front", "new_back")
+
+
 def accepted(items: DataFrame, saved: bool = True) -> DataFrame:
     """On save the accepted cards; on quit all of them."""
     return items.where(F.col("status") == "accepted") if saved else items

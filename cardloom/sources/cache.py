@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,9 @@ def valid_hash(column: str):
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, or None if there is none; entries whose key is no hash are left out."""
+    """The table, or None if there is none; entries whose key is no hash are left out, files that can't be read are misses."""
     try:
-        return spark.read.parquet(path).where(valid_hash("cache_key"))
+        return spark.read.option("ignoreCorruptFiles", "true").parquet(path).where(valid_hash("cache_key"))
     except AnalysisException:
         return None
 
@@ -31,28 +32,24 @@ def cache_key(by_settings: bool = False, **settings) -> Callable:
 
 
 def load_with_cache(files: DataFrame, path: str, load: Callable[[DataFrame], DataFrame], key: Callable = lambda h: h, enabled: bool = True) -> DataFrame:
-    """Cached documents for the files that have an entry, loaded ones for the rest, which are added."""
+    """Cached documents for the files that have an entry, loaded ones for the rest.
+
+    What loads without an error is added to the cache; a file that fails stays in the result with its
+    error, and is tried again next time.  Files are loaded once: into a folder beside the cache, which the
+    failed rows are read from.
+    """
     if not enabled:
         return load(files)
     spark = files.sparkSession
     keyed = files.withColumn("cache_key", key(F.sha2("content", 256)))
     known = read_cache(spark, path)
-    if known is None:
-        _append(load(files), path, key)
-        return load_cached(spark, path, keyed)
-    missing = keyed.join(known.select("cache_key"), "cache_key", "left_anti").drop("cache_key")
-    _append(load(missing), path, key)
-    return load_cached(spark, path, keyed)
-
-
-def _append(documents: DataFrame, path: str, key: Callable) -> None:
-    good = documents.where("error IS NULL").withColumn("cache_key", key(F.col("content_hash")))
-    good.dropDuplicates(["cache_key"]).write.mode("append").parquet(path)
-
-
-def load_cached(spark: SparkSession, path: str, keyed: DataFrame) -> DataFrame:
-    entries = spark.read.parquet(path)
-    return keyed.select("cache_key").join(entries, "cache_key").drop("cache_key")
+    missing = keyed.drop("cache_key") if known is None else cache_misses(keyed, known).drop("cache_key")
+    fresh = f"{path.rstrip('/')}-loaded/{uuid.uuid4().hex}"
+    load(missing).write.parquet(fresh)
+    loaded = spark.read.parquet(fresh).withColumn("cache_key", key(F.col("content_hash")))
+    loaded.where("error IS NULL").dropDuplicates(["cache_key"]).write.mode("append").parquet(path)
+    cached = keyed.select("cache_key").join(read_cache(spark, path), "cache_key")
+    return cached.unionByName(loaded.where("error IS NOT NULL")).drop("cache_key")
 
 
 def cache_misses(keyed: DataFrame, known: DataFrame, column: str = "cache_key") -> DataFrame:
@@ -61,14 +58,21 @@ def cache_misses(keyed: DataFrame, known: DataFrame, column: str = "cache_key")
 
 
 def invalidate(spark: SparkSession, path: str, key: str | None = None) -> int:
-    """Removes one entry or all; how many there were.  The rest is written beside, then takes the table's place."""
+    """Removes one entry or all; how many there were.
+
+    The rest is written beside the table and takes its place by renaming, so a failure leaves one of the two whole.
+    """
     known = read_cache(spark, path)
     if known is None:
         return 0
-    before = known.count()
+    before, path = known.count(), path.rstrip("/")
     rest = known.where(F.lit(False)) if key is None else known.where(F.col("cache_key") != key)
     rest.write.mode("overwrite").parquet(f"{path}-next")
-    kept = spark.read.parquet(f"{path}-next")
-    left = kept.count()
-    kept.write.mode("overwrite").parquet(path)
+    left = spark.read.parquet(f"{path}-next").count()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.delete(at(path), True)
+    if not store.rename(at(f"{path}-next"), at(path)):
+        raise OSError(f"{path}-next holds the table, and could not take its place")
+    spark.catalog.refreshByPath(path)
     return before - left

@@ -22,10 +22,11 @@ def supported(path: Column) -> Column:
     return path.rlike(SUPPORTED)
 
 
-def list_files(spark: SparkSession, path: str, largest: int | None = None) -> DataFrame:
-    """Path, length, content of the supported files of a folder (not of those below it) or of one file.
+def list_files(spark: SparkSession, path: str, largest: int | None = None, ordered: bool = True) -> DataFrame:
+    """Path, length, content of the supported files of a folder (not of those below it) or of one file, by path.
 
     A folder without any, and a file of another kind, raise ValueError.  largest leaves out bigger files.
+    Sorting moves the contents; large loads, whose plans order by ordinals of their own, pass ordered=False.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     files = files.where(supported(F.col("path")))
@@ -33,7 +34,8 @@ def list_files(spark: SparkSession, path: str, largest: int | None = None) -> Da
         files = files.where(F.col("length") <= largest)
     if files.select("path").limit(1).isEmpty():
         raise ValueError(f"no supported file in {path}")
-    return files.select("path", "length", "content")
+    files = files.select("path", "length", "content")
+    return files.orderBy("path") if ordered else files
 
 
 def content_hash(content: Column) -> Column:

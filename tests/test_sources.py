@@ -61,12 +61,16 @@ def test_cache(spark, folder, tmp_path):
         return files.load_documents(rows)
 
     first = cache.load_with_cache(listed, path, load)
-    assert first.count() == 2 and calls == [4]
+    assert calls == [4] and sorted(r.error is None for r in first.collect()) == [False, False, True, True]  # no file is lost
     (folder / "b.MD").rename(folder / "renamed.md")
-    again = {r.source_path.rsplit("/", 1)[1] for r in cache.load_with_cache(files.list_files(spark, str(folder)), path, load).collect()}
-    assert again == {"a.txt", "b.MD"} and calls == [4, 2]  # the content's hash is the key: the old name comes back
+    found = cache.load_with_cache(files.list_files(spark, str(folder)), path, load).collect()
+    again = {r.source_path.rsplit("/", 1)[1] for r in found if r.error is None}
+    assert len(found) == 4 and again == {"a.txt", "b.MD"} and calls == [4, 2]  # the content's hash is the key: the old name comes back
+    (tmp_path / "cache" / "part-broken.parquet").write_bytes(b"no parquet")
+    assert cache.read_cache(spark, path).count() == 2  # a file that can't be read is a miss
     key = cache.read_cache(spark, path).first().cache_key
     assert cache.invalidate(spark, path, key) == 1 and cache.invalidate(spark, path) == 1 and cache.invalidate(spark, f"{path}-none") == 0
+    assert not (tmp_path / "cache-next").exists()
     hashes = [r.h for r in spark.createDataFrame([("x",)], "c string").select(F.col("c").alias("h")).collect()]
     assert hashes == ["x"] and cache.load_with_cache(files.list_files(spark, str(folder)), path, load, enabled=False).count() == 4
     by = cache.cache_key(by_settings=True, ocr=True)
