@@ -14,19 +14,22 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import similarity
 from cardloom.functions.cost import MID, estimated_cost, selected_model
-from cardloom.functions.text import cjk_count, estimated_tokens, image_scale, image_tokens, preprocessed
-from cardloom.operators import chunks, critique, duplicates, export, images, ledger, matching, review
+from cardloom.functions.text import cjk_count, estimated_tokens, image_scale, image_tokens, preprocessed, shortened
+from cardloom.operators import chunks, critique, duplicates, export, images, ledger, matching, requests, review
 from cardloom.operators import sections as sectioning
-from cardloom.operators.cards import parse_responses, score_cards, valid_cards
-from cardloom.plans.convert import preview, run_quality
-from cardloom.schemas import BLOOM_LEVELS, CARD_TYPES, WEIGHTS
+from cardloom.operators.cards import by_bloom, by_type, parse_responses, score_cards, valid_cards
+from cardloom.plans.convert import critique_requests, preview, run_quality
+from cardloom.schemas import BLOOM_LEVELS, CARD, CARD_TYPES, WEIGHTS
+from cardloom.settling import settle, work_path
+from cardloom.sources import files
 from cardloom.sources.cache import cache_misses
 from cardloom.streaming.ingest import spending_by_window
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-DECKS = 16
+#: Conversations, or benchmark items, of a deck: decks stay as large as they are, and grow in number.
+DECK = 64
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -336,7 +339,7 @@ def first_model_used(spark: SparkSession, sf_dir: str) -> DataFrame:
 CARDS = f"""turns AS (
     SELECT conv_id, turn, role, text, lead(role) OVER w AS role2, lead(text) OVER w AS text2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 ), cards AS (
-    SELECT 'deck-' || (conv_id % {DECKS}) AS source_file, row_number() OVER (PARTITION BY conv_id % {DECKS} ORDER BY conv_id, turn) - 1 AS card_idx,
+    SELECT 'deck-' || (conv_id // {DECK}) AS source_file, row_number() OVER (PARTITION BY conv_id // {DECK} ORDER BY conv_id, turn) - 1 AS card_idx,
         CASE WHEN conv_id % 8 = 3 AND turn % 4 = 0 THEN '{{{{c1::' || substr(text, 1, 30) || '}}}} ' || substr(text, 31, 40)
              WHEN conv_id % 7 = 1 THEN substr(text, 1, 8) WHEN conv_id % 7 = 2 THEN substr(text, 1, 120) || '?' ELSE text END AS front,
         CASE WHEN conv_id % 8 = 3 AND turn % 4 = 0 THEN '' WHEN conv_id % 5 = 0 THEN substr(text2, 1, 60) WHEN conv_id % 5 = 1 THEN substr(text2, 1, 3)
@@ -361,10 +364,10 @@ def cards_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
     topic = F.concat(F.lit("topic::t"), (c % 4).cast("string"))
     tags = F.when(c % 3 == 0, F.array(topic, F.lit("turns"))).when(c % 3 == 1, F.array(F.lit("turns"))).otherwise(F.array(topic))
-    number = F.row_number().over(Window.partitionBy(c % DECKS).orderBy("conv_id", "turn")) - 1
+    number = F.row_number().over(Window.partitionBy(F.floor(c / DECK)).orderBy("conv_id", "turn")) - 1
     empty = F.array().cast("array<string>")
     cards = rows.select(
-        F.concat(F.lit("deck-"), (c % DECKS).cast("string")).alias("source_file"),
+        F.concat(F.lit("deck-"), F.floor(c / DECK).cast("string")).alias("source_file"),
         number.alias("card_idx"),
         front.alias("front"),
         back.alias("back"),
@@ -524,7 +527,7 @@ def _reviews(routed: DataFrame) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    routed = critique.route(score_cards(cards_of(spark, sf_dir)))
+    routed = settle(critique.route(score_cards(cards_of(spark, sf_dir))))  # every use of it reads the scores
     return routed, critique.merge_reviews(routed.where("NOT passed"), _reviews(routed))
 
 
@@ -585,7 +588,7 @@ def parse_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation -------------------------------------------------------------------------------
 
 EXPECTED = f"""{CARDS}, expected AS (
-    SELECT 'deck-' || (item_id % {DECKS}) AS case_id, row_number() OVER (PARTITION BY item_id % {DECKS} ORDER BY item_id) - 1 AS exp_idx,
+    SELECT 'deck-' || (item_id // {DECK}) AS case_id, row_number() OVER (PARTITION BY item_id // {DECK} ORDER BY item_id) - 1 AS exp_idx,
         list_transform(string_split(text, ' ')[1:4], lambda x: lower(x)) AS fk, list_transform(string_split(text, ' ')[5:9], lambda x: lower(x)) AS bk,
         CASE WHEN item_id % 2 = 0 THEN {_names(CARD_TYPES)}[item_id % 8 + 1] END AS wanted FROM benchmark
 ), scores AS (
@@ -597,8 +600,8 @@ EXPECTED = f"""{CARDS}, expected AS (
 
 def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     i = F.col("item_id")
-    case = F.concat(F.lit("deck-"), (i % DECKS).cast("string"))
-    number = F.row_number().over(Window.partitionBy(i % DECKS).orderBy("item_id")) - 1
+    case = F.concat(F.lit("deck-"), F.floor(i / DECK).cast("string"))
+    number = F.row_number().over(Window.partitionBy(F.floor(i / DECK)).orderBy("item_id")) - 1
     words = F.transform(F.split("text", " "), F.lower)
     wanted = F.when(i % 2 == 0, F.element_at(F.array(*[F.lit(t) for t in CARD_TYPES]), (i % 8 + 1).cast("int")))
     expected = _table(spark, sf_dir, "benchmark").select(case.alias("case_id"), number.alias("exp_idx"), F.slice(words, 1, 4).alias("front_keywords"), F.slice(words, 5, 5).alias("back_keywords"), wanted.alias("wanted_type"))
@@ -664,10 +667,18 @@ def eval_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("case_id", F.col("card_idx").cast("long"))
 
 
-@query(f"""WITH {CLEAN} SELECT quality, tokens >= 100 AS passed, count(*) AS n FROM tokened JOIN labels USING (doc_id) GROUP BY ALL""")
+DOCUMENT_CARDS = """cards AS (
+    SELECT doc_id, doc_id::VARCHAR AS source_file, 0 AS card_idx, 'What does ' || source || ' say?' AS front, text AS back, 'summary_point' AS card_type, 'understand' AS bloom_level, [lang, 'doc::' || source] AS tags FROM documents
+)"""
+
+
+@query(f"""WITH {SCORED.replace(CARDS, DOCUMENT_CARDS, 1)} SELECT quality, weighted_total >= 0.8 AS passed, count(*) AS n FROM scored JOIN labels USING (doc_id) GROUP BY ALL""")
 def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", (estimated_tokens(preprocessed(F.col("text"))) >= 100).alias("passed"))
-    return docs.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "passed").agg(F.count("*").alias("n"))
+    """The heuristic scores of whole documents, as the backs of cards, against the labels of quality."""
+    front = F.concat(F.lit("What does "), "source", F.lit(" say?"))
+    docs = _documents(spark, sf_dir).select("doc_id", front.alias("front"), F.col("text").alias("back"), F.lit("summary_point").alias("card_type"), F.array(F.col("lang"), F.concat(F.lit("doc::"), "source")).alias("tags"))
+    passed = score_cards(docs).select("doc_id", (F.col("weighted_total") >= 0.8).alias("passed"))
+    return passed.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "passed").agg(F.count("*").alias("n"))
 
 
 # ---- export, review, images -------------------------------------------------------------------
@@ -706,17 +717,27 @@ def note_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_file", F.col("card_idx").cast("long"), F.col("note.modelName").alias("model"), fields.alias("fields"), F.size("note.tags").cast("long").alias("n_tags"))
 
 
-@query(f"""WITH {CARDS} SELECT source_file, count(*) AS n_cards, count(*) FILTER (WHERE card_type = 'cloze') AS n_cloze FROM cards GROUP BY 1""")
+@query(
+    f"""WITH {CARDS} SELECT source_file, '1.0' AS schema_version, '2026-01-01T00:00:00+00:00' AS generated_at, count(*) AS card_count, md5(string_agg(concat_ws(chr(31), front, back, card_type, bloom_level, array_to_string(tags, ' '), 'null', '0', '0'), chr(30) ORDER BY card_idx)) AS cards FROM cards GROUP BY 1"""
+)
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read back from the JSON: its metadata and every field of every card, nulls and empty lists included."""
     made = export.json_documents(cards_of(spark, sf_dir), "mid-tier", "2026-01-01T00:00:00+00:00")
-    kinds = F.from_json("json", "struct<cards:array<struct<card_type:string>>>")["cards"]
-    return made.select("source_file", F.size(kinds).cast("long").alias("n_cards"), F.size(F.filter(kinds, lambda c: c["card_type"] == "cloze")).cast("long").alias("n_cloze"))
+    v = F.parse_json("json")
+    each = F.from_json(F.get_json_object("json", "$.cards"), f"array<{CARD}>")
+    # A null that is there reads as VARIANT null, one that is left out as no value at all.
+    hint = F.when(F.expr("schema_of_variant(try_variant_get(parse_json(json), '$.cards[0].mnemonic_hint', 'variant'))") == "VOID", F.lit("null"))
+    size = lambda x: F.size(x).cast("string")
+    said = F.transform(each, lambda c: F.concat_ws(chr(31), c["front"], c["back"], c["card_type"], c["bloom_level"], F.array_join(c["tags"], " "), hint, size(c["related_concepts"]), size(c["media"])))
+    return made.select("source_file", F.try_variant_get(v, "$._meta.schema_version", "string").alias("schema_version"), F.try_variant_get(v, "$._meta.generated_at", "string").alias("generated_at"), F.size(each).cast("long").alias("card_count"), F.md5(F.array_join(said, chr(30))).alias("cards"))
 
 
-@query(f"""WITH {CARDS} SELECT count(*) AS total, count(*) FILTER (WHERE card_idx % 9 <> 0) AS added, count(*) FILTER (WHERE card_idx % 9 = 0) AS failed FROM cards""")
+@query(f"""WITH {CARDS}, n AS (SELECT row_number() OVER (ORDER BY source_file, card_idx) AS place FROM cards) SELECT count(*) AS total, count(*) FILTER (WHERE place % 9 <> 0) AS added, count(*) FILTER (WHERE place % 9 = 0) AS failed,
+    string_agg('Card ' || place || ' failed to add', ';' ORDER BY place) FILTER (WHERE place % 9 = 0) AS errors FROM n""")
 def push_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = cards_of(spark, sf_dir).select(F.col("card_idx").alias("position"), F.when(F.col("card_idx") % 9 != 0, F.col("card_idx")).alias("note_id"))
-    return export.push_report(answers).select("total", "added", "failed")
+    place = F.row_number().over(Window.orderBy("source_file", "card_idx"))  # a push goes card by card
+    answers = cards_of(spark, sf_dir).select((place - 1).alias("position"), F.when(place % 9 != 0, place).alias("note_id"))
+    return export.push_report(answers).withColumn("errors", F.array_join("errors", ";"))
 
 
 REVIEW = f"""WITH {CARDS}, items AS (
@@ -740,9 +761,9 @@ def accepted_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES = """boxes AS (
-    SELECT doc_id // 8 AS doc_id, (doc_id % 8) // 4 AS page_num, k AS idx, (n_chars % 50 + k * 37)::DOUBLE AS x0, (n_chars % 70)::DOUBLE AS y0, (n_chars % 50 + k * 37 + n_chars % 190 - 15)::DOUBLE AS x1,
+    SELECT doc_id // 8 AS doc_id, doc_id % 8 AS page_num, k AS idx, (n_chars % 50 + k * 37)::DOUBLE AS x0, (n_chars % 70)::DOUBLE AS y0, (n_chars % 50 + k * 37 + n_chars % 190 - 15)::DOUBLE AS x1,
         (n_chars % 70 + 30 + doc_id % 300)::DOUBLE AS y1, 595.0::DOUBLE AS page_width, 842.0::DOUBLE AS page_height, 100 + n_chars % 3000 AS width, 100 + doc_id % 2000 AS height
-    FROM documents, range(0, 7) r(k) WHERE doc_id % 4 = 0
+    FROM documents, range(0, 7) r(k)
 ), pages_ AS (
     SELECT doc_id, page_num, count(*) AS n_images, sum(greatest((x1 - x0) * (y1 - y0), 0)) / (595.0::DOUBLE * 842.0::DOUBLE) AS coverage FROM boxes GROUP BY ALL
 )"""
@@ -750,11 +771,11 @@ BOXES = """boxes AS (
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, n, k = F.col("doc_id"), F.col("n_chars"), F.col("idx")
-    rows = _table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("idx"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("idx"))
     left, low = n % 50 + k * 37, n % 70
     box = [left.cast("double").alias("x0"), low.cast("double").alias("y0"), (left + n % 190 - 15).cast("double").alias("x1"), (low + 30 + d % 300).cast("double").alias("y1")]
     page = [F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), (n % 3000 + 100).alias("width"), (d % 2000 + 100).alias("height")]
-    return rows.select(F.floor(d / 8).alias("doc_id"), F.floor((d % 8) / 4).alias("page_num"), "idx", *box, *page)
+    return rows.select(F.floor(d / 8).alias("doc_id"), (d % 8).alias("page_num"), "idx", *box, *page)
 
 
 @query(f"WITH {BOXES} SELECT doc_id, page_num, n_images, round(coverage, 9) AS coverage, coverage >= 0.2 AS significant FROM pages_")
@@ -777,3 +798,108 @@ def projected_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", estimated_tokens(preprocessed(F.col("text"))).alias("tokens"))
     cost: Column = estimated_cost(F.lit(MID), F.col("tokens"), F.floor(F.col("tokens") / 4))
     return rows.withColumn("cost_usd", F.round(cost, 9))
+
+
+# ---- requests, limits, cards and reviews by their plain forms ---------------------------------
+
+
+def _digested(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("user_prompt", F.md5("user_prompt"))
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS source_file, CASE WHEN length(text) >= 10000 THEN 'mid-tier' ELSE 'low-tier' END AS model,
+        md5('Document: ' || source || chr(10) || 'Section: ' || source || ' > ' || lang || chr(10) || 'Pages: p.' || (doc_id % 9) || chr(10) || chr(10) || 'Write at most 20 cards.' || chr(10) || chr(10)
+            || 'Tag path: ' || source || '::' || lang || chr(10) || chr(10) || 'Card types: qa, cloze' || chr(10) || chr(10) || 'Text:' || chr(10) || text) AS user_prompt
+    FROM documents WHERE length(text) >= 50"""
+)
+def section_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one section of its source; short ones are left out."""
+    page = F.concat(F.lit("p."), (F.col("doc_id") % 9).cast("string"))
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_file"), F.lit("section-0").alias("id"), F.lit(0).alias("section_pos"), F.lit(0).alias("part"), F.col("source").alias("title"), F.concat_ws(" > ", "source", "lang").alias("breadcrumb"), page.alias("page_range"), "text", F.length("text").alias("char_count"))
+    return _digested(requests.section_requests(rows, card_types=["qa", "cloze"])).select("source_file", "model", "user_prompt")
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS source_file, 'mid-tier' AS model, md5('Write at most 50 cards about the text below.' || chr(10) || chr(10) || 'Focus on: names' || chr(10) || chr(10) || 'Text:' || chr(10) || text) AS user_prompt
+    FROM documents WHERE length(text) > 0"""
+)
+def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one chunk; the cap of 50 cards alone sends it to the middle tier."""
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_file"), "text", F.array("text").alias("chunks"))
+    return _digested(requests.chunk_requests(rows, focus=["names"])).select("source_file", "model", "user_prompt")
+
+
+ENDINGS = ("txt", "MD", "Pdf", "docx", "pdfx")
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_names(ENDINGS)}[doc_id % 5 + 1] AS kind, length(text) AS size FROM documents) SELECT kind, kind IN ('txt', 'MD', 'Pdf') AS supported, count(*) AS n, count(*) FILTER (WHERE size <= 1000) AS small FROM f GROUP BY ALL""")
+def supported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, S14 by a file's name and size."""
+    kind = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = _documents(spark, sf_dir).select(kind.alias("kind"), files.supported(F.concat(F.lit("/in/f."), kind)).alias("supported"), F.length("text").alias("size"))
+    return rows.groupBy("kind", "supported").agg(F.count("*").alias("n"), F.count_if(F.col("size") <= 1000).alias("small"))
+
+
+@query(f"WITH {CARDS} SELECT source_file, card_idx, md5(substr(front, 1, 100)) AS front, md5(substr(back, 1, 100)) AS back FROM cards")
+def table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11."""
+    return cards_of(spark, sf_dir).select("source_file", F.col("card_idx").cast("long"), F.md5(shortened(F.col("front"))).alias("front"), F.md5(shortened(F.col("back"))).alias("back"))
+
+
+@query(
+    f"""WITH {CARDS} SELECT source_file, count(*) FILTER (WHERE card_type = 'qa') AS n_qa, count(*) FILTER (WHERE bloom_level = 'apply') AS n_apply FROM cards GROUP BY 1"""
+)
+def cards_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6."""
+    cards = cards_of(spark, sf_dir).cache()
+    count = lambda rows, name: rows.groupBy("source_file").agg(F.count("*").alias(name))
+    found = cards.select("source_file").distinct().join(count(by_type(cards, "qa"), "n_qa"), "source_file", "left").join(count(by_bloom(cards, "apply"), "n_apply"), "source_file", "left")
+    return found.fillna(0)
+
+
+@query(f"""WITH {LOW}, c AS (SELECT source_file, low_idx FROM low) SELECT source_file, count(*) AS n_low, md5('Review these cards against the text.') AS said, 3000::BIGINT AS excerpt FROM c GROUP BY 1""")
+def critique_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4, Q15: one request for each deck with cards that fall short; how it begins, and how much of the text it quotes."""
+    routed = settle(critique.route(score_cards(cards_of(spark, sf_dir))))
+    texts = routed.select("source_file").distinct().withColumn("text", F.repeat(F.lit("t"), 5000))
+    asked = critique_requests(routed, texts)
+    prompt = F.split("user_prompt", "\n\nText:\n")
+    n_low = F.size(F.from_json(F.element_at(F.split(prompt[0], "Cards:\n"), -1), f"array<{CARD}>")).cast("long")
+    return asked.select("source_file", n_low.alias("n_low"), F.md5(F.split("user_prompt", "\n")[0]).alias("said"), F.length(prompt[1]).cast("long").alias("excerpt"))
+
+
+@query(f"""WITH {CARDS}, d AS (SELECT source_file, card_idx, CASE card_idx % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'accepted' END AS status FROM cards)
+    SELECT source_file, card_idx, coalesce(status, 'pending') AS status, CASE WHEN card_idx % 6 = 0 THEN 'new' END AS new_front FROM d WHERE status IS NOT NULL OR card_idx % 6 = 0""")
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.13: statuses and edits as transitions of the table of decisions; a later status replaces an earlier one."""
+    cards, n = cards_of(spark, sf_dir).select("source_file", "card_idx"), F.col("card_idx")
+    none = spark.createDataFrame([], "source_file string, card_idx int, status string, new_front string, new_back string")
+    made = review.set_status(none, cards.where(n % 2 == 0), "rejected")
+    made = review.set_status(made, cards.where(n % 4 == 1), "rejected")
+    made = review.set_status(made, cards.where(n % 2 == 0), "accepted")
+    made = review.edit_cards(made, cards.where(n % 6 == 0).withColumns({"new_front": F.lit("new"), "new_back": F.lit("")}))
+    return made.select("source_file", F.col("card_idx").cast("long"), "status", "new_front")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, 1 + length(text) % 9 AS n FROM conversations WHERE length(text) >= 50
+    ), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+    SELECT conv_id, count(*) AS n_calls, sum(n)::BIGINT AS n_cards, round(sum(100 / 1e6 * 0.8 + 10 / 1e6 * 4.0), 9) AS cost_usd FROM b WHERE before < 12 GROUP BY 1"""
+)
+def capped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4, W4, G4, A1 around the calls themselves: conversations as documents, turns as sections, an answer made from the prompt."""
+    turns = _table(spark, sf_dir, "conversations").where("length(text) >= 50")
+    empty = F.lit("")
+    rows = turns.select(F.col("conv_id").cast("string").alias("source_file"), F.concat(F.lit("section-"), F.col("turn").cast("string")).alias("id"), F.col("turn").alias("section_pos"), F.lit(0).alias("part"), empty.alias("title"), empty.alias("breadcrumb"), empty.alias("page_range"), "text", F.length("text").alias("char_count"))
+
+    def provider(model: str, system: str, prompt: str, max_tokens: int) -> dict:
+        said = prompt.split("Text:\n", 1)[1]
+        card = '{"front": "f", "back": "b", "card_type": "qa", "bloom_level": "apply", "tags": ["t"]}'
+        return {"model": "low-tier", "input_tokens": 100, "output_tokens": 10, "text": "[" + ", ".join([card] * (1 + len(said) % 9)) + "]"}
+
+    asked = requests.section_requests(rows)
+    answers, _ = requests.spend(asked, provider, work_path(spark, "answers"), budget=1e9, max_cards=12)
+    cost = ledger.with_cost(requests.usage(answers)).groupBy("source_file").agg(F.count("*").alias("n_calls"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
+    cards = requests.collect_cards(asked, answers).groupBy("source_file").agg(F.count("*").alias("n_cards"))
+    return cost.join(cards, "source_file").select(F.col("source_file").cast("long").alias("conv_id"), "n_calls", "n_cards", "cost_usd")
