@@ -2,74 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes that separate words: space and U+0009 to U+000D.  Python's bytes.split() uses the same six.
-WORD = r"[^\x20\x09-\x0D]+"
-#: With it, Spark removes the shuffle files of an execution when that has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  Where the session names none: an own one in local mode, else an error."""
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return str(held.get())
-    wanted = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not wanted:
-        if not context.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        wanted = tempfile.mkdtemp(prefix="cardloom-")
-    context.setCheckpointDir(wanted)
-    return str(context._jsc.sc().getCheckpointDir().get())
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of work_path() that nothing will read again."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
+from cardloom.settling import discard, lean, remove, settle, shared_dir, work_path
 
-def _in(session, df: DataFrame, spark: SparkSession) -> DataFrame:
-    made = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.logicalPlan())
-    return DataFrame(made, spark)
+__all__ = ["WORD", "discard", "lean", "lower_ascii", "remove", "settle", "shared_dir", "text_of", "work_path"]
 
-
-def lean(df: DataFrame) -> DataFrame:
-    """The same rows in a copy of the session under which shuffle files go when an action or a write has ended.
-
-    The caller's session and its other queries keep their settings.
-    """
-    copy = df.sparkSession._jsparkSession.cloneSession()
-    copy.conf().set(CLEANUP, "true")
-    return _in(copy, df, SparkSession(df.sparkSession.sparkContext, copy))
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint: cuts lineage, and a lost executor costs no more than the tasks that ran on it.
-
-    What the checkpoint shuffled is not read again, so those files go at once.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    return _in(spark._jsparkSession, lean(df).checkpoint(eager=True), spark)
-
-
-def discard(*settled: DataFrame) -> None:
-    """Remove the files of frames from settle() that nothing will read again."""
-    for df in settled:
-        held = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-        if held.isDefined():
-            remove(df.sparkSession, held.get())
+#: Bytes that separate words: space and U+0009 to U+000D.  Python's bytes.split() uses the same six.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_of(name: str = "text") -> Column:
