@@ -1,17 +1,24 @@
-"""Duplicate concepts: exact set-similarity joins of cards within a source."""
+"""Duplicate concepts: exact set-similarity joins of cards within a source.
+
+Every rule asks for a similarity above some threshold between cards of one type or one set of tags.  For
+each rule, cards meet that share an element among the rarest of their sets, as many as the threshold
+leaves room for, if their sizes and the places of that element allow the similarity; then the rules
+decide.  Elements are ranked by how many cards of the source have them, so hot ones come last.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.similarity import bigrams, jaccard, tokens
 from cardloom.functions.text import let
+from cardloom.settling import settle
 
 #: The least similarity that any rule accepts, by the set that it compares.
 FLOOR = {"f": 0.5, "t": 0.5, "b": 0.35}
-#: Cards of a source up to which comparing all pairs costs less than the index.
-LARGE = 2_000
+#: What meets by which set, above which similarity: (set, threshold, same type, same tags).
+MEETINGS = (("f", 0.7, True, False), ("t", 0.5, True, False), ("b", 0.4, True, False), ("f", 0.5, False, True), ("b", 0.35, True, True))
 
 
 def _codes(grams: Column) -> Column:
@@ -52,21 +59,8 @@ def _spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def similar_pairs(cards: DataFrame, indexed: bool | None = None) -> DataFrame:
-    """source_file, i, j (i < j) of the pairs of cards that cover the same concept.
-
-    Plain, it compares all pairs of a source.  Indexed, it compares those that share an element among the
-    first |s| - ceil(t |s|) + 1 of a fixed order of their front bigrams, front tokens or back bigrams, and
-    the card type or the tags: sets whose similarity exceeds t must, so the result is the same.  By
-    default sources of up to LARGE cards go the plain way and others the indexed one.
-    """
-    if indexed is None:
-        sizes = cards.groupBy("source_file").count()
-        small = cards.join(sizes.where(F.col("count") <= LARGE), "source_file", "left_semi")
-        large = cards.join(sizes.where(F.col("count") > LARGE), "source_file", "left_semi")
-        if sizes.where(F.col("count") > LARGE).limit(1).isEmpty():
-            return _plain_pairs(cards)
-        return _plain_pairs(small).unionByName(_indexed_pairs(large))
+def similar_pairs(cards: DataFrame, indexed: bool = True) -> DataFrame:
+    """source_file, i, j (i < j) of the pairs of cards that cover the same concept; without the index, by comparing all pairs."""
     return _indexed_pairs(cards) if indexed else _plain_pairs(cards)
 
 
@@ -77,21 +71,41 @@ def _plain_pairs(cards: DataFrame) -> DataFrame:
     return met.where(similar()).select(F.col("a.source_file").alias("source_file"), F.col("a.card_idx").alias("i"), F.col("b.card_idx").alias("j"))
 
 
+def _rarest(rows: DataFrame) -> DataFrame:
+    """source_file, card_idx, k (the meeting), key, h, n (size of the set), place (of the element, from 1) of the elements that must be shared."""
+
+    def elements(k: int, name: str, typed: bool, tagged: bool) -> Column:
+        key = F.xxhash64(F.lit(k), *([F.col("card_type")] if typed else []), *([F.col("tag_set")] if tagged else []))
+        each = F.transform(name, lambda e: F.struct(F.lit(k).alias("k"), key.alias("key"), F.xxhash64(e).alias("h"), F.size(name).alias("n")))
+        return F.when(F.col("has_back") | F.lit(name != "b"), each).otherwise(F.array().cast("array<struct<k:int,key:bigint,h:bigint,n:int>>"))
+
+    listed = [elements(k, name, typed, tagged) for k, (name, _, typed, tagged) in enumerate(MEETINGS)]
+    every = rows.select("source_file", "card_idx", F.explode(F.concat(*listed)).alias("e")).select("source_file", "card_idx", "e.*")
+    shared = ["source_file", "k", "key", "h"]
+    every = every.withColumn("times", F.count("*").over(Window.partitionBy(*shared)))
+    w = Window.partitionBy("source_file", "card_idx", "k").orderBy("times", "h")
+    ranked = every.withColumn("place", F.row_number().over(w))
+    least = _by_meeting(lambda t: F.floor(F.col("n") * F.lit(t) + F.lit(1e-9)).cast("int"))
+    return ranked.where((F.col("times") > 1) & (F.col("place") <= F.col("n") - least)).select(*shared, "card_idx", "n", "place")
+
+
+def _by_meeting(value) -> Column:
+    out = F.lit(None)
+    for k, (_, threshold, _, _) in enumerate(MEETINGS):
+        out = F.when(F.col("k") == k, value(threshold)).otherwise(out)
+    return out
+
+
 def _indexed_pairs(cards: DataFrame) -> DataFrame:
-    rows = featured(_spread(cards, "source_file", "card_idx"))
-
-    def prefix(name: str) -> Column:
-        ordered = F.array_sort(F.transform(name, lambda e: F.xxhash64(e)))
-        size = F.size(name)
-        kept = F.slice(ordered, 1, F.greatest(F.lit(0), size - F.ceil(size * F.lit(FLOOR[name])).cast("int") + 1))
-        return F.transform(kept, lambda h: F.struct(F.lit(name).alias("set"), h.alias("h")))
-
-    blocks = F.array(F.concat(F.lit("type:"), "card_type"), F.concat(F.lit("tags:"), F.xxhash64("tag_set").cast("string")))
-    keys = rows.select("source_file", "card_idx", F.explode(F.concat(prefix("f"), prefix("t"), prefix("b"))).alias("e"), blocks.alias("blocks"))
-    keys = keys.select("source_file", "card_idx", "e.set", "e.h", F.explode("blocks").alias("block"))
-    other = keys.withColumnRenamed("card_idx", "j")
-    near = keys.withColumnRenamed("card_idx", "i").join(other, ["source_file", "block", "set", "h"]).where("i < j").select("source_file", "i", "j").distinct()
-    a, b, near = rows.alias("a"), rows.alias("b"), _spread(near, "source_file", "i").alias("near")
+    rows = settle(featured(_spread(cards, "source_file", "card_idx")))  # read three times
+    keys = _rarest(rows)
+    other = keys.select("source_file", "k", "key", "h", F.col("card_idx").alias("j"), F.col("n").alias("m"), F.col("place").alias("there"))
+    met = keys.withColumnRenamed("card_idx", "i").join(other, ["source_file", "k", "key", "h"]).where("i < j")
+    # Sizes further apart than the threshold, or an element so late in both that too few can follow it, rule a pair out.
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("there")) + 1
+    fits = _by_meeting(lambda t: (F.least("n", "m") > F.greatest("n", "m") * F.lit(t)) & (most * F.lit(1 + t) > (F.col("n") + F.col("m")) * F.lit(t)))
+    near = _spread(met.where(fits).select("source_file", "i", "j").distinct(), "source_file", "i").alias("near")
+    a, b = rows.alias("a"), rows.alias("b")
     met = near.join(a, (F.col("near.source_file") == F.col("a.source_file")) & (F.col("near.i") == F.col("a.card_idx")))
     met = met.join(b, (F.col("near.source_file") == F.col("b.source_file")) & (F.col("near.j") == F.col("b.card_idx")))
     return met.where(similar()).select("near.source_file", "near.i", "near.j")
