@@ -60,7 +60,7 @@ def word_keys(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row and keys of the words of each text."""
     parts: list[np.ndarray] = []
     for a, _, words in segmented(texts, WORDS):
-        keys = words.keys[0][: words.core]
+        keys = words.keys()[: words.core]
         if words.whole:
             yield from ((a + i, keys[s:e]) for i, (s, e) in enumerate(zip(words.bound[:-1].tolist(), words.bound[1:].tolist(), strict=True)))
         else:

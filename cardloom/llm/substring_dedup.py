@@ -41,16 +41,17 @@ class Words:
         self.bound = np.searchsorted(self.start, offsets)  # words of text i: bound[i] to bound[i + 1]
         self.of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bound))
         self.core = len(self.start) if core is None else int(np.searchsorted(self.start, core))
-        self.keys = {0: self._keys(0)}
+        self._keys: dict[int, np.ndarray] = {}
 
-    def _keys(self, salt: int) -> np.ndarray:
-        return piece_keys(self.buf, self.start, self.end, salt) if len(self.start) else np.empty(0, np.uint64)
+    def keys(self, salt: int = 0) -> np.ndarray:
+        """A 64-bit key of each word."""
+        if salt not in self._keys:
+            self._keys[salt] = piece_keys(self.buf, self.start, self.end, salt) if len(self.start) else np.empty(0, np.uint64)
+        return self._keys[salt]
 
     def runs(self, size: int, at: np.ndarray, salt: int = 0) -> np.ndarray:
         """A 64-bit hash of the `size` words from each place in `at` (ascending); each salt has word keys of its own."""
-        if salt not in self.keys:
-            self.keys[salt] = self._keys(salt)
-        mixed = (self.keys[salt] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (self.keys(salt) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(30)
@@ -68,6 +69,19 @@ class Words:
         at = self.fits(size)
         return at[np.isin((at - self.bound[:-1][self.of[at]] + self.before) % PERIOD, COVER)] if len(at) else at
 
+    def text(self, i: int, j: int, gone: np.ndarray | None) -> bytes:
+        """Words i to j but for those that are gone, joined by one space."""
+        if i == j:
+            return b""
+        if gone is None:
+            return b" ".join(self.buf[self.start[i] : self.end[j - 1]].tobytes().split())
+        stay = np.flatnonzero(~gone[i:j]) + i
+        if not len(stay):
+            return b""
+        first = int(self.start[stay[0]])
+        data = self.buf[first : int(self.end[stay[-1]])].tobytes()
+        return b" ".join([data[s:e] for s, e in zip((self.start[stay] - first).tolist(), (self.end[stay] - first).tolist(), strict=True)])
+
     def spread(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which words lie in any of the ranges a to b (exclusive)."""
         step = np.zeros(len(self.start) + 1, np.int64)
@@ -144,21 +158,21 @@ def removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         n_words = n_removed = 0
         for a, b, words in segmented(batch.column(1), length):
             gone = np.zeros(len(words.start), bool)
-            hits = known[a:b].flatten().to_numpy()
+            mine = known[a:b]
+            hits = mine.flatten().to_numpy()
             if a != last:
                 last, over, parts, n_words, n_removed = a, 0, [], 0, 0
             gone[:over] = True  # words of windows that started in the segment before
             if len(hits):
                 at = words.fits(length)
-                at = at[at < words.core]
+                has = mine.value_lengths().to_numpy() > 0
+                at = at[(at < words.core) & has[words.of[at]]]
                 at = at[np.isin(words.runs(length, at), hits)]
                 gone |= words.spread(at, at + length)
                 over = max(over - words.core, int(at[-1]) + length - words.core if len(at) else 0, 0)
             gone, bound = gone[: words.core], np.minimum(words.bound, words.core).tolist()
-            data = words.buf.tobytes()
-            cut = list(zip(words.start[: words.core].tolist(), words.end[: words.core].tolist(), (~gone).tolist(), strict=True))
-            kept = [b" ".join([data[s:e] for s, e, stays in cut[i:j] if stays]) for i, j in zip(bound[:-1], bound[1:], strict=True)]
             count, lost = np.diff(bound), np.diff(np.concatenate([[0], np.cumsum(gone)])[bound])
+            kept = [words.text(i, j, gone if n else None) for i, j, n in zip(bound[:-1], bound[1:], lost.tolist(), strict=True)]
             if not words.whole:  # a segment of a long text: the last one gives the row
                 parts += [x for x in kept if x]
                 n_words, n_removed = n_words + int(count[0]), n_removed + int(lost[0])

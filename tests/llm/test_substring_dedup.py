@@ -44,8 +44,8 @@ def test_long_texts_in_segments(spark, monkeypatch):
     passage, twice = say(90), say(36)
     rows = [(1, f"{say(50)} {passage} {say(70)}   "), (2, passage + "\n" + say(10)), (3, f"{twice} {say(200)} {twice}"), (4, say(300)), (5, "w" * 3000 + " " + say(40)), (6, say(60) + " " + "v" * 2000), (7, twice), (8, " " * 900)]
     for _, t in rows:
-        parts = [w for _, _, x in substring_dedup.segmented(pa.array([t]), 35) for w in x.keys[0][: x.core].tolist()]
-        assert parts == substring_dedup.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).keys[0].tolist()
+        parts = [w for _, _, x in substring_dedup.segmented(pa.array([t]), 35) for w in x.keys()[: x.core].tolist()]
+        assert parts == substring_dedup.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).keys().tolist()
     assert in_process(rows) == brute(rows)
 
 
