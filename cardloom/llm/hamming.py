@@ -37,8 +37,14 @@ def whole_sign_code(embedding: Column) -> Column:
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment: a value of one has few codes, on average."""
-    m = min(16, max(4, round(BITS / max(1.0, log2(max(2, codes))))))
+    """(first bit, bits) of each segment.
+
+    Looking up a value costs as much as comparing many codes, and wider segments need many more lookups
+    for a radius, so 13 bits serve up to 2**20 codes, where a value has 128 of them on average, and 16
+    beyond; below 2**13 codes a value has about one.
+    """
+    size = max(2, codes)
+    m = 4 if size > 1 << 20 else 5 if size >= 1 << 13 else min(16, round(BITS / log2(size)))
     bounds = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
