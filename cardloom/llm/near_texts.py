@@ -7,7 +7,7 @@ less: here each text has several, over hashes of their own, and every one is cov
 simhash.masks().  Texts that agree in the bits of any table are candidates: every pair with a fingerprint
 within the radius is one, and most others of that similarity are too.
 
-Only components are wanted, so a bucket's members first meet the least of them, and then those
+Only components are wanted, so a bucket's members first meet one or two of them, and then those
 alone whose component is still another one.  In a bucket of more than PAIRED members these don't meet
 in pairs: they do so by their rarest shingles, which two such sets always share one of.
 """
@@ -172,9 +172,12 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     tables = F.array(*[F.lit(m) for m in masks(RADIUS)])
     keys = F.flatten(F.transform("prints", lambda p, j: F.transform(tables, lambda m, i: F.xxhash64(j, i, p.bitwiseAND(m)))))
     keyed = known.where("n > 0").select("id", F.explode(keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).where("members > 1")
     held = settle(keyed.join(shared, "key"))
-    met = held.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # Every bucket's least, and in half of the buckets the greatest too.
+    first = F.when(F.col("key") % 2 == 0, F.array("least", "most")).otherwise(F.array("least"))
+    met = held.select("id", F.explode(first).alias("m")).where("id <> m")
+    met = met.select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
     links = _verified(docs, known, met.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_near()).select("a", "b"))
     roots = least_reachable(links)
 
