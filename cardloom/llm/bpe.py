@@ -23,6 +23,8 @@ from cardloom.llm.pieces import CHUNK, PieceEncoder, locate, segments, text_chun
 
 #: Pieces of one recursive query; bounds its rows.
 BLOCK = 20_000
+#: Tokens of one decoding query; a longer sequence is joined from several.
+TOKENS = 1 << 19
 MEMORY = "256MB"
 
 # Rows: (piece, pos, id, done).  A step gives each piece its lowest rank at its leftmost place, drops the row
@@ -46,11 +48,9 @@ WITH RECURSIVE steps(piece, pos, id, done) AS (
 SELECT piece, list(id ORDER BY pos) AS ids FROM steps WHERE done GROUP BY piece
 """
 
-DECODE = """
-SELECT seq, string_agg(hex(bytes), '' ORDER BY pos) AS text
-FROM (SELECT seq, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM sequences) JOIN vocabulary USING (id)
-GROUP BY seq ORDER BY seq
-"""
+# The bytes of a token are held as the text of the code points of the same numbers; MARK, which no byte gives, ends a sequence.
+DECODE = "SELECT string_agg(text, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (id)"
+MARK, MARK_ID = "\u0100", -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -73,7 +73,7 @@ class Merger:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         a, b, c = np.array(merge_rows(self.ranks), np.int64).reshape(-1, 3).T
         merges = pa.table({"a": a, "b": b, "id": c})
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array(self.ranks, pa.binary())})
+        vocabulary = pa.table({"id": pa.array([*self.ranks.values(), MARK_ID], pa.int32()), "text": [*(t.decode("latin-1") for t in self.ranks), MARK]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -100,19 +100,17 @@ class Merger:
             out += ids
         return out
 
-    def decode(self, sequences: list[list[int] | None]) -> list[bytes]:
-        """The bytes of each sequence; an empty or null one gives none.  An unknown id raises ValueError."""
-        size = len(self.ranks)
-        for x in sequences:
-            if x and not (0 <= min(x) and max(x) < size):
-                raise ValueError("an id that the vocabulary lacks")
-        self.db.register("sequences", pa.table({"seq": np.arange(len(sequences)), "ids": pa.array([x or [] for x in sequences], pa.list_(pa.int64()))}))
-        found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("sequences")
-        out = [b""] * len(sequences)
-        for seq, text in zip(found["seq"].to_pylist(), found["text"].to_pylist(), strict=True):
-            out[seq] = bytes.fromhex(text)
-        return out
+    def decode(self, ids: np.ndarray, bound: np.ndarray) -> list[bytes]:
+        """The bytes of each sequence ids[bound[i] : bound[i + 1]].  An unknown id raises ValueError."""
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.ranks)):
+            raise ValueError("an id that the vocabulary lacks")
+        marked, texts = np.insert(ids.astype(np.int32), bound[1:], MARK_ID), []
+        for a in range(0, len(marked), TOKENS):
+            part = marked[a : a + TOKENS]
+            self.db.register("tokens", pa.table({"pos": np.arange(len(part), dtype=np.int32), "id": part}))
+            texts += self.db.sql(DECODE).fetchall()[0]
+            self.db.unregister("tokens")
+        return [x.encode("latin-1") for x in "".join(texts).split(MARK)[:-1]]
 
 
 @cache
@@ -149,66 +147,45 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
         for batch in batches:
             for a in range(0, len(batch), 200):
                 part = batch.slice(a, 200)
-                yield pa.record_batch([part.column(0), pa.array(merger(ranks).decode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "bytes"])
+                lists = part.column(1)
+                bound = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                yield pa.record_batch([part.column(0), pa.array(merger(ranks).decode(lists.flatten().to_numpy(zero_copy_only=False), bound), pa.binary())], ["doc_id", "bytes"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, ids as decimals joined by commas, and the bytes that the ids decode to, of every text.
+    """doc_id, n_tokens, ids as decimals joined by commas, and the bytes that the ids decode to, of every text.
 
-    Both are joined from the pieces of the text: a distinct piece is encoded once, and its ids are decoded
-    once, whatever the number of texts that hold it.  Nulls and the rest as for encode().
+    Both steps run where the text is, so no ids are shuffled; the bytes come from the text's whole sequence of
+    ids, by the same ordered aggregation as decode().  Nulls and the rest as for encode().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trip = _trip(ranks)
         for batch in batches:
             for a, b, buf, offsets in text_chunks(batch.column(1)):
-                count, texts, decoded = trip.chunk(buf, offsets)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(texts, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "bytes"])
+                count, texts, raw = _trip(ranks, buf, offsets)
+                yield pa.record_batch([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(texts, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids", "bytes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, bytes binary")
 
 
-class _Trip:
-    """Remembers, by piece code, the decimal ids and the decoded bytes."""
-
-    def __init__(self, ranks: str):
-        self.ranks, self.encoder = ranks, piece_encoder(ranks)
-        self.mark, self.texts, self.bytes = None, [], []
-
-    def chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
-        """Tokens, decimal ids and decoded bytes of each text."""
-        if len(offsets) > 2 or len(buf) <= 2 * CHUNK:
-            return self._part(buf, offsets)
-        parts = [self._part(buf[a:b], np.array([0, b - a])) for a, b in segments(buf)]
-        count, texts, raw = zip(*((n[0], t[0], r[0]) for n, t, r in parts), strict=True)
-        return [sum(count)], [b",".join(texts)], [b"".join(raw)]
-
-    def _part(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
-        e = self.encoder
-        codes, pieces = e.coded(buf, offsets)
-        if self.mark is not e.table.keys:  # the encoder has forgotten its pieces
-            self.mark, self.texts, self.bytes = e.table.keys, [], []
-        while len(self.texts) < e.known:
-            a = len(self.texts)
-            b = min(e.known, a + BLOCK)
-            ids = [e.flat[s : s + n].tolist() for s, n in zip(e.begin[a:b].tolist(), e.count[a:b].tolist(), strict=True)]
-            self.texts += [",".join(map(str, x)).encode() for x in ids]
-            self.bytes += merger(self.ranks).decode(ids)
-        bound = pieces.tolist()
-        tokens = np.concatenate([[0], np.cumsum(e.count[codes].astype(np.int64))])
-        held = codes.tolist()
-        spans = list(zip(bound[:-1], bound[1:], strict=True))
-        texts, raw = self.texts, self.bytes
-        return (
-            [int(tokens[j] - tokens[i]) for i, j in spans],
-            [b",".join([texts[c] for c in held[i:j]]) for i, j in spans],
-            [b"".join([raw[c] for c in held[i:j]]) for i, j in spans],
-        )
+@cache
+def _decimals(ranks: str) -> list[str]:
+    return [str(i) for i in range(len(merger(ranks).ranks))]
 
 
-@cache
-def _trip(ranks: str) -> _Trip:
-    return _Trip(ranks)
+def _trip(ranks: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Tokens, decimal ids and decoded bytes of each text; a long one goes through in segments."""
+    if len(offsets) == 2 and len(buf) > 2 * CHUNK:
+        count, texts, raw = zip(*(_part(ranks, buf[a:b], np.array([0, b - a])) for a, b in segments(buf)), strict=True)
+        return [sum(x[0] for x in count)], [b",".join(x[0] for x in texts)], [b"".join(x[0] for x in raw)]
+    return _part(ranks, buf, offsets)
+
+
+def _part(ranks: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    ids, bound = piece_encoder(ranks).ids(buf, offsets)
+    names, ends = _decimals(ranks), bound.tolist()
+    said = [names[i] for i in ids.tolist()]
+    texts = [",".join(said[a:b]).encode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return np.diff(bound).tolist(), texts, merger(ranks).decode(ids, bound)

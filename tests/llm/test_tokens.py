@@ -75,7 +75,7 @@ def test_decode_of_nulls_and_unknown_ids(spark):
     got = {r.doc_id: bytes(r.bytes) for r in bpe.decode(rows, MULTI).collect()}
     assert got[1] == got[2] == b"" and len(got[3]) >= 2
     with pytest.raises(ValueError):
-        bpe.merger(MULTI).decode([[10**9]])
+        bpe.merger(MULTI).decode(np.array([10**9]), np.array([0, 1]))
 
 
 def signed_hash(text):
@@ -143,7 +143,7 @@ def test_long_texts_in_segments_and_colliding_keys(library, multi, monkeypatch):
     buf = np.frombuffer(long.encode(), np.uint8)
     encoder = pieces.PieceEncoder(pieces.library_encoder(JSON).encode_pieces, specials=(b"<|endoftext|>",))
     assert encoder.ids(buf, one)[0].tolist() == library(long)
-    count, texts, raw = bpe._trip(MULTI).chunk(buf, one)
+    count, texts, raw = bpe._trip(MULTI, buf, one)
     assert texts == [",".join(map(str, multi(long))).encode()] and raw == [long.encode()] and count == [len(multi(long))]
     # Every piece has the key of others: bytes decide.
     keys = pieces.piece_keys
