@@ -187,9 +187,9 @@ class Scanner:
             rows = range(n) if rule.query is None else np.flatnonzero(holds(rule.query, postings)).tolist()
             for row in rows:
                 a, b = int(offsets[row]), int(offsets[row + 1])
-                for m in rule.regex.finditer(data, a, b):
+                for m in rule.regex.finditer(data[a:b]):  # a text of its own: look-behind must not see the one before
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        found.setdefault(row, []).append((m.start(), order, rule.kind, m.end()))
+                        found.setdefault(row, []).append((a + m.start(), order, rule.kind, a + m.end()))
         out = {}
         for row, hits in found.items():
             at, point, where = int(offsets[row]), 0, {}
