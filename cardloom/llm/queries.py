@@ -142,6 +142,44 @@ def _op5_sql() -> str:
     """
 
 
+def _op9_sql() -> str:
+    """Places follow from what lies between the matches; the rules are written for expressions without look-behind."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    # kind, expression, group whose length counts, its least length, whether group 1 is a character before the match.
+    rules = [
+        ("assign", rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, False),
+        ("access", "AKIA[A-Z0-9]+", 0, 16, False),
+        ("hex", "[0-9a-f]+", 0, 32, False),
+        ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, False),
+        ("web_token", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, True),
+        ("hub", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False),
+        ("chat_hook", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, False),
+        ("bearer", rf"{either('bearer')}\x20+[A-Za-z0-9._~+/-]{{20,}}", 0, 1, False),
+    ]
+    found = []
+    for order, (kind, pattern, group, least, before) in enumerate(rules):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        lead = f"length(regexp_extract(m, {quoted}, 1))" if before else "0"
+        found.append(f"""
+            SELECT row, {order} AS ord, '{kind}' AS kind, a + {lead} AS start, a + length(m) AS stop FROM (
+                SELECT row, m, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS a FROM (
+                    SELECT row, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(range(len(ms))) AS i
+                    FROM (SELECT row, regexp_extract_all(text, {quoted}) AS ms, string_split_regex(text, {quoted}) AS gaps FROM d)
+                ) WINDOW w AS (PARTITION BY row ORDER BY i)
+            ) WHERE length(regexp_extract(m, {quoted}, {group})) >= {least}""")
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+        ), spans AS ({" UNION ALL ".join(found)}
+        ), said AS (SELECT *, concat(kind, ':', start::BIGINT, ':', stop::BIGINT) AS span FROM spans)
+        SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+               count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(span, ',' ORDER BY start, ord) FILTER (WHERE ord < 3), '')) AS base_sha256,
+               coalesce(string_agg(span, ',' ORDER BY start, ord), '') AS spans
+        FROM d LEFT JOIN said USING (row) GROUP BY row
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -163,6 +201,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM t WINDOW g AS (PARTITION BY norm)
     """,
     "op5_chat": _op5_sql(),
+    "op9_secret_scan": _op9_sql(),
     "op10_hamming_top_k": """
         WITH c AS (
             SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
