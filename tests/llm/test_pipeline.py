@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import os
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
 
 from cardloom.llm import pipeline as P
-from cardloom.llm import quality
+from cardloom.llm import quality, secret_scan
 from tests.llm.helpers import awkward, documents
 from tests.llm.test_dedup import UPPER
 from tests.llm.test_near_texts import groups_of
 from tests.llm.test_quality import corpus
+from tests.llm.test_tokens import library  # noqa: F401
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def tables(spark, tmp_path, rows, labels, clashing=False):
@@ -81,3 +90,56 @@ def test_whole_run_and_empty_table(spark, tmp_path):
     assert all(total == tokens for (_, tokens), total in done.items())
     assert P.run(spark, tables(spark, tmp_path / "b", [], [])).count() == 0
     assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "secrets", "packing"]
+
+
+def plainly_hidden(text):
+    """The text with every secret replaced, by searching it with every rule."""
+    hits = []
+    for order, r in enumerate(secret_scan.RULES):
+        regex = re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.fold else 0))
+        hits += [(m.start(), order, r.kind, m.end()) for m in regex.finditer(text) if len(m[r.group]) >= r.least]
+    out, at = "", 0
+    for start, _, kind, end in sorted(hits):
+        if start >= at:
+            out += text[at:start] + f"[{kind}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_whole_run_against_a_plain_version(spark, tmp_path, library):  # noqa: F811
+    """Given documents, with copies, near copies and secrets added: the documents that stay, and the ids of each."""
+    if not os.path.isdir(SMALL):
+        pytest.skip("the driver's tables are not here")
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet' ORDER BY doc_id").fetchall()
+    labels = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{SMALL}/labels.parquet'").fetchall()
+    good = [t for i, t in rows if t and len(t.split()) > 150][:12]
+    web = "eyJabcdefgh1.eyJabcdefgh2.abcdefgh_-"
+    for k, t in enumerate(good):
+        words = t.split()
+        words[len(words) // 2] = "elsewhere"
+        rows += [(10_000 + k, t.upper()), (20_000 + k, " ".join(words)), (30_000 + k, f"{web} {t} password=hunter2hunter2 {'deadbeef' * 5}")]
+    rows += [(40_000, None), (40_001, "")]
+    sf = tables(spark, tmp_path, rows, labels)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    stays = {r.doc_id for r in quality.classify(docs, model).collect() if r.predicted}
+    same = defaultdict(list)
+    for i, t in rows:
+        if i in stays:
+            same[(t or "").translate(UPPER)].append((i, t))
+    left = [max(x) for x in same.values()]
+    root, near = groups_of([t for _, t in left]), defaultdict(list)
+    for i, t in left:
+        near[root[t or ""]].append((i, t))
+    want = {i: [*library(plainly_hidden(t or "")), 0] for i, t in map(min, near.values())}
+    assert len(want) < len(left) < len(stays) < len(rows)
+
+    parts, sequences = defaultdict(list), defaultdict(list)
+    for r in P.run(spark, sf).collect():
+        assert r.length == len(bytes(r.ids)) // 4 and r.doc_tokens == len(want[r.doc_id])
+        parts[r.doc_id].append((r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert {i: [x for _, p in sorted(x) for x in p] for i, x in parts.items()} == want
+    for spans in sequences.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(spans)]).tolist()
+        assert [a for a, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 1024
