@@ -173,13 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 12_000) -> Model:
 
     The bound is the rows with the smallest hashes of doc_id, so it is the same whatever the partitions;
     only their features reach the driver.  Labels other than 0 and 1, null ids and labels without a
-    document are left out; rows with several labels count once for each.
+    document are left out; rows with several labels count once for each, and so do documents that share
+    an id, all within the bound.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)  # at most `limit` rows: safe to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select("doc_id", "quality", _features_udf(F.col("text")).alias("x")).collect()
+    found = rows.select("doc_id", "quality", _features_udf(F.col("text")).alias("x"))
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(limit).collect()  # ids can repeat among documents
     found.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     return fit(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.quality for r in found], float))
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import bisect
+import math
 import random
 import zlib
 
@@ -55,6 +57,32 @@ def test_awkward_rows(spark):
     assert quality.classify(documents(spark, []), model).count() == 0
 
 
+def test_scores_are_sums_of_table_entries(spark):
+    """Every score again, one bin after the other."""
+    rows, labels = corpus(200)
+    docs = documents(spark, rows + awkward())
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    want = []
+    for i, t in rows + awkward():
+        x = quality.features(t or "")
+        total = model.intercept + sum(table[bisect.bisect_right(list(e), v)] for table, e, v in zip(model.tables, model.edges, x, strict=True))
+        for f, g, values in model.pairs:
+            total += values[bisect.bisect_right(list(model.coarse[f]), x[f])][bisect.bisect_right(list(model.coarse[g]), x[g])]
+        want.append((i if i is not None else -1, round(1 / (1 + math.exp(-total)), 9)))
+    got = [(r.doc_id if r.doc_id is not None else -1, round(r.score, 9)) for r in quality.classify(docs, model).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_documents_that_share_an_id_stay_within_the_bound(spark, monkeypatch):
+    rows, labels = corpus(60)
+    first = next(i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: taken.append(len(x)))
+    docs = documents(spark, rows + [(first, f"copy {k}") for k in range(500)])
+    quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), limit=50)
+    assert len(taken) == 1 and 0 < taken[0] <= 50
+
+
 def test_no_labels(spark):
     docs = documents(spark, [(1, "a"), (2, None)])
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
