@@ -41,24 +41,25 @@ def _in(session, df: DataFrame, spark: SparkSession) -> DataFrame:
     return DataFrame(made, spark)
 
 
-def lean(df: DataFrame) -> DataFrame:
+def lean(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """The same rows in a copy of the session under which shuffle files go when an action or a write has ended.
 
-    The caller's session and its other queries keep their settings.
+    settings: more of that copy's settings.  The caller's session and its other queries keep theirs.
     """
     copy = df.sparkSession._jsparkSession.cloneSession()
-    copy.conf().set(CLEANUP, "true")
+    for name, value in {CLEANUP: "true", **(settings or {})}.items():
+        copy.conf().set(name, value)
     return _in(copy, df, SparkSession(df.sparkSession.sparkContext, copy))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint: cuts lineage, and a lost executor costs no more than the tasks that ran on it.
+def settle(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    """Checkpoint: cuts lineage, and a lost executor costs no more than the tasks that ran on it.  Runs a job at once.
 
     What the checkpoint shuffled is not read again, so those files go at once.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    return _in(spark._jsparkSession, lean(df).checkpoint(eager=True), spark)
+    return _in(spark._jsparkSession, lean(df, settings).checkpoint(eager=True), spark)
 
 
 def discard(*settled: DataFrame) -> None:
