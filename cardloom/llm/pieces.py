@@ -302,7 +302,8 @@ class PieceEncoder:
         codes = self.codes(buf, start, np.append(start[1:], len(buf))) if len(start) else np.empty(0, np.int32)
         return codes, np.searchsorted(start, offsets)
 
-    def _gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these codes, and where those of each start and end."""
         count = self.count[codes].astype(np.int64)
         bound = np.concatenate([[0], np.cumsum(count)])
         return self.flat[np.repeat(self.begin[codes] - bound[:-1], count) + np.arange(bound[-1])], bound
@@ -310,11 +311,11 @@ class PieceEncoder:
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where the ids of each text start and end."""
         if len(offsets) == 2 and len(buf) > 2 * CHUNK:
-            parts = [self._gathered(self.coded(buf[a:b], np.array([0, b - a]))[0])[0] for a, b in segments(buf)]
+            parts = [self.gathered(self.coded(buf[a:b], np.array([0, b - a]))[0])[0] for a, b in segments(buf)]
             flat = np.concatenate(parts)
             return flat, np.array([0, len(flat)])
         codes, pieces = self.coded(buf, offsets)
-        flat, bound = self._gathered(codes)
+        flat, bound = self.gathered(codes)
         return flat, bound[pieces]
 
 
@@ -376,15 +377,15 @@ def locate(name: str) -> str:
 
 
 @cache
-def library_encoder(name: str, bits: int = 21) -> PieceEncoder:
+def library_encoder(name: str, bits: int = 21, specials: bool = True) -> PieceEncoder:
     """Distinct pieces go through the tokenizers library's model; kept for the life of a Python worker.
 
-    Added tokens of the file are cut out of texts first, as the library does.
+    specials: added tokens of the file are cut out of texts first, as the library does; else they are plain text.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(locate(name))
-    model, added = tokenizer.model, tokenizer.get_added_tokens_decoder()
+    model, added = tokenizer.model, tokenizer.get_added_tokens_decoder() if specials else {}
     if any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in added.values()):
         raise ValueError("an added token that takes in its neighbours, or holds a space")
     letters, special = dict(enumerate(byte_letters())), {t.content.encode(): i for i, t in added.items()}

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Names of public vocabularies; a worker finds them on its own machine.
-RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
+RANKS, TOKENIZER, PIECES = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,34 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(rows).select(F.col("query_id").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), "distance")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.alignment import FIGURES, align
+
+    found = align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", *FIGURES, digest.alias("groups_sha256"))
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.period_runs import collapse_runs, planted
+
+    found = collapse_runs(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(planted, "doc_id long, text string"))
+    # The greatest length first, then the smallest start, then the smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", "runs", "kept", longest.alias("best"), F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        "best.length",
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -115,6 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_hamming_top_k": op10_hamming_top_k,
+    "op11_alignment": op11_alignment,
+    "op12_period_runs": op12_period_runs,
 }
 
 def _op5_sql() -> str:
