@@ -2,12 +2,12 @@
 
 Texts are cut before each space that follows something else than white space.  Tokens of both end there,
 whatever stands around: A splits texts there before it merges, and no piece of B goes on after a space.  So
-what lies between two cuts is a unit that is tokenised, and aligned, alike wherever it stands, and a block of
-texts (about BLOCK bytes, whole texts) holds each of its units once, with the number of its occurrences.
+what lies between two cuts is a unit that is tokenised, and aligned, alike wherever it stands.  A block of
+texts (about BLOCK bytes, whole texts) names each of its units once, and the corpus aligns each unit once.
 
-All else is relational: tokens are exploded with their places, running sums of their lengths give where
-they end, an equi-join on unit and end gives the links, running counts of the cuts give the groups, and
-links are counted over the corpus by their pair of ids.
+All else is relational.  Tokens of a chunk of units are exploded with their places, running sums of their
+lengths give where they end, an equi-join on chunk and end finds the cuts, running counts of cuts give the
+groups, links are counted by their pair of ids, and joins bring the figures back to the units of each block.
 """
 
 from __future__ import annotations
@@ -21,34 +21,33 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import discard, settle, text_of
-from cardloom.llm.pieces import SPACE, PieceEncoder, byte_classes, byte_letters, library_encoder, locate, text_chunks
+from cardloom.llm.common import discard, lean, remove, settle, text_of, work_path
+from cardloom.llm.pieces import SPACE, PieceEncoder, byte_classes, byte_letters, library_encoder, locate, piece_keys, text_chunks
 
-#: Bytes of text in a block.
-BLOCK = 1 << 21
-#: Lets a join on (block, number, end) use rows that are partitioned by block.
-BY_BLOCK = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
-FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Bytes of text in a block, and units in a chunk.
+BLOCK, CHUNK = 1 << 24, 1 << 15
+#: Lets a join on (chunk, end) use rows that are partitioned by chunk; of large rows, few are read at a time.
+SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.parquet.columnarReaderBatchSize": "8"}
+#: Figures of a unit.  A group ends with a cut, and a cut is a link.
+FIGURES = ("n_a", "n_b", "n_links", "n_best", "count_sum")
 MARK = "▁"
-#: In place of the number of A's tokens of a unit.
-NOT_SPELT = (1 << 32) - 1
-TOKEN = pa.struct([("id", pa.int32()), ("size", pa.int32())])
-UNIT = pa.struct([("times", pa.int64()), ("a", pa.list_(TOKEN)), ("b", pa.list_(TOKEN))])
+UNIT = pa.struct([("unit", pa.string()), ("times", pa.int64())])
 DOC = pa.struct([("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
+TOKEN = pa.struct([("id", pa.int32()), ("size", pa.int32()), ("number", pa.int32())])
 
 
 class Aligner:
-    """Tokens of both tokenizers for distinct units, which begin with a space; kept for the life of a Python worker."""
+    """Tokens of both tokenizers for units, which begin with a space; kept for the life of a Python worker."""
 
     def __init__(self, a: str, b: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = library_encoder(a, specials=False)
+        self.a: PieceEncoder = library_encoder(a, specials=False)
         self.b = SentencePieceProcessor(model_file=locate(b))
         value = {c: i for i, c in enumerate(byte_letters())}
-        vocabulary = Tokenizer.from_file(locate(a)).get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes(value[c] for c in entry) for entry, i in vocabulary.items() if all(c in value for c in entry)}
+        entries = [x for x in Tokenizer.from_file(locate(a)).get_vocab(with_added_tokens=False).items() if all(c in value for c in x[0])]
+        self.a_bytes = dict.fromkeys(range(1 + max(i for _, i in entries)), b"") | {i: bytes(value[c] for c in entry) for entry, i in entries}
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -59,19 +58,22 @@ class Aligner:
                 raise ValueError(f"piece {i} goes on after a space, so texts can't be cut at spaces")
             self.b_bytes.append(piece.replace(MARK, " ").encode())
         self.lone = self.b.piece_to_id(MARK)
-        self.units = PieceEncoder(self._encode)
-
-    def _encode(self, units: list[bytes]) -> list[list[int]]:
-        """For each unit: how many tokens A has (-1: the tokens don't spell the unit), then the ids of A and of B."""
-        flat, bound = self.a.ids(np.frombuffer(b"".join(units), np.uint8), np.concatenate([[0], np.cumsum([len(u) for u in units])]))
-        flat, bound, out = flat.tolist(), bound.tolist(), []
-        # B puts a space before what it is given.
-        pieces = self.b.encode([u[1:].decode("utf-8", "replace") for u in units], num_threads=1)
-        for k, (unit, b) in enumerate(zip(units, pieces, strict=True)):
-            a, b = flat[bound[k] : bound[k + 1]], b if len(unit) > 1 else [self.lone]
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == unit == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append([len(a), *a, *b] if same else [NOT_SPELT])
-        return out
+        self.sizes = [np.array([len(x) for x in values], np.int32) for values in (self.a_bytes.values(), self.b_bytes)]
+
+    def tokens(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: all ids of the units, and where those of each start and end.  Raises where they don't spell a unit."""
+        data = [u.encode() for u in units]
+        a, bound = self.a.ids(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+        # B puts a space before what it is given, unless that is nothing.
+        pieces = [ids or [self.lone] for ids in self.b.encode([u[1:] for u in units], num_threads=1)]
+        b = np.fromiter((i for ids in pieces for i in ids), np.int64)
+        found = [(a.astype(np.int64), bound), (b, np.concatenate([[0], np.cumsum([len(x) for x in pieces])]))]
+        for values, (ids, at) in zip((self.a_bytes, self.b_bytes), found, strict=True):
+            ids, at = ids.tolist(), at.tolist()
+            if b"".join(values[i] for i in ids) != b"".join(data):
+                bad = next(u for u, s, e, x in zip(units, at[:-1], at[1:], data, strict=True) if b"".join(values[i] for i in ids[s:e]) != x)
+                raise ValueError(f"a tokenizer that rewrites texts: its tokens don't spell {bad!r}")
+        return found
 
 
 @cache
@@ -89,71 +91,134 @@ def unit_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _spaced(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with a space before each that isn't empty."""
-    some = np.diff(offsets) > 0
-    before = np.concatenate([[0], np.cumsum(some)])
-    out = np.empty(len(buf) + int(before[-1]), np.uint8)
-    text = np.ones(len(out), bool)
-    first = (offsets + before)[:-1][some]
+    """The texts with a space before each that isn't empty and doesn't hold MARK, which B reads as a space; those are emptied."""
+    size = np.diff(offsets)
+    lead, middle, last = MARK.encode()
+    marks = np.flatnonzero((buf[:-2] == lead) & (buf[1:-1] == middle) & (buf[2:] == last)) if len(buf) > 2 else np.empty(0, np.int64)
+    if len(marks):
+        out = np.unique(np.searchsorted(offsets, marks, "right") - 1)
+        gone = np.zeros(len(size), bool)
+        gone[out] = True
+        buf = buf[~np.repeat(gone, size)]
+        size = np.where(gone, 0, size)
+    some = size > 0
+    bound = np.concatenate([[0], np.cumsum(size + some)])
+    spaced = np.empty(int(bound[-1]), np.uint8)
+    text = np.ones(len(spaced), bool)
+    first = bound[:-1][some]
     text[first] = False
-    out[first], out[text] = 0x20, buf
-    return out, offsets + before
+    spaced[first], spaced[text] = 0x20, buf
+    return spaced, bound
 
 
-def blocks(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
-    """block, docs (doc_id, units), units (times, tokens of a, tokens of b) for texts (doc_id, text)."""
-    held = aligner(a, b)
-    a_size = np.array([len(held.a_bytes.get(i, b"")) for i in range(max(held.a_bytes) + 1)], np.int32)
-    b_size = np.array([len(x) for x in held.b_bytes], np.int32)
-    number = TaskContext.get().partitionId() << 32
+def _lists(count: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), values)
 
-    def lists(count: np.ndarray, values: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), values)
 
-    def structs(kind: pa.StructType, *columns: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(list(columns), fields=list(kind))
+def _structs(kind: pa.StructType, *columns: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(list(columns), fields=list(kind))
 
-    for batch in batches:
-        for first, last, buf, offsets in text_chunks(batch.column(1), BLOCK):
+
+def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each distinct unit, which of them each unit is, and how often each occurs."""
+    keys, more = (piece_keys(buf, start, end, salt) for salt in (0, 1))
+    _, first, back, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if (more != more[first][back]).any():  # the same 64 bits for two units: all 128 tell them apart
+        _, first, back, times = np.unique(np.stack([keys, more], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, back.ravel(), times
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, docs (doc_id, numbers of their units), units (and how often each occurs) for texts (doc_id, text)."""
+    number = TaskContext.get().partitionId() << 32
+    for ids, texts in _gathered(batches):
+        for a, b, buf, offsets in text_chunks(texts, BLOCK):
             buf, offsets = _spaced(buf, offsets)
             start = unit_starts(buf, offsets)
-            size = np.diff(np.searchsorted(start, offsets))
-            codes = held.units.codes(buf, start, np.append(start[1:], len(buf))) if len(start) else np.empty(0, np.int32)
-            # A text with a unit that isn't spelt has no tokens.
-            of = np.repeat(np.arange(len(size)), size)
-            broken = np.zeros(len(size), bool)
-            broken[of[held.units.flat[held.units.begin[codes]] == NOT_SPELT]] = True
-            known, unit = np.unique(codes[~broken[of]], return_inverse=True)
-            flat, at = held.units.gathered(known)
-            total = np.diff(at)
-            count = flat[at[:-1]].astype(np.int64)
-            place = np.arange(len(flat)) - np.repeat(at[:-1], total)  # 0: the count
-            in_a = place <= np.repeat(count, total)
-            ids_a, ids_b = (flat[x].astype(np.int32) for x in (in_a & (place > 0), ~in_a))
-            tokens = [lists(n, structs(TOKEN, pa.array(ids), pa.array(sizes[ids]))) for n, ids, sizes in ((count, ids_a, a_size), (total - 1 - count, ids_b, b_size))]
-            units = structs(UNIT, pa.array(np.bincount(unit, minlength=len(known)).astype(np.int64)), *tokens)
-            docs = structs(DOC, batch.column(0)[first:last], lists(np.where(broken, 0, size), pa.array(unit.astype(np.int32))))
-            yield pa.record_batch([pa.array([number], pa.int64()), lists(np.array([len(docs)]), docs), lists(np.array([len(units)]), units)], ["block", "docs", "units"])
+            size, end = np.diff(np.searchsorted(start, offsets)), np.append(start[1:], len(buf))
+            first, unit, times = _distinct(buf, start, end) if len(start) else (np.empty(0, np.int64),) * 3
+            said = pa.array([buf[s:e].tobytes() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.binary()).cast(pa.string())
+            docs = _structs(DOC, ids[a:b], _lists(size, pa.array(unit.astype(np.int32))))
+            units = _structs(UNIT, said, pa.array(times.astype(np.int64)))
+            yield pa.record_batch([pa.array([number], pa.int64()), _lists(np.array([b - a]), docs), _lists(np.array([len(said)]), units)], ["block", "docs", "units"])
+            number += 1
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """ids and texts of about BLOCK bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= BLOCK:
+            table = pa.Table.from_batches(held)
+            yield table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks()
+            held, size = [], 0
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks()
+
+
+def chunks(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
+    """chunk, units, a, b (tokens with their size in bytes and the number of their unit in units) for units (unit, times)."""
+    held, number = aligner(a, b), TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK):
+            part = batch.slice(at, CHUNK)
+            sides = []
+            for (ids, bound), sizes in zip(held.tokens(part.column(0).to_pylist()), held.sizes, strict=True):
+                of = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(bound))
+                sides.append(_lists(np.array([len(ids)]), _structs(TOKEN, pa.array(ids.astype(np.int32)), pa.array(sizes[ids]), pa.array(of))))
+            units = _lists(np.array([len(part)]), _structs(UNIT, part.column(0), part.column(1)))
+            yield pa.record_batch([pa.array([number], pa.int64()), units, *sides], ["chunk", "units", "a", "b"])
             number += 1
 
 
-BLOCKS = "block long, docs array<struct<doc_id: long, units: array<int>>>, units array<struct<times: long, a: array<struct<id: int, size: int>>, b: array<struct<id: int, size: int>>>>"
+BLOCKS = "block long, docs array<struct<doc_id: long, units: array<int>>>, units array<struct<unit: string, times: long>>"
+TOKENS = "array<struct<id: int, size: int, number: int>>"
+CHUNKS = f"chunk long, units array<struct<unit: string, times: long>>, a {TOKENS}, b {TOKENS}"
 
 
-def _ends(units: DataFrame, side: str) -> DataFrame:
-    """block, number, times (of the unit), end and id of each token of one tokenizer."""
-    rows = units.select("block", "number", "u.times", F.posexplode(f"u.{side}").alias("place", "t"))
-    w = Window.partitionBy("block", "number").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("block", "number", "times", F.sum("t.size").over(w).alias("end"), F.col("t.id").alias("id"))
+def _ends(made: DataFrame, side: str) -> DataFrame:
+    """chunk, end, and the unit's number and id of each token of one tokenizer."""
+    rows = made.select("chunk", F.posexplode(side).alias("place", "t"))
+    w = Window.partitionBy("chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("chunk", F.sum("t.size").over(w).alias("end"), F.col("t.number").alias(f"number_{side}"), F.col("t.id").alias(side))
 
 
-def _grouped(ends: DataFrame, cuts: DataFrame, side: str) -> DataFrame:
-    """block, number, group (how many cuts lie before its tokens), their ids, joined by commas, and their number."""
-    w = Window.partitionBy("block", "number").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ends.join(cuts.withColumn("cut", F.lit(1)), ["block", "number", "end"], "left")
-    rows = rows.select("block", "number", "end", "id", F.coalesce(F.sum("cut").over(w), F.lit(0)).alias("group"))
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda x: x["id"].cast("string"))
-    return rows.groupBy("block", "number", "group").agg(F.array_join(ids, ",").alias(f"ids_{side}"), F.count("*").alias(f"n_{side}"))
+def _said(tokens: Column, side: str) -> Column:
+    """The units' ids of one tokenizer, from (end, number, group, a, b) in this order: 1,2;3 by group, a line for each unit."""
+
+    def one(t: Column, x: Column, i: Column) -> Column:
+        before = t[F.greatest(i - 1, F.lit(0))]
+        mark = F.when(i == 0, "").when(before["number"] != x["number"], "\n").when(before["group"] != x["group"], ";").otherwise(",")
+        return F.concat(mark, x[side].cast("string"))
+
+    mine = F.filter(tokens, lambda x: x[side].isNotNull())
+    # An array of one binds the tokens, so that they are picked once.
+    return F.split(F.transform(F.array(mine), lambda t: F.array_join(F.transform(t, lambda x, i: one(t, x, i)), ""))[0], "\n")
+
+
+def cut_up(made: DataFrame) -> DataFrame:
+    """chunk, end, number (of the unit), a, b, group of each place of the chunks where a token ends.
+
+    a, b: the ids of the tokens that end there, or null; group: how many cuts lie before, by chunk.
+    """
+    made = made.repartition("chunk")
+    w = Window.partitionBy("chunk").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = F.coalesce(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(w), F.lit(0))
+    ends = _ends(made, "a").join(_ends(made, "b"), ["chunk", "end"], "full")
+    return ends.select("chunk", "end", F.coalesce("number_a", "number_b").alias("number"), "a", "b", cuts.alias("group"))
+
+
+def spelt(places: DataFrame) -> DataFrame:
+    """chunk, number, groups, n_a, n_b of each unit."""
+    tokens = F.sort_array(F.collect_list(F.struct("end", "number", "group", "a", "b")))
+    units = places.groupBy("chunk").agg(tokens.alias("t")).select("chunk", F.arrays_zip(_said(F.col("t"), "a").alias("a"), _said(F.col("t"), "b").alias("b")).alias("z"))
+    units = units.select("chunk", F.posexplode("z").alias("number", "z")).select("chunk", "number", F.split("z.a", ";").alias("a"), F.split("z.b", ";").alias("b"))
+    groups = F.array_join(F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    ids = lambda side: F.size(F.split(F.array_join(side, ","), ",")).alias(f"n_{side}")
+    return units.select("chunk", "number", groups.alias("groups"), ids("a"), ids("b"))
 
 
 def _looked_up(table: Column, doc: Column) -> Column:
@@ -171,38 +236,47 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     (in bytes) at which tokens of both end cut them into groups, given as `a1,a2|b1;a3|b2,b3` by their
     ids.  A link is a pair of tokens that end together; the count of a pair of ids is the number of such links
     in all docs.  n_best: links whose count is the highest of their id of b, ties included; count_sum: sum
-    of the counts.  Null and empty texts, and those that the tokens of either don't spell (such as one with
-    U+2581), have no tokens: zeros, and no groups.  Rows that repeat, or share a doc_id, or have a null one,
-    are texts of their own; other columns are ignored; an empty table gives no rows.
+    of the counts.  Null and empty texts, and those that b can't spell (with U+2581, which it reads as a
+    space), have no tokens: zeros, and no groups; a b that rewrites other texts is refused.  Rows that repeat,
+    or share a doc_id, or have a null one, are texts of their own; other columns are ignored; an empty table
+    gives no rows.
 
     A block with all its texts, or a single longer text, is one row, so a task holds about ten bytes for each byte
-    of the longest text.  A unit (a stretch without a space) goes to the tokenizers whole.  Hot pairs of ids
-    are counted by unit first; what is left of them is split as skewed joins are.  Runs jobs when it is called,
-    which leave one checkpoint, the result's.
+    of a block, or of the longest text.  A unit (a stretch without a space) goes to the tokenizers whole.  A hot
+    unit has one row for each block, a hot pair of ids one for each unit that holds it, and what is left of both
+    is split as skewed joins are.  Runs jobs when it is called, which leave one checkpoint, the result's.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    made = settle(texts.mapInArrow(partial(blocks, a=a, b=b), BLOCKS))
-    units = made.select("block", "units").repartition("block").select("block", F.posexplode("units").alias("number", "u"))
-    ends_a, ends_b = _ends(units, "a"), _ends(units, "b")
-    links = ends_a.withColumnRenamed("id", "a").join(ends_b.select("block", "number", "end", F.col("id").alias("b")), ["block", "number", "end"])
-
-    mine = links.groupBy("block", "number", "times", "a", "b").agg(F.count("*").alias("n"))
-    pairs = mine.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
-    pairs = settle(pairs, BY_BLOCK)
+    made = _written(texts.mapInArrow(blocks, BLOCKS), "blocks")
+    units = made[0].select("block", F.posexplode("units").alias("number", "u"))
+    distinct = units.groupBy("u.unit").agg(F.sum("u.times").alias("times"))
+    chunked = _written(distinct.mapInArrow(partial(chunks, a=a, b=b), CHUNKS), "chunks")
+    named = chunked[0].select("chunk", F.posexplode("units").alias("number", "u")).select("chunk", "number", "u.*")
+    places = _written(cut_up(chunked[0]), "places")
+    links = places[0].where("a is not null and b is not null").select("chunk", "number", "a", "b")
+    pairs = settle(links.join(named, ["chunk", "number"]).groupBy("a", "b").agg(F.sum("times").alias("count")), SETTINGS)
     best = pairs.groupBy("b").agg(F.max("count").alias("most"))
-    ranked = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    counted = mine.join(ranked, ["a", "b"]).groupBy("block", "number").agg(
-        F.sum("n").alias("n_links"), F.sum(F.col("n") * F.col("best").cast("long")).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum")
-    )
-    cuts = links.select("block", "number", "end")
-    sides = _grouped(ends_a, cuts, "a").join(_grouped(ends_b, cuts, "b"), ["block", "number", "group"])
-    said = F.transform(F.sort_array(F.collect_list(F.struct("group", F.concat("ids_a", F.lit("|"), "ids_b").alias("said")))), lambda x: x["said"])
-    figures = sides.groupBy("block", "number").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_join(said, ";").alias("groups"))
-    figures = figures.join(counted, ["block", "number"])
+    ranked = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+    counted = links.join(ranked, ["a", "b"]).groupBy("chunk", "number").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    figures = named.join(spelt(places[0]), ["chunk", "number"]).join(counted, ["chunk", "number"])
+    figures = _written(figures.select("unit", *FIGURES, "groups"), "figures")
+    remove(spark, chunked[1])
+    remove(spark, places[1])
+    discard(pairs)
+
     # The texts of a block look their units up by number.
-    table = figures.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", *FIGURES, "groups"))).alias("table"))
-    rows = made.select("block", "docs").join(table, "block", "left")
+    table = units.select("block", "number", "u.unit").join(figures[0], "unit").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", *FIGURES, "groups"))).alias("table"))
+    rows = made[0].select("block", "docs").join(table, "block", "left")
     found = rows.select(F.explode(F.transform("docs", lambda d: _looked_up(F.col("table"), d))).alias("d")).select("d.*")
-    found = settle(found, BY_BLOCK)
-    discard(made, pairs)
+    found = settle(found.withColumn("n_groups", F.col("n_links")), SETTINGS)
+    remove(spark, made[1])
+    remove(spark, figures[1])
     return found
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a folder of Parquet files in the shared folder, read again, and that folder."""
+    path = work_path(df.sparkSession, f"alignment-{name}")
+    lean(df, SETTINGS).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
