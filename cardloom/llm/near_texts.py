@@ -15,6 +15,7 @@ in pairs: they do so by their rarest shingles, which two such sets always share
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of at least 0.8; two sets without members are equal."""
+class Similarity(NamedTuple):
+    """The least Jaccard similarity of a link, num / den."""
+
+    num: int
+    den: int
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: Similarity) -> bool:
+    """Jaccard similarity of at least that; two sets without members are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * both >= 4 * (len(a) + len(b) - both)
+    return least.den * both >= least.num * (len(a) + len(b) - both)
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """The parity of the members that fall on each of 64 * BITMAP bits."""
+    bits = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def word_keys(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,9 +89,8 @@ def _described(docs: DataFrame) -> DataFrame:
 
     def one(words: np.ndarray) -> tuple[bytes, int, np.ndarray, np.ndarray]:
         found, distinct = shingles(words), np.unique(words)
-        bits = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP).astype(np.uint8) & 1
         prints = [majority(_mixed(distinct * np.uint64(2 * j + 3) + np.uint64(j))) if len(distinct) else 0 for j in range(PRINTS)]
-        return xxhash.xxh3_128_digest(found.tobytes()), len(found), np.packbits(bits, bitorder="little").view(np.int64), np.array(prints, np.uint64).view(np.int64)
+        return xxhash.xxh3_128_digest(found.tobytes()), len(found), bitmap(found), np.array(prints, np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = lambda x: pa.array(x, pa.list_(pa.int64()))
@@ -91,10 +104,11 @@ def _described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest long, sid binary, n long, bits array<long>, prints array<long>")
 
 
-def _near() -> Column:
+def _near(least: Similarity) -> Column:
     """Whether two sets can be similar by their sizes and bitmaps: as many members differ, at least, as bits do."""
+    num, den = least
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(BITMAP)), F.lit(0))
-    return (5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")) & (9 * differ <= F.col("an") + F.col("bn"))
+    return (den * F.least("an", "bn") >= num * F.greatest("an", "bn")) & ((den + num) * differ <= (den - num) * (F.col("an") + F.col("bn")))
 
 
 def _side(rows: DataFrame, side: str, *more: Column) -> DataFrame:
@@ -107,7 +121,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
     return docs.select(text_hash().alias("digest"), lower_ascii(text_of()).alias("text")).join(named, "digest").dropDuplicates(["id"]).select("id", "text")
 
 
-def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, least: Similarity) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar, by their texts, in a checkpoint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +132,7 @@ def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
                 for a, (_, s), (_, t) in zip(part.column(0).to_pylist(), word_keys(part.column(2)), word_keys(part.column(3)), strict=True):
                     if a != last:
                         last, held = a, shingles(s)
-                    good.append(similar(held, shingles(t)))
+                    good.append(similar(held, shingles(t), least))
                 yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
 
     pairs = settle(pairs)
@@ -129,8 +143,8 @@ def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def _rarest(docs: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame:
-    """key, id: the rarest fifth, and one more, of the shingles of each set; two similar sets share one of them."""
+def _rarest(docs: DataFrame, known: DataFrame, ids: DataFrame, least: Similarity) -> DataFrame:
+    """key, id: the rarest shingles of each set, as many as may be missing in a similar one, and one more; two similar sets share one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +162,7 @@ def _rarest(docs: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame:
     times = tokens.groupBy("token").agg(F.count("*").alias("times"))
     w = Window.partitionBy("id")
     ranked = tokens.join(times, "token").withColumn("turn", F.row_number().over(w.orderBy("times", "token"))).withColumn("n", F.count("*").over(w))
-    found = settle(ranked.where("times > 1 and turn <= floor(n / 5) + 1").select(F.xxhash64(F.lit(-1), "token").alias("key"), "id"))
+    found = settle(ranked.where(f"times > 1 and turn <= floor(n * {least.den - least.num} / {least.den}) + 1").select(F.xxhash64(F.lit(-1), "token").alias("key"), "id"))
     discard(tokens)
     return found
 
@@ -164,21 +178,31 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     or share a doc_id are texts of their own; other columns are ignored; an empty table gives no rows.
     Hot keys are split as skewed joins are.  The result is one checkpoint.
     """
+    tables = F.array(*[F.lit(m) for m in masks(RADIUS)])
+    keys = F.flatten(F.transform("prints", lambda p, j: F.transform(tables, lambda m, i: F.xxhash64(j, i, p.bitwiseAND(m)))))
     rows = settle(_described(docs))
-    known = rows.groupBy("sid").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prints").alias("prints"))
+    found = settle(components(docs, rows.withColumn("keys", keys), Similarity(4, 5)).select("doc_id", "digest", "component"))
+    discard(rows)
+    return found
+
+
+def components(docs: DataFrame, rows: DataFrame, least: Similarity) -> DataFrame:
+    """rows (doc_id, digest, sid, n of every row of docs) with component, and in_component, the least doc_id in it.
+
+    rows also has bits (bitmap()) and keys: sets that share a key are candidates.  Empty sets are one component.
+    """
+    known = rows.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "bits", "keys")], F.min("digest").alias("digest"), F.min("doc_id").alias("doc_id"))
     # As many parts as the session shuffles to: each row has a key for every table.
     known = known.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     known = settle(known.withColumn("id", F.monotonically_increasing_id()))
-    tables = F.array(*[F.lit(m) for m in masks(RADIUS)])
-    keys = F.flatten(F.transform("prints", lambda p, j: F.transform(tables, lambda m, i: F.xxhash64(j, i, p.bitwiseAND(m)))))
-    keyed = known.where("n > 0").select("id", F.explode(keys).alias("key"))
+    keyed = known.where("n > 0").select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).where("members > 1")
     held = settle(keyed.join(shared, "key"))
     # Every bucket's least, and in half of the buckets the greatest too.
     first = F.when(F.col("key") % 2 == 0, F.array("least", "most")).otherwise(F.array("least"))
     met = held.select("id", F.explode(first).alias("m")).where("id <> m")
     met = met.select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
-    links = _verified(docs, known, met.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_near()).select("a", "b"))
+    links = _verified(docs, known, met.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_near(least)).select("a", "b"), least)
     roots = least_reachable(links)
 
     rooted = lambda rows: rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
@@ -186,15 +210,16 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     mixed = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     member = settle(member.join(mixed, "key"))
     discard(held)
-    rarest = _rarest(docs, known, member.where(F.col("members") > PAIRED).select("id"))
+    rarest = _rarest(docs, known, member.where(F.col("members") > PAIRED).select("id"), least)
     meeting = member.where(F.col("members") <= PAIRED).select("key", "id", "root").unionByName(rooted(rarest))
     meeting = settle(meeting.join(known.select("id", "n", "bits"), "id"))
     left, right = _side(meeting, "a", F.col("key"), F.col("root").alias("ra")), _side(meeting, "b", F.col("key"), F.col("root").alias("rb"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).where(_near()).select("a", "b").distinct()
-    more = _verified(docs, known, pairs)
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).where(_near(least)).select("a", "b").distinct()
+    more = _verified(docs, known, pairs, least)
     discard(member, rarest, meeting, roots)
     roots = least_reachable(links.unionByName(more))
-    of = known.select("sid", "id").join(roots, F.col("id") == F.col("node"), "left").select("sid", F.coalesce("root", "id").alias("component"))
-    found = settle(rows.select("doc_id", "digest", "sid").join(of, "sid").drop("sid"))
-    discard(rows, known, links, more, roots)
+    of = known.join(roots, F.col("id") == F.col("node"), "left").select("sid", F.coalesce("root", "id").alias("component"), F.col("doc_id").alias("own"))
+    lowest = of.groupBy("component").agg(F.min("own").alias("in_component"))
+    found = settle(rows.select("doc_id", "digest", "sid", "n").join(of.join(lowest, "component").drop("own"), "sid").drop("sid"))
+    discard(known, links, more, roots)
     return found

@@ -132,6 +132,12 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -145,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hamming_top_k": op10_hamming_top_k,
     "op11_alignment": op11_alignment,
     "op12_period_runs": op12_period_runs,
+    "op13_minhash": op13_minhash,
 }
 
 def _op5_sql() -> str:
