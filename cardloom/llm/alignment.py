@@ -25,11 +25,13 @@ from cardloom.llm.common import discard, lean, remove, settle, text_of, work_pat
 from cardloom.llm.pieces import SPACE, PieceEncoder, byte_classes, byte_letters, library_encoder, locate, piece_keys, text_chunks
 
 #: Bytes of text in a block, and units in a chunk.
-BLOCK, CHUNK = 1 << 24, 1 << 15
-#: Lets a join on (chunk, end) use rows that are partitioned by chunk; of large rows, few are read at a time.
-SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.parquet.columnarReaderBatchSize": "8"}
-#: Figures of a unit.  A group ends with a cut, and a cut is a link.
-FIGURES = ("n_a", "n_b", "n_links", "n_best", "count_sum")
+BLOCK, CHUNK = 1 << 23, 1 << 15
+#: Lets a join on (chunk, end) use rows that are partitioned by chunk.
+SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.parquet.compression.codec": "zstd"}
+#: Row groups of few rows where rows are large, as a reader takes up to a row group at a time.
+LARGE_ROWS = {"parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1"}
+#: Figures of a unit that its text adds up.
+FIGURES = ("n_a", "n_best", "count_sum")
 MARK = "▁"
 UNIT = pa.struct([("unit", pa.string()), ("times", pa.int64())])
 DOC = pa.struct([("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
@@ -43,7 +45,7 @@ class Aligner:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a: PieceEncoder = library_encoder(a, specials=False)
+        self.a: PieceEncoder = library_encoder(a, bits=17, specials=False)
         self.b = SentencePieceProcessor(model_file=locate(b))
         value = {c: i for i, c in enumerate(byte_letters())}
         entries = [x for x in Tokenizer.from_file(locate(a)).get_vocab(with_added_tokens=False).items() if all(c in value for c in x[0])]
@@ -212,17 +214,16 @@ def cut_up(made: DataFrame) -> DataFrame:
 
 
 def spelt(places: DataFrame) -> DataFrame:
-    """chunk, number, groups, n_a, n_b of each unit."""
+    """chunk, number, groups, n_a of each unit."""
     tokens = F.sort_array(F.collect_list(F.struct("end", "number", "group", "a", "b")))
     units = places.groupBy("chunk").agg(tokens.alias("t")).select("chunk", F.arrays_zip(_said(F.col("t"), "a").alias("a"), _said(F.col("t"), "b").alias("b")).alias("z"))
     units = units.select("chunk", F.posexplode("z").alias("number", "z")).select("chunk", "number", F.split("z.a", ";").alias("a"), F.split("z.b", ";").alias("b"))
     groups = F.array_join(F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)), ";")
-    ids = lambda side: F.size(F.split(F.array_join(side, ","), ",")).alias(f"n_{side}")
-    return units.select("chunk", "number", groups.alias("groups"), ids("a"), ids("b"))
+    return units.select("chunk", "number", groups.alias("groups"), F.size(F.split(F.array_join("a", ","), ",")).alias("n_a"))
 
 
 def _looked_up(table: Column, doc: Column) -> Column:
-    """A text's row, from the figures of its units."""
+    """doc_id, groups and added up FIGURES of a text, from those of its units."""
     total = lambda name: F.aggregate(doc["units"], F.lit(0).cast("long"), lambda sum, i: sum + table[i][name]).alias(name)
     groups = F.array_join(F.transform(doc["units"], lambda i: table[i]["groups"]), ";").alias("groups")
     return F.struct(doc["doc_id"].alias("doc_id"), *map(total, FIGURES), groups)
@@ -244,39 +245,42 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     A block with all its texts, or a single longer text, is one row, so a task holds about ten bytes for each byte
     of a block, or of the longest text.  A unit (a stretch without a space) goes to the tokenizers whole.  A hot
     unit has one row for each block, a hot pair of ids one for each unit that holds it, and what is left of both
-    is split as skewed joins are.  Runs jobs when it is called, which leave one checkpoint, the result's.
+    is split as skewed joins are.  Runs jobs when it is called; the result reads two of the folders they write.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    made = _written(texts.mapInArrow(blocks, BLOCKS), "blocks")
-    units = made[0].select("block", F.posexplode("units").alias("number", "u"))
+    made, _ = _written(texts.mapInArrow(blocks, BLOCKS), "blocks", LARGE_ROWS)
+    units = made.select("block", F.posexplode("units").alias("number", "u"))
     distinct = units.groupBy("u.unit").agg(F.sum("u.times").alias("times"))
-    chunked = _written(distinct.mapInArrow(partial(chunks, a=a, b=b), CHUNKS), "chunks")
-    named = chunked[0].select("chunk", F.posexplode("units").alias("number", "u")).select("chunk", "number", "u.*")
-    places = _written(cut_up(chunked[0]), "places")
-    links = places[0].where("a is not null and b is not null").select("chunk", "number", "a", "b")
+    chunked, first = _written(distinct.mapInArrow(partial(chunks, a=a, b=b), CHUNKS), "chunks", LARGE_ROWS)
+    places, second = _written(cut_up(chunked), "places")
+
+    named = chunked.select("chunk", F.posexplode("units").alias("number", "u")).select("chunk", "number", "u.*")
+    links = places.where("a is not null and b is not null").select("chunk", "number", "a", "b")
     pairs = settle(links.join(named, ["chunk", "number"]).groupBy("a", "b").agg(F.sum("times").alias("count")), SETTINGS)
     best = pairs.groupBy("b").agg(F.max("count").alias("most"))
     ranked = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    counted = links.join(ranked, ["a", "b"]).groupBy("chunk", "number").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    figures = named.join(spelt(places[0]), ["chunk", "number"]).join(counted, ["chunk", "number"])
-    figures = _written(figures.select("unit", *FIGURES, "groups"), "figures")
-    remove(spark, chunked[1])
-    remove(spark, places[1])
+    counted = links.join(ranked, ["a", "b"]).groupBy("chunk", "number").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    counted, third = _written(counted, "counts")
     discard(pairs)
+    figures = named.join(spelt(places), ["chunk", "number"]).join(counted, ["chunk", "number"])
+    figures, _ = _written(figures.select("unit", *FIGURES, "groups"), "figures")
+    for path in (first, second, third):
+        remove(spark, path)
 
     # The texts of a block look their units up by number.
-    table = units.select("block", "number", "u.unit").join(figures[0], "unit").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", *FIGURES, "groups"))).alias("table"))
-    rows = made[0].select("block", "docs").join(table, "block", "left")
-    found = rows.select(F.explode(F.transform("docs", lambda d: _looked_up(F.col("table"), d))).alias("d")).select("d.*")
-    found = settle(found.withColumn("n_groups", F.col("n_links")), SETTINGS)
-    remove(spark, made[1])
-    remove(spark, figures[1])
-    return found
+    table = units.select("block", "number", "u.unit").join(figures, "unit").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", *FIGURES, "groups"))).alias("table"))
+    rows = made.select("block", "docs").join(table, "block", "left")
+    rows = rows.select(F.explode(F.transform("docs", lambda d: _looked_up(F.col("table"), d))).alias("d")).select("d.*")
+    # A group ends with a link, and has a comma between any two tokens of one side.
+    times = lambda mark: F.length("groups") - F.length(F.replace("groups", F.lit(mark)))
+    n_groups = times("|").cast("long")
+    n_b = times(",") + 2 * n_groups - F.col("n_a")
+    return rows.select("doc_id", "n_a", n_b.alias("n_b"), n_groups.alias("n_groups"), n_groups.alias("n_links"), "n_best", "count_sum", "groups")
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """The rows as a folder of Parquet files in the shared folder, read again, and that folder."""
     path = work_path(df.sparkSession, f"alignment-{name}")
-    lean(df, SETTINGS).write.parquet(path)
+    lean(df, SETTINGS).write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
