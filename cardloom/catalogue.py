@@ -20,7 +20,7 @@ from cardloom.operators import sections as sectioning
 from cardloom.operators.cards import by_bloom, by_type, parse_responses, score_cards, valid_cards
 from cardloom.plans.convert import critique_requests, preview, run_quality
 from cardloom.schemas import BLOOM_LEVELS, CARD, CARD_TYPES, WEIGHTS
-from cardloom.settling import settle, work_path
+from cardloom.settling import remove, settle, work_path
 from cardloom.sources import files
 from cardloom.sources.cache import cache_misses
 from cardloom.streaming.ingest import spending_by_window
@@ -899,7 +899,10 @@ def capped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {"model": "low-tier", "input_tokens": 100, "output_tokens": 10, "text": "[" + ", ".join([card] * (1 + len(said) % 9)) + "]"}
 
     asked = requests.section_requests(rows)
-    answers, _ = requests.spend(asked, provider, work_path(spark, "answers"), budget=1e9, max_cards=12)
+    path = work_path(spark, "answers")
+    answers, _ = requests.spend(asked, provider, path, budget=1e9, max_cards=12)
+    answers = settle(answers)
+    remove(spark, path)
     cost = ledger.with_cost(requests.usage(answers)).groupBy("source_file").agg(F.count("*").alias("n_calls"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
     cards = requests.collect_cards(asked, answers).groupBy("source_file").agg(F.count("*").alias("n_cards"))
     return cost.join(cards, "source_file").select(F.col("source_file").cast("long").alias("conv_id"), "n_calls", "n_cards", "cost_usd")

@@ -31,3 +31,9 @@ def selected_model(chars: Column, cards: Column, force: Column | None = None) ->
     """a forced model wins; long texts and many cards go to the middle tier."""
     routed = F.when((chars >= ROUTE_CHARS) | (cards >= ROUTE_CARDS), F.lit(MID)).otherwise(F.lit(LOW))
     return routed if force is None else F.coalesce(force, routed)
+
+
+def call_cost(model: str, tokens_in: int, tokens_out: int) -> float:
+    """F8 for one call, where it is made."""
+    price_in, price_out = PRICES.get(model, FALLBACK)
+    return tokens_in / 1_000_000.0 * price_in + tokens_out / 1_000_000.0 * price_out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +91,45 @@ def card_fields(item: str) -> list[Column]:
     ]
 
 
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+FENCED = re.compile(FENCE.replace("(?sU)", "(?s)").replace(r"\s*", WHITE))
+ENDS = re.compile(rf"\A{WHITE}|{WHITE}\Z")
+
+
+def _refused(name: str) -> float:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _object(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key that repeats")
+    return found
+
+
+def count_valid(response: str) -> int:
+    """How many valid cards a response holds.
+
+    The rules of parse_responses(), for a task that calls a provider and must know at once.
+    """
+    whole = ENDS.sub("", response)
+    fenced = FENCED.search(whole)
+    try:
+        items = json.loads(ENDS.sub("", fenced.group(1)) if fenced else whole, parse_constant=_refused, object_pairs_hook=_object)
+    except (ValueError, RecursionError):
+        return 0
+    listed = lambda x: isinstance(x, list) and all(isinstance(y, str) for y in x)
+
+    def valid(c: object) -> bool:
+        if not isinstance(c, dict) or not isinstance(c.get("front"), str) or not isinstance(c.get("back", ""), str):
+            return False
+        if c.get("card_type") not in CARD_TYPES or c.get("bloom_level") not in BLOOM_LEVELS or not isinstance(c.get("mnemonic_hint"), str | None):
+            return False
+        return bool(c["front"] and c.get("tags") and listed(c["tags"]) and listed(c.get("related_concepts", [])) and listed(c.get("media", [])))
+
+    return sum(map(valid, items)) if isinstance(items, list) else 0
+
+
 def parse_responses(responses: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """Keys, status, item_idx, valid and the card's columns, one row for each array element.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -11,8 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cardloom.functions.cost import selected_model
-from cardloom.operators.cards import parse_responses, section_tagged, valid_cards
+from cardloom.functions.cost import call_cost, selected_model
+from cardloom.operators import leases
+from cardloom.operators.cards import count_valid, parse_responses, section_tagged, valid_cards
 from cardloom.operators.ledger import BUDGET, MAX_CARDS, WARN_AT, section_plan, with_cost
 
 SYSTEM = "You write study cards. Answer with a JSON array of cards and nothing else."
@@ -103,22 +105,12 @@ def call_provider(requests: DataFrame, provider: Provider, path: str, retryable:
         import pandas as pd
 
         for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                try:
-                    a = with_retry(lambda r=r: provider(r.model, r.system_prompt, r.user_prompt, int(r.max_tokens)), retryable)
-                    out.append((r.source_file, r.custom_id, "succeeded", a["model"], a["input_tokens"], a["output_tokens"], a.get("block_type", "text"), a.get("text")))
-                except Exception:  # whatever it was, it is this request's error
-                    out.append((r.source_file, r.custom_id, "errored", r.model, 0, 0, None, None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+            yield pd.DataFrame([_answer(r, provider, retryable) for r in frame.itertuples()], columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     spark, key = requests.sparkSession, ["source_file", "custom_id"]
     answered = answers_at(spark, path).where("status = 'succeeded'").select(*key)
     requests.join(answered, key, "left_anti").select(*key, "model", "system_prompt", "user_prompt", "max_tokens").mapInPandas(run, ANSWER).write.mode("append").parquet(path)
-    found = answers_at(spark, path)
-    # A request that failed before and has an answer now counts once.
-    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("status") != "succeeded"))
-    return found.withColumn("turn", best).where("turn = 1").drop("turn").join(requests.select(*key), key, "left_semi")
+    return _best_answers(answers_at(spark, path)).join(requests.select(*key), key, "left_semi")
 
 
 def chunk_requests(documents: DataFrame, max_cards: int = MAX_CARDS, force: str | None = None, **options) -> DataFrame:
@@ -150,7 +142,7 @@ def vision_requests(documents: DataFrame, images: DataFrame, model: str, max_car
 
 @dataclass
 class Spending:
-    """What a run has spent, the wave before which it warned (0: none), and why it stopped early, if it did."""
+    """What a run has spent, the call of its shard before which it warned (0: none), and why it stopped early, if it did."""
 
     spent: float = 0.0
     calls: int = 0
@@ -158,40 +150,139 @@ class Spending:
     stopped: str | None = None
 
 
-def spend(requests: DataFrame, provider: Provider, path: str, budget: float = BUDGET, warn_at: float = WARN_AT, max_cards: int | None = MAX_CARDS, in_turn: bool = False, retryable: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)) -> tuple[DataFrame, Spending]:
+class AnswerLog:
+    """The answers that a shard has bought in this run, in small Parquet files at path, written as it goes."""
+
+    def __init__(self, path: str, name: str, every: int):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        self.store, place = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else path.replace("file:", "file://", 1))
+        self.place, self.name, self.every, self.rows = place.rstrip("/"), name, every, []
+        self.schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in ANSWER.split(", "))])
+        self.store.create_dir(self.place, recursive=True)
+        files = self.store.get_file_info(fs.FileSelector(self.place))
+        self.files = sorted(f.path for f in files if f.base_name.startswith(name))
+
+    def kept(self) -> list[dict]:
+        """What an earlier attempt of this task has bought."""
+        import pyarrow.parquet as pq
+
+        return [row for f in self.files for row in pq.read_table(f, filesystem=self.store).to_pylist()]
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= self.every:
+            self.flush()
+
+    def flush(self) -> None:
+        """A file is moved to its name when it is whole; Spark doesn't read names that begin with an underscore."""
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        if self.rows:
+            path = f"{self.place}/{self.name}{len(self.files):06d}.parquet"
+            whole = f"{self.place}/_{uuid.uuid4().hex}"
+            pq.write_table(pa.Table.from_pylist(self.rows, self.schema), whole, filesystem=self.store)
+            self.store.move(whole, path)
+            self.files.append(path)
+            self.rows = []
+
+
+def spend(requests: DataFrame, provider: Provider, path: str, budget: float = BUDGET, warn_at: float = WARN_AT, max_cards: int | None = MAX_CARDS, in_turn: bool = False, retryable: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), shards: int | None = None, every: int = 16) -> tuple[DataFrame, Spending]:
     """P3, P4, W2 to W4 around the calls themselves: (answers, what was spent).
 
-    The first requests of all documents are one wave, the second ones the next, and so on.  Before each
-    wave, what was spent so far decides: over the budget nothing more is sent, and at warn_at of it there
-    is one warning; a document that has max_cards valid cards (None: no cap) asks for no more.  So a run
-    overshoots by one wave at most; in_turn makes each request a wave of its own, in the order of
-    documents, where it overshoots by one call.  Answers that path holds already count as spent, and
-    aren't bought again.
+    Documents are dealt to shards (None: as many as the session shuffles to), and a shard calls for one
+    document after the other, its sections in order, in one task.  It spends what it has leased (leases.py): nothing
+    is sent once the budget is used up, which a run overshoots by one call a shard at most.  There is
+    one warning, by the first shard that sees warn_at of the budget spent.  A document that has max_cards valid cards
+    (None: no cap) asks for no more.  in_turn: one shard, which is a plain loop over the documents by name.
+
+    Runs one job, however many sections there are.  Answers are kept at path as they come, `every` of them in a file, so
+    a lost task loses fewer than that, and its next attempt goes on.  Answers that path holds from an earlier
+    run count as spent and as cards, and aren't bought again; failed ones are.  Speculative attempts would buy twice.
     """
-    spark, state = requests.sparkSession, Spending()
-    order = Window.orderBy("source_file", "section_pos", "part") if in_turn else Window.partitionBy("source_file").orderBy("section_pos", "part")
-    waved = requests.withColumn("wave", F.row_number().over(order)).cache()
-    try:
-        for wave in range(1, (waved.agg(F.max("wave")).first()[0] or 0) + 1):
-            bought = answers_at(spark, path)
-            total = with_cost(usage(bought)).agg(F.sum("cost_usd"), F.count("*")).first()
-            state.spent, state.calls = float(total[0] or 0.0), total[1]
-            if state.spent > budget:
-                state.stopped = f"spent {state.spent:.6f} of {budget:.6f}"
-                break
-            if not state.warned_at and state.spent >= warn_at * budget:
-                state.warned_at = wave
-            asking = waved.where(F.col("wave") == wave)
-            if max_cards is not None:
-                full = collect_cards(waved, bought).groupBy("source_file").count().where(F.col("count") >= max_cards)
-                asking = asking.join(full.select("source_file"), "source_file", "left_anti")
-            call_provider(asking.drop("wave"), provider, path, retryable)
-    finally:
-        waved.unpersist()
-    found = answers_at(spark, path)
+    spark, key, run_id = requests.sparkSession, ["source_file", "custom_id"], uuid.uuid4().hex
+    bought = answers_at(spark, path).where("status = 'succeeded'")
+    before = with_cost(usage(bought)).agg(F.sum("cost_usd"), F.count("*")).first()
+    n = 1 if in_turn else shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = bought.groupBy(*key).agg(F.first("text").alias("had"), F.first("block_type").alias("had_type"), F.lit(True).alias("answered"))
+    asked = requests.select(*key, "section_pos", "part", "model", "system_prompt", "user_prompt", "max_tokens").join(held, key, "left")
+    # The shard goes with the row: how Spark numbers or joins partitions doesn't matter.
+    asked = asked.withColumn("shard", F.pmod(F.xxhash64("source_file"), F.lit(n)).cast("int")).repartition(n, "shard").sortWithinPartitions("shard", "source_file", "section_pos", "part")
+    book = leases.Ledger(budget, warn_at, float(before[0] or 0.0))
+    with leases.LedgerServer(book, spark.conf.get("spark.driver.host", "localhost")) as server:
+        address, secret, want, warn_from = server.address, server.key, max(budget, 0.0) / (8 * n if n > 1 else 1), warn_at * budget
+
+        def begin(shard: int) -> tuple:
+            log = AnswerLog(path, f"part-{run_id}-{shard:06d}-", every)
+            kept = log.kept()
+            spent = sum(_cost(r) for r in kept)
+            return log, leases.Lease(address, secret, shard, want, warn_from, spent), {(r["source_file"], r["custom_id"]): r for r in kept}
+
+        def run(frames: Iterator) -> Iterator:
+            import pandas as pd
+
+            shard = source = None
+            log = lease = None
+            mine: dict = {}
+            cards, calls, stopped = 0, 0, False
+            for frame in frames:
+                for r in frame.itertuples():
+                    if r.shard != shard:
+                        if lease is not None:
+                            log.flush()
+                            lease.close()
+                        shard, (log, lease, mine), stopped = r.shard, begin(int(r.shard)), False
+                    if r.source_file != source:
+                        source, cards = r.source_file, 0
+                    again = mine.get((r.source_file, r.custom_id))
+                    if r.answered is True or again is not None and again["status"] == "succeeded":
+                        had = (r.had, r.had_type) if again is None else (again["text"], again["block_type"])
+                        cards += count_valid(had[0]) if had[1] == "text" and had[0] else 0
+                        continue
+                    if stopped or max_cards is not None and cards >= max_cards:
+                        continue
+                    if not lease.may():
+                        stopped = True
+                        continue
+                    answer = _answer(r, provider, retryable)
+                    lease.paid(_cost(answer))
+                    log.add(answer)
+                    cards += count_valid(answer["text"]) if answer["block_type"] == "text" and answer["text"] else 0
+                    calls += 1
+            if lease is not None:
+                log.flush()
+                lease.close()
+            yield pd.DataFrame([(calls,)], columns=["calls"])
+
+        asked.mapInPandas(run, "calls long").agg(F.sum("calls")).first()
+    found = _best_answers(answers_at(spark, path))
     total = with_cost(usage(found)).agg(F.sum("cost_usd"), F.count("*")).first()
-    state.spent, state.calls = float(total[0] or 0.0), total[1]
-    return found, state
+    stopped = f"spent {book.known():.6f} of {budget:.6f}" if book.refused else None
+    return found, Spending(float(total[0] or 0.0), total[1], 0 if book.warned_after is None else book.warned_after + 1, stopped)
+
+
+def _answer(r, provider: Provider, retryable: tuple[type[Exception], ...]) -> dict:
+    """One call; any error of the provider is this request's error, and leaves the others alone."""
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    try:
+        a = with_retry(lambda: provider(r.model, r.system_prompt, r.user_prompt, int(r.max_tokens)), retryable)
+        return dict(zip(names, (r.source_file, r.custom_id, "succeeded", a["model"], a["input_tokens"], a["output_tokens"], a.get("block_type", "text"), a.get("text")), strict=True))
+    except Exception:
+        return dict(zip(names, (r.source_file, r.custom_id, "errored", r.model, 0, 0, None, None), strict=True))
+
+
+def _cost(a: dict) -> float:
+    """What usage() and with_cost() charge for an answer."""
+    charged = a["status"] == "succeeded" and a["block_type"] == "text" and a["text"]
+    return call_cost(a["model"], a["input_tokens"], a["output_tokens"]) if charged else 0.0
+
+
+def _best_answers(found: DataFrame) -> DataFrame:
+    """A request that failed before and has an answer now counts once."""
+    best = F.row_number().over(Window.partitionBy("source_file", "custom_id").orderBy(F.col("status") != "succeeded"))
+    return found.withColumn("turn", best).where("turn = 1").drop("turn")
 
 
 def usable(responses: DataFrame) -> DataFrame:
