@@ -18,6 +18,7 @@ from cardloom.functions.text import cjk_count, estimated_tokens, image_scale, im
 from cardloom.operators import chunks, critique, duplicates, export, images, ledger, matching, requests, review
 from cardloom.operators import sections as sectioning
 from cardloom.operators.cards import by_bloom, by_type, parse_responses, score_cards, valid_cards
+from cardloom.operators.scan import numbered_rows
 from cardloom.plans.convert import critique_requests, preview, run_quality
 from cardloom.schemas import BLOOM_LEVELS, CARD, CARD_TYPES, WEIGHTS
 from cardloom.settling import remove, settle, work_path
@@ -315,6 +316,40 @@ def budget_gate_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.round("spent_before", 6).alias("spent_before"), "allowed", "warns")
 
 
+HOT = "CASE WHEN event_id % 10 < 9 THEN 0 ELSE user_id % 20 END"
+
+
+def _hot_team() -> Column:
+    """A key that holds nine of ten events."""
+    return F.when(F.col("event_id") % 10 < 9, F.lit(0).cast("long")).otherwise(F.col("user_id") % 20)
+
+
+@query(_gate_sql(HOT, 30.0))
+def budget_gate_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2, W3 where one key holds nine of ten calls."""
+    rows = ledger.with_cost(_usage(spark, sf_dir)).withColumn("team", _hot_team())
+    found = ledger.budget_gate(rows, ["event_id"], budget=30.0, partition=["team"])
+    return found.select("event_id", F.round("spent_before", 6).alias("spent_before"), "allowed", "warns")
+
+
+@query(f"""WITH e AS (SELECT event_id, {HOT} AS team, ts FROM events)
+    SELECT event_id, row_number() OVER (PARTITION BY team ORDER BY ts, event_id) - 1 AS n FROM e""")
+def numbering_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 where one key holds nine of ten rows."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "ts", _hot_team().alias("team"))
+    return numbered_rows(rows, "n", ["team"], ["ts", "event_id"]).select("event_id", "n")
+
+
+@query(f"""WITH e AS (SELECT event_id, {HOT} AS team, user_id % 4 AS level, 'h' || event_id AS heading FROM events
+    ), l AS (SELECT *, {", ".join(f"max(CASE WHEN level = {n} THEN event_id END) OVER (PARTITION BY team ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS p{n}" for n in (1, 2, 3))} FROM e)
+    SELECT event_id, CASE WHEN level = 0 THEN 'top' ELSE concat_ws(' > ', 'top', 'h' || p1, CASE WHEN p2 > coalesce(p1, -1) THEN 'h' || p2 END,
+        CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN 'h' || p3 END) END AS breadcrumb FROM l""")
+def heading_trail_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 where one key holds nine of ten headings."""
+    rows = _table(spark, sf_dir, "events").select("event_id", _hot_team().alias("team"), (F.col("user_id") % 4).cast("int").alias("level"), F.concat(F.lit("h"), "event_id").alias("heading"), F.lit("top").alias("title"))
+    return sectioning.heading_trail(rows, "team", "event_id", spread=True).select("event_id", "breadcrumb")
+
+
 @query(f"""WITH {USAGE} SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", round(sum(cost_usd), 6) AS cost_usd, count(*) AS calls FROM ledger GROUP BY 1, 2""")
 def spending_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spending_by_window(_usage(spark, sf_dir))

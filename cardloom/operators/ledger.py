@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.cost import estimated_cost, selected_model
-from cardloom.settling import settle
+from cardloom.operators.scan import scanned
 
 BUDGET, WARN_AT, MAX_CARDS, SECTION_CARDS, SECTION_MIN_CHARS = 1.00, 0.8, 50, 20, 50
 
@@ -22,23 +22,13 @@ def totals(ledger: DataFrame, *by: str, budget: float = BUDGET) -> DataFrame:
     return found.withColumns({"budget_remaining": F.lit(budget) - F.col("total_cost"), "within_budget": F.col("total_cost") <= F.lit(budget)})
 
 
-def _running(rows: DataFrame, value: Column, out: str, order: list[str], partition: list[str]) -> DataFrame:
-    """Sum of value over the rows before each, in order.
-
-    With a partition it is a plain window.  Without one, a single window would put every row in one task,
-    so rows are dealt to range partitions, summed there, and only the partitions' totals meet.
-    """
+def _running(rows: DataFrame, value: Column, out: str, order: list[str], partition: list[str], spread: bool) -> DataFrame:
+    """Sum of value over the rows before each, in order: by a scan, or by a plain window of each partition."""
+    if spread:
+        return scanned(rows, partition, order, sums={out: value})
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(out, value)
-    if partition:
-        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn(out, F.coalesce(F.sum(out).over(w), F.lit(0).cast(rows.schema[out].dataType)))
-    # Written: the partition numbers must be the same for the sums and the rows, also after an executor is lost.
-    dealt = settle(rows.repartitionByRange(*order).withColumn("part_no", F.spark_partition_id()))
-    zero = F.lit(0).cast(rows.schema[out].dataType)
-    sums = dealt.groupBy("part_no").agg(F.sum(out).alias("part_sum"))
-    before = sums.withColumn("base", F.coalesce(F.sum("part_sum").over(Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)), zero)).drop("part_sum")
-    w = Window.partitionBy("part_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn(out, F.coalesce(F.sum(out).over(w), zero)).join(before, "part_no").withColumn(out, F.col(out) + F.col("base")).drop("part_no", "base")
+    return rows.withColumn(out, F.coalesce(F.sum(out).over(w), F.lit(0).cast(rows.schema[out].dataType)))
 
 
 def budget_gate(ledger: DataFrame, order: list[str], budget: float = BUDGET, warn_at: float = WARN_AT, partition: list[str] | None = None) -> DataFrame:
@@ -46,9 +36,10 @@ def budget_gate(ledger: DataFrame, order: list[str], budget: float = BUDGET, war
 
     A call goes ahead while what was spent before it is within the budget, so the last may overshoot.
     Costs are not negative, so the calls that go ahead come first.  The first allowed call at or beyond
-    warn_at of the budget warns.
+    warn_at of the budget warns.  A partition may hold any share of the rows: they are scanned in range
+    partitions, whose dealing runs when this is called.
     """
-    rows = _running(ledger, F.col("cost_usd"), "spent_before", order, partition or [])
+    rows = _running(ledger, F.col("cost_usd"), "spent_before", order, partition or [], spread=True)
     rows = rows.withColumn("allowed", F.col("spent_before") <= F.lit(budget))
     due = F.col("allowed") & (F.col("spent_before") >= F.lit(warn_at * budget))
     key = F.struct(*order)
@@ -60,9 +51,12 @@ def budget_gate(ledger: DataFrame, order: list[str], budget: float = BUDGET, war
     return rows.withColumn("warns", F.coalesce(key == F.col("first_due"), F.lit(False))).drop("first_due")
 
 
-def card_cap_gate(sections: DataFrame, order: list[str], partition: list[str], n_cards: str = "n_cards", max_cards: int = MAX_CARDS) -> DataFrame:
-    """cards_before and allowed; a section goes ahead while the cards before it are below the cap."""
-    rows = _running(sections, F.col(n_cards).cast("long"), "cards_before", order, partition)
+def card_cap_gate(sections: DataFrame, order: list[str], partition: list[str], n_cards: str = "n_cards", max_cards: int = MAX_CARDS, spread: bool = False) -> DataFrame:
+    """cards_before and allowed; a section goes ahead while the cards before it are below the cap.
+
+    Sections of a document are few; spread scans partitions of any size, as budget_gate() does.
+    """
+    rows = _running(sections, F.col(n_cards).cast("long"), "cards_before", order, partition, spread)
     return rows.withColumn("allowed", F.col("cards_before") < max_cards)
 
 

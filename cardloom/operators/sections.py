@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.text import breadcrumb, stripped
 from cardloom.operators.chunks import SECTION_CHARS, numbered, split_section
+from cardloom.operators.scan import scanned
 
 MARKS = ("\u0001", "\u0002")
 HEADING = r"(#{1,3})\s+(.+)"
@@ -59,7 +60,7 @@ def sections(docs: DataFrame, key: str, text: str = "text", title: str | None =
     level = F.when(F.col("mark").isNull(), 0).when(F.col("is_md"), F.length(hashes)).when(F.col("mark") == MARKS[0], 1).otherwise(2)
     heading = F.when(F.col("mark").isNull(), "").when(F.col("is_md"), stripped(after)).otherwise(stripped(_japanese_heading(F.col("body"))))
     rows = rows.select(key, "title", "section_pos", level.cast("int").alias("level"), heading.alias("heading"), stripped(F.col("body")).alias("text"))
-    rows = _with_breadcrumbs(rows, key)
+    rows = heading_trail(rows, key, "section_pos")
     parts = rows.select("*", F.posexplode(numbered(split_section(F.col("text"), max_chars))).alias("part", "p")).select("*", "p.*")
     split = F.col("n_parts") > 1
     base = F.concat(F.lit("section-"), F.col("section_pos").cast("string"))
@@ -77,18 +78,23 @@ def sections(docs: DataFrame, key: str, text: str = "text", title: str | None =
     )
 
 
-def _with_breadcrumbs(rows: DataFrame, key: str) -> DataFrame:
-    """Of each level the last heading so far, unless a heading of a smaller level came after it."""
-    w = Window.partitionBy(key).orderBy("section_pos").rowsBetween(Window.unboundedPreceding, 0)
-    for n in (1, 2, 3):
-        mine = F.col("level") == n
-        rows = rows.withColumn(f"h{n}", F.last(F.when(mine, F.col("heading")), True).over(w))
-        rows = rows.withColumn(f"p{n}", F.coalesce(F.last(F.when(mine, F.col("section_pos")), True).over(w), F.lit(-1)))
-    lives = lambda n: F.col(f"p{n}") > F.greatest(F.lit(-1), *[F.col(f"p{m}") for m in range(1, n)]) if n > 1 else F.col("p1") > -1
+def heading_trail(rows: DataFrame, key: str, order: str, spread: bool = False) -> DataFrame:
+    """Rows (level, heading, title) with breadcrumb: of each level the last heading so far, unless one of a smaller level came after it.
+
+    Sections of a document are few; spread scans keys of any size in many tasks (scan.py).
+    """
+    mine = {f"h{n}": F.when(F.col("level") == n, F.struct(F.col(order).alias("pos"), "heading")) for n in (1, 2, 3)}
+    if spread:
+        rows = scanned(rows, [key], [order], lasts=mine)
+    else:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({name: F.last(value, True).over(w) for name, value in mine.items()})
+    pos = lambda n: F.col(f"h{n}.pos")
+    lives = lambda n: pos(n).isNotNull() & ~F.coalesce(F.greatest(F.lit(None), *[pos(m) for m in range(1, n)]) > pos(n), F.lit(False)) if n > 1 else pos(1).isNotNull()
     title = F.when(F.col("title") != "", F.col("title"))
-    trail = F.array(title, *[F.when(lives(n), F.col(f"h{n}")) for n in (1, 2, 3)])
+    trail = F.array(title, *[F.when(lives(n), F.col(f"h{n}.heading")) for n in (1, 2, 3)])
     trail = F.when(F.col("level") == 0, F.array(title)).otherwise(trail)
-    return rows.withColumn("breadcrumb", breadcrumb(F.filter(trail, lambda x: x.isNotNull()))).drop("h1", "h2", "h3", "p1", "p2", "p3")
+    return rows.withColumn("breadcrumb", breadcrumb(F.filter(trail, lambda x: x.isNotNull()))).drop("h1", "h2", "h3")
 
 
 def page_ranges(pages: DataFrame, key: str) -> DataFrame:
