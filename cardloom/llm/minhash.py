@@ -1,10 +1,7 @@
 """MinHash near-duplicates by SuperMinHash signatures, banding and a check of the whole sets.
 
-An element draws a permutation of the M components, and a random fraction for each; it offers the
-component that comes k-th (from 0) the value k plus its fraction, and a component keeps the least offer.  So an
-element's values are spread evenly over the components, which lowers the variance of the estimate, and
-no offer from k on can lower a component that is below k: once all are, the rest of the permutations is
-not drawn.  All elements of many sets draw their k-th place together, as array operations.
+Signatures come from superminhash.py.  Sets that share a band are candidates; near_texts.components() checks
+them on the whole sets, and joins what is linked by a union-find in rounds of joins (star contraction).
 """
 
 from __future__ import annotations
@@ -20,71 +17,7 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import discard, lower_ascii, settle, text_of
 from cardloom.llm.near_texts import PART, Similarity, bitmap, components, shingles, word_keys
 from cardloom.llm.simhash import text_hash
-
-#: BANDS bands of BAND components.  A pair of similarity s shares no band with probability (1 - s ** BAND) ** BANDS,
-#: or less: 2e-6 at 0.85, where the mean of the components alone is known to a standard deviation of 0.03.
-BANDS, BAND = 28, 6
-M = BANDS * BAND
-#: Bits of a fraction, and of the draw of a place.
-FRACTION, DRAW = 40, 24
-#: Elements that draw from the second place on at a time; each holds its permutation.
-DRAWING = 1 << 16
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _drawn(elements: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the k-th place of each permutation comes from (k to m - 1), and the value offered there."""
-    x = _mixed(elements + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    place = k + ((x & np.uint64((1 << DRAW) - 1)) * np.uint64(m - k) >> np.uint64(DRAW)).astype(np.int64)
-    return place, (x >> np.uint64(DRAW)) | np.uint64(k << FRACTION)
-
-
-def signatures(elements: np.ndarray, bound: np.ndarray, m: int = M) -> np.ndarray:
-    """The signature of each set elements[bound[i] : bound[i + 1]], of distinct random longs; an empty set has the greatest values."""
-    sets = len(bound) - 1
-    out = np.full((sets, m), np.iinfo(np.uint64).max, np.uint64)
-    flat, size = out.ravel(), np.diff(bound)
-    place, value = _drawn(elements, 0, m)
-    np.minimum.at(flat, np.repeat(np.arange(sets) * m, size) + place, value)
-    open_ = np.flatnonzero((out.max(1) >> np.uint64(FRACTION) > 0) & (size > 0))
-    total, a = np.cumsum(size[open_]), 0
-    while a < len(open_):
-        before = int(total[a - 1]) if a else 0
-        b = max(a + 1, int(np.searchsorted(total, before + DRAWING, "right")))
-        some = open_[a:b]
-        a = b
-        of = np.repeat(some, size[some])
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size[some]) - size[some], size[some]) + np.repeat(bound[some], size[some])
-        held, first = elements[at], place[at]
-        order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.int32), (len(of), 1))
-        row = np.arange(len(of))
-        order[row, first], order[:, 0] = 0, first  # the first place is drawn
-        for k in range(1, m):
-            full = np.zeros(sets, bool)
-            full[some] = out[some].max(1) < np.uint64(k << FRACTION)
-            stay = ~full[of[row]]
-            if not stay.all():
-                row, some = row[stay], some[~full[some]]
-            if not len(row):
-                break
-            source, offer = _drawn(held[row], k, m)
-            drawn = order[row, source]
-            order[row, source] = order[row, k]
-            np.minimum.at(flat, of[row] * m + drawn, offer)
-    return out
-
-
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key of each band of each signature."""
-    keys = np.zeros((len(found), found.shape[1] // BAND), np.uint64)
-    for k in range(BAND):
-        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + found[:, k::BAND])
-    return _mixed(keys + np.arange(keys.shape[1], dtype=np.uint64)).view(np.int64)
+from cardloom.llm.superminhash import band_keys, signatures
 
 
 def _described(docs: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Near copies of texts: covering locality-sensitive hashing finds candidates, an exact check of shingles decides.
+"""Near copies of texts: locality-sensitive hashing finds candidates, an exact check of shingles decides.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.  A
 changed word changes five shingles, so fingerprints of shingles of such texts differ in up to a third of
 their bits, more than any covering of 64 bits allows.  Fingerprints of the distinct words differ much
 less: here each text has several, over hashes of their own, and every one is covered with the masks of
-simhash.masks().  Texts that agree in the bits of any table are candidates: every pair with a fingerprint
-within the radius is one, and most others of that similarity are too.
+simhash.masks().  Every pair with a fingerprint within the radius is a candidate; pairs whose words all differ
+too much are found by bands of a signature of their shingles (superminhash.py).
 
 Only components are wanted, so a bucket's members first meet one or two of them, and then those
 alone whose component is still another one.  In a bucket of more than PAIRED members these don't meet
-in pairs: they do so by their rarest shingles, which two such sets always share one of.
+in pairs: they do so by their rarest shingles.  Of two similar sets, shingles in order of rarity, the smaller
+one shares one of its first (1 - 2s / (1 + s)) share, and one more, with the first 1 - s, and one more, of the
+other; texts of one template, whose rarest shingles are their own, so don't meet at all.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import discard, lower_ascii, settle, text_of
 from cardloom.llm.simhash import PAIRED, least_reachable, majority, masks, text_hash
 from cardloom.llm.substring_dedup import segmented
+from cardloom.llm.superminhash import band_keys, signatures
 
 WORDS = 5
-#: Fingerprints of a text, and the radius within which each is covered: 4 * 31 tables.
-PRINTS, RADIUS = 4, 4
+#: Fingerprints of a text, and the radius within which each is covered: 2 * 31 tables.
+PRINTS, RADIUS = 2, 4
 #: Longs of a set's bitmap, whose bits are parities: no more of them differ than members do.
 BITMAP = 8
 #: Rows of a batch that a worker takes at a time.
@@ -85,23 +88,28 @@ def word_keys(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), sid (identity of the set of shingles), n (its size), bits (its bitmap) and prints of every row."""
+    """doc_id, digest (of the text), sid (identity of the set of shingles), n (its size), bits (its bitmap), prints and bands of every row."""
 
-    def one(words: np.ndarray) -> tuple[bytes, int, np.ndarray, np.ndarray]:
-        found, distinct = shingles(words), np.unique(words)
-        prints = [majority(_mixed(distinct * np.uint64(2 * j + 3) + np.uint64(j))) if len(distinct) else 0 for j in range(PRINTS)]
-        return xxhash.xxh3_128_digest(found.tobytes()), len(found), bitmap(found), np.array(prints, np.uint64).view(np.int64)
+    def prints(words: np.ndarray) -> np.ndarray:
+        distinct = np.unique(words)
+        found = [majority(_mixed(distinct * np.uint64(2 * j + 3) + np.uint64(j))) if len(distinct) else 0 for j in range(PRINTS)]
+        return np.array(found, np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = lambda x: pa.array(x, pa.list_(pa.int64()))
+        longs = lambda x: pa.array(list(x), pa.list_(pa.int64()))
         for batch in batches:
             for a in range(0, len(batch), PART):
-                part = batch.slice(a, PART)
-                sids, sizes, bits, prints = zip(*(one(words) for _, words in word_keys(part.column(1))), strict=True)
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), longs(bits), longs(prints)], ["doc_id", "digest", "sid", "n", "bits", "prints"])
+                part, sets, marks = batch.slice(a, PART), [], []
+                for _, words in word_keys(part.column(1)):
+                    sets.append(shingles(words))
+                    marks.append(prints(words))
+                size = np.array([len(x) for x in sets])
+                bands = band_keys(signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])))
+                sids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+                yield pa.record_batch([part.column(0), part.column(2), sids, pa.array(size, pa.int64()), longs(map(bitmap, sets)), longs(marks), longs(bands)], ["doc_id", "digest", "sid", "n", "bits", "prints", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(text_of()).alias("text"), text_hash().alias("digest"))
-    return rows.mapInArrow(run, "doc_id long, digest long, sid binary, n long, bits array<long>, prints array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest long, sid binary, n long, bits array<long>, prints array<long>, bands array<long>")
 
 
 def _near(least: Similarity) -> Column:
@@ -144,7 +152,7 @@ def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, least: Simila
 
 
 def _rarest(docs: DataFrame, known: DataFrame, ids: DataFrame, least: Similarity) -> DataFrame:
-    """key, id: the rarest shingles of each set, as many as may be missing in a similar one, and one more; two similar sets share one of them."""
+    """key, id, place: the rarest shingles of each set, as many as may be missing in a similar one, and one more, with their places from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +170,7 @@ def _rarest(docs: DataFrame, known: DataFrame, ids: DataFrame, least: Similarity
     times = tokens.groupBy("token").agg(F.count("*").alias("times"))
     w = Window.partitionBy("id")
     ranked = tokens.join(times, "token").withColumn("turn", F.row_number().over(w.orderBy("times", "token"))).withColumn("n", F.count("*").over(w))
-    found = settle(ranked.where(f"times > 1 and turn <= floor(n * {least.den - least.num} / {least.den}) + 1").select(F.xxhash64(F.lit(-1), "token").alias("key"), "id"))
+    found = settle(ranked.where(f"times > 1 and turn <= floor(n * {least.den - least.num} / {least.den}) + 1").select(F.xxhash64(F.lit(-1), "token").alias("key"), "id", F.col("turn").alias("place")))
     discard(tokens)
     return found
 
@@ -171,8 +179,8 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, digest (text_hash()), component (a number).
 
     Rows have the same component if a chain of texts leads from one to the other, each linked to the
-    next.  Links are exact; of the pairs of that similarity, those are missed whose fingerprints all differ
-    by more than RADIUS bits and agree in no table (README gives the measured share).  A-Z are lower-cased,
+    next.  Links are exact; of the pairs of that similarity, those are missed that share no table and no band,
+    which at 0.8 has a probability of 2e-4 for the bands alone.  A-Z are lower-cased,
     words are separated by ASCII white space.  Null texts count as empty; texts without words are one
     component; texts of fewer than five words are similar if their words are the same; rows that repeat
     or share a doc_id are texts of their own; other columns are ignored; an empty table gives no rows.
@@ -181,7 +189,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     tables = F.array(*[F.lit(m) for m in masks(RADIUS)])
     keys = F.flatten(F.transform("prints", lambda p, j: F.transform(tables, lambda m, i: F.xxhash64(j, i, p.bitwiseAND(m)))))
     rows = settle(_described(docs))
-    found = settle(components(docs, rows.withColumn("keys", keys), Similarity(4, 5)).select("doc_id", "digest", "component"))
+    found = settle(components(docs, rows.withColumn("keys", F.concat(keys, "bands")), Similarity(4, 5)).select("doc_id", "digest", "component"))
     discard(rows)
     return found
 
@@ -211,12 +219,21 @@ def components(docs: DataFrame, rows: DataFrame, least: Similarity) -> DataFrame
     member = settle(member.join(mixed, "key"))
     discard(held)
     rarest = _rarest(docs, known, member.where(F.col("members") > PAIRED).select("id"), least)
-    meeting = member.where(F.col("members") <= PAIRED).select("key", "id", "root").unionByName(rooted(rarest))
-    meeting = settle(meeting.join(known.select("id", "n", "bits"), "id"))
-    left, right = _side(meeting, "a", F.col("key"), F.col("root").alias("ra")), _side(meeting, "b", F.col("key"), F.col("root").alias("rb"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).where(_near(least)).select("a", "b").distinct()
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return _side(rows, name, F.col("key"), F.col("root").alias(f"r{name}"), *([F.col("place").alias(f"p{name}")] if "place" in rows.columns else []))
+
+    apart = (F.col("ra") != F.col("rb")) & _near(least)
+    few = settle(member.where(F.col("members") <= PAIRED).select("key", "id", "root").join(known.select("id", "n", "bits"), "id"))
+    pairs = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & apart).select("a", "b")
+    many = settle(rooted(rarest).join(known.select("id", "n", "bits"), "id"))
+    # b is the smaller set, or the one of the smaller id; what can follow the shared shingle in both must do.
+    num, den = least
+    smaller = side(many.where(F.col("place") <= F.floor(F.col("n") * (den - num) / (den + num)) + 1), "b")
+    follow = (den + num) * (1 + F.least(F.col("an") - F.col("pa"), F.col("bn") - F.col("pb"))) >= num * (F.col("an") + F.col("bn"))
+    met = side(many, "a").join(smaller, "key").where((F.struct("an", "a") > F.struct("bn", "b")) & follow & apart)
+    pairs = pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     more = _verified(docs, known, pairs, least)
-    discard(member, rarest, meeting, roots)
+    discard(member, rarest, few, many, roots)
     roots = least_reachable(links.unionByName(more))
     of = known.join(roots, F.col("id") == F.col("node"), "left").select("sid", F.coalesce("root", "id").alias("component"), F.col("doc_id").alias("own"))
     lowest = of.groupBy("component").agg(F.min("own").alias("in_component"))

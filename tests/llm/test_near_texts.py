@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from cardloom.llm import near_texts
 from tests.llm.helpers import awkward, documents
@@ -86,3 +86,18 @@ def test_long_texts_in_segments_and_empty_table(spark, monkeypatch):
     assert [r for r, _ in got] == [0, 1, 2, 3] and [near_texts.shingles(k).tolist() for _, k in got] == want
     assert near_texts.shingles(np.empty(0, np.uint64)).tolist() == []
     assert near_texts.similar_texts(documents(spark, [])).count() == 0
+
+
+def test_texts_of_one_template_don_t_meet(spark, monkeypatch):
+    """Many texts that share most of their shingles, none of them similar: few pairs are looked at."""
+    from pyspark.sql import functions as F
+
+    rnd, seen = random.Random(5), []
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, edited(rnd, base, 3)) for k in range(400)]
+    verified = near_texts._verified
+    monkeypatch.setattr(near_texts, "_verified", lambda docs, known, pairs, least: seen.append(pairs.count()) or verified(docs, known, pairs, least))
+    found = near_texts.similar_texts(documents(spark, rows))
+    groups = sorted(r["count"] for r in found.groupBy("component").agg(F.count("*").alias("count")).collect())
+    assert groups == sorted(Counter(groups_of([x for _, x in rows]).values()).values())
+    assert sum(seen) < 10 * len(rows)
