@@ -33,6 +33,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 found = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
                 sids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
                 yield pa.record_batch([part.column(0), part.column(2), sids, pa.array(size, pa.int64()), longs(map(bitmap, sets)), longs(band_keys(found))], ["doc_id", "digest", "sid", "n", "bits", "keys"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(text_of()).alias("text"), text_hash().alias("digest"))
     return rows.mapInArrow(run, "doc_id long, digest long, sid binary, n long, bits array<long>, keys array<long>")

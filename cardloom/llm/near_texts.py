@@ -36,7 +36,7 @@ PRINTS, RADIUS = 2, 4
 #: Longs of a set's bitmap, whose bits are parities: no more of them differ than members do.
 BITMAP = 8
 #: Rows of a batch that a worker takes at a time.
-PART = 500
+PART = 200
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -107,6 +107,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 bands = band_keys(signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])))
                 sids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
                 yield pa.record_batch([part.column(0), part.column(2), sids, pa.array(size, pa.int64()), longs(map(bitmap, sets)), longs(marks), longs(bands)], ["doc_id", "digest", "sid", "n", "bits", "prints", "bands"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(text_of()).alias("text"), text_hash().alias("digest"))
     return rows.mapInArrow(run, "doc_id long, digest long, sid binary, n long, bits array<long>, prints array<long>, bands array<long>")
@@ -142,6 +143,7 @@ def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, least: Simila
                         last, held = a, shingles(s)
                     good.append(similar(held, shingles(t), least))
                 yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
+            pa.default_memory_pool().release_unused()
 
     pairs = settle(pairs)
     held = settle(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), known))

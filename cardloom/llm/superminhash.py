@@ -18,7 +18,7 @@ M = BANDS * BAND
 #: Bits of a fraction, and of the draw of a place.
 FRACTION, DRAW = 40, 24
 #: Elements that draw from the second place on at a time; each holds its permutation.
-DRAWING = 1 << 16
+DRAWING = 1 << 14
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
