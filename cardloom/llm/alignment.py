@@ -3,7 +3,8 @@
 Texts are cut before each space that follows something else than white space.  Tokens of both end there,
 whatever stands around: A splits texts there before it merges, and no piece of B goes on after a space.  So
 what lies between two cuts is a unit that is tokenised, and aligned, alike wherever it stands.  A block of
-texts (about BLOCK bytes, whole texts) names each of its units once, and the corpus aligns each unit once.
+texts (about SCOPE bytes, taken BLOCK bytes at a time) names each of its units once, and the corpus aligns
+each unit once.
 
 All else is relational.  Tokens of a chunk of units are exploded with their places, running sums of their
 lengths give where they end, an equi-join on chunk and end finds the cuts, running counts of cuts give the
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import discard, lean, remove, settle, text_of, work_path
 from cardloom.llm.pieces import SPACE, PieceEncoder, byte_classes, byte_letters, library_encoder, locate, piece_keys, text_chunks
 
-#: Bytes of text in a block, and units in a chunk.
-BLOCK, CHUNK = 1 << 23, 1 << 15
-#: Lets a join on (chunk, end) use rows that are partitioned by chunk.
-SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.parquet.compression.codec": "zstd"}
+#: Bytes of text that a worker takes at a time, those in a block (one such part more at most), and units in a chunk.
+BLOCK, SCOPE, CHUNK = 1 << 22, 3 << 23, 1 << 15
+#: Lets a join on (chunk, end) use rows that are partitioned by chunk; lists of several keys are sorted, as a task can't hold them all.
+SETTINGS = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
 #: Row groups of few rows where rows are large, as a reader takes up to a row group at a time.
 LARGE_ROWS = {"parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1"}
 #: Figures of a unit that its text adds up.
@@ -121,44 +127,83 @@ def _structs(kind: pa.StructType, *columns: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(list(columns), fields=list(kind))
 
 
-def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One place of each distinct unit, which of them each unit is, and how often each occurs."""
-    keys, more = (piece_keys(buf, start, end, salt) for salt in (0, 1))
-    _, first, back, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+def _same(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct pair of keys, and which of them each pair is."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
     if (more != more[first][back]).any():  # the same 64 bits for two units: all 128 tell them apart
-        _, first, back, times = np.unique(np.stack([keys, more], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-    return first, back.ravel(), times
+        _, first, back = np.unique(np.stack([keys, more], 1), axis=0, return_index=True, return_inverse=True)
+    return first, back.ravel()
+
+
+class Part(NamedTuple):
+    """Texts of a block: their ids and numbers of units; the distinct units, their keys and texts, and which each unit is."""
+
+    ids: pa.Array
+    size: np.ndarray
+    keys: np.ndarray
+    more: np.ndarray
+    said: pa.Array
+    unit: np.ndarray
+
+
+def _part(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> Part:
+    buf, offsets = _spaced(buf, offsets)
+    start = unit_starts(buf, offsets)
+    end = np.append(start[1:], len(buf))[: len(start)]
+    keys, more = (piece_keys(buf, start, end, salt) for salt in (0, 1))
+    first, unit = _same(keys, more)
+    said = pa.array([buf[s:e].tobytes() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    return Part(ids, np.diff(np.searchsorted(start, offsets)), keys[first], more[first], said, unit.astype(np.int32))
+
+
+def _block(number: int, parts: list[Part]) -> Iterator[pa.RecordBatch]:
+    """A row for each part; the first has the units of all, the most frequent ones first."""
+    first, back = _same(np.concatenate([p.keys for p in parts]), np.concatenate([p.more for p in parts]))
+    bound = np.cumsum([0] + [len(p.keys) for p in parts])
+    times = np.zeros(len(first), np.int64)
+    for p, a, b in zip(parts, bound[:-1], bound[1:], strict=True):
+        times[back[a:b]] += np.bincount(p.unit, minlength=b - a)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    units = _structs(UNIT, pa.concat_arrays([p.said for p in parts]).take(pa.array(first[order])), pa.array(times[order]))
+    for p, a, b in zip(parts, bound[:-1], bound[1:], strict=True):
+        docs = _structs(DOC, p.ids, _lists(p.size, pa.array(rank[back[a:b]][p.unit])))
+        yield pa.record_batch([pa.array([number], pa.int64()), _lists(np.array([len(docs)]), docs), _lists(np.array([len(units)]), units)], ["block", "docs", "units"])
+        units = units.slice(0, 0)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, docs (doc_id, numbers of their units), units (and how often each occurs) for texts (doc_id, text)."""
-    number = TaskContext.get().partitionId() << 32
+    number, parts, size = TaskContext.get().partitionId() << 32, [], 0
     for ids, texts in _gathered(batches):
         for a, b, buf, offsets in text_chunks(texts, BLOCK):
-            buf, offsets = _spaced(buf, offsets)
-            start = unit_starts(buf, offsets)
-            size, end = np.diff(np.searchsorted(start, offsets)), np.append(start[1:], len(buf))
-            first, unit, times = _distinct(buf, start, end) if len(start) else (np.empty(0, np.int64),) * 3
-            said = pa.array([buf[s:e].tobytes() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.binary()).cast(pa.string())
-            docs = _structs(DOC, ids[a:b], _lists(size, pa.array(unit.astype(np.int32))))
-            units = _structs(UNIT, said, pa.array(times.astype(np.int64)))
-            yield pa.record_batch([pa.array([number], pa.int64()), _lists(np.array([b - a]), docs), _lists(np.array([len(said)]), units)], ["block", "docs", "units"])
-            number += 1
+            parts.append(_part(ids.slice(a, b - a), buf, offsets))
+            size += len(buf)
+            if size >= SCOPE:
+                yield from _block(number, parts)
+                number, parts, size = number + 1, [], 0
+        pa.default_memory_pool().release_unused()
+    if parts:
+        yield from _block(number, parts)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """ids and texts of about BLOCK bytes."""
+    """ids and texts of at least BLOCK bytes."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.column(1).nbytes
         if size >= BLOCK:
-            table = pa.Table.from_batches(held)
-            yield table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks()
+            yield _joined(held)
             held, size = [], 0
     if held:
-        table = pa.Table.from_batches(held)
-        yield table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks()
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    table = pa.Table.from_batches(held)
+    return table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
@@ -242,8 +287,8 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     or share a doc_id, or have a null one, are texts of their own; other columns are ignored; an empty table
     gives no rows.
 
-    A block with all its texts, or a single longer text, is one row, so a task holds about ten bytes for each byte
-    of a block, or of the longest text.  A unit (a stretch without a space) goes to the tokenizers whole.  A hot
+    The units of a block are one row, its texts, or a single longer one, are rows of BLOCK bytes, so a task holds
+    about ten bytes for each byte of such a row, and five for each of a block.  A unit (a stretch without a space) goes to the tokenizers whole.  A hot
     unit has one row for each block, a hot pair of ids one for each unit that holds it, and what is left of both
     is split as skewed joins are.  Runs jobs when it is called; the result reads two of the folders they write.
     """
@@ -264,12 +309,14 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     counted, third = _written(counted, "counts")
     discard(pairs)
     figures = named.join(spelt(places), ["chunk", "number"]).join(counted, ["chunk", "number"])
-    figures, _ = _written(figures.select("unit", *FIGURES, "groups"), "figures")
+    figures, fourth = _written(figures.select("unit", *FIGURES, "groups"), "figures")
     for path in (first, second, third):
         remove(spark, path)
 
     # The texts of a block look their units up by number.
     table = units.select("block", "number", "u.unit").join(figures, "unit").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", *FIGURES, "groups"))).alias("table"))
+    table, _ = _written(table, "tables", LARGE_ROWS)
+    remove(spark, fourth)
     rows = made.select("block", "docs").join(table, "block", "left")
     rows = rows.select(F.explode(F.transform("docs", lambda d: _looked_up(F.col("table"), d))).alias("d")).select("d.*")
     # A group ends with a link, and has a comma between any two tokens of one side.

@@ -77,8 +77,9 @@ def test_alignment_of_awkward_texts(spark, tmp_path, monkeypatch):
     more = ["a▁b c", " ", "x ", "tab\t then \n  new  line\n\n  x", "<0x41> <s> </s> <unk>\x00 z", "　 a  b", "  a   b", " \n a", "don't  stop", "é" * 50]
     rows = [*awkward(), *[(500 + i, t) for i, t in enumerate(more)], (500, "again"), (None, "again")]
     want = sorted(plain_alignment(rows), key=str)
-    for block, chunk in ((alignment.BLOCK, alignment.CHUNK), (200, 7)):
+    for block, scope, chunk in ((alignment.BLOCK, alignment.SCOPE, alignment.CHUNK), (200, 200, 7), (100, 900, 7)):
         monkeypatch.setattr(alignment, "BLOCK", block)
+        monkeypatch.setattr(alignment, "SCOPE", scope)
         monkeypatch.setattr(alignment, "CHUNK", chunk)
         found = alignment.align(documents(spark, rows, clashing=True), "byte_bpe_50k.json", "piece_bpe_32k.model")
         got = [(*map(int, r[1:7]), sha(r.groups) if r.groups else "") for r in found.collect()]
@@ -90,8 +91,8 @@ def test_alignment_of_awkward_texts(spark, tmp_path, monkeypatch):
 def test_units_begin_where_both_tokenizers_end(spark):
     buf = np.frombuffer(" a  b\n c   d".encode(), np.uint8)
     assert alignment.unit_starts(buf, np.array([0, len(buf)])).tolist() == [0, 2, 8]
-    first, back, times = alignment._distinct(buf, np.array([0, 2]), np.array([2, 5]))
-    assert len(first) == 2 and back.tolist() != [0, 0] and times.tolist() == [1, 1]
+    first, back = alignment._same(np.array([7, 7, 7], np.uint64), np.array([1, 2, 1], np.uint64))
+    assert len(first) == 2 and back[0] == back[2] != back[1]
     assert shared_dir(spark)
 
 
