@@ -18,6 +18,7 @@ from cardloom.functions.text import cjk_count, estimated_tokens, image_scale, im
 from cardloom.operators import chunks, critique, duplicates, export, images, ledger, matching, requests, review
 from cardloom.operators import sections as sectioning
 from cardloom.operators.cards import by_bloom, by_type, parse_responses, score_cards, valid_cards
+from cardloom.operators.edges import score_edges
 from cardloom.operators.scan import numbered_rows
 from cardloom.plans.convert import critique_requests, preview, run_quality
 from cardloom.schemas import BLOOM_LEVELS, CARD, CARD_TYPES, WEIGHTS
@@ -702,6 +703,57 @@ def eval_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("case_id", F.col("card_idx").cast("long"))
 
 
+#: Conversations, or benchmark items, of a case whose cards are whole turns and whose keywords are all words of the items.
+CASE = 2
+WHOLE = f"""turns AS (
+    SELECT conv_id, turn, role, text, lead(role) OVER w AS role2, lead(text) OVER w AS text2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), cards AS (
+    SELECT 'case-' || (conv_id // {CASE}) AS source_file, row_number() OVER (PARTITION BY conv_id // {CASE} ORDER BY conv_id, turn) - 1 AS card_idx,
+        text AS front, text2 AS back, {_names(CARD_TYPES)}[conv_id % 8 + 1] AS card_type
+    FROM turns WHERE role = 'user' AND role2 = 'assistant'
+), expected AS (
+    SELECT 'case-' || (item_id // {CASE}) AS case_id, row_number() OVER (PARTITION BY item_id // {CASE} ORDER BY item_id) - 1 AS exp_idx,
+        list_filter(w, lambda x, i: i % 2 = 1) AS fk, list_filter(w, lambda x, i: i % 2 = 0) AS bk, CASE WHEN item_id % 2 = 0 THEN {_names(CARD_TYPES)}[item_id % 8 + 1] END AS wanted
+    FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda x: lower(x)) AS w FROM benchmark)
+), {EXPECTED[EXPECTED.index("scores AS ("):]}"""
+
+
+def _whole_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    i, c = F.col("item_id"), F.col("conv_id")
+    case = lambda n: F.floor(n / CASE)
+    pick = lambda n: F.element_at(F.array(*map(F.lit, CARD_TYPES)), (n % 8 + 1).cast("int"))
+    number = lambda n, *by: (F.row_number().over(Window.partitionBy(case(n)).orderBy(*by)) - 1)
+    words = F.transform(F.split("text", " "), F.lower)
+    items = _table(spark, sf_dir, "benchmark").select(i, words.alias("w"))
+    nth = lambda r: F.filter("w", lambda x, k: k % 2 == r)
+    expected = items.select(F.concat(F.lit("case-"), case(i)).alias("case_id"), number(i, "item_id").alias("exp_idx"), nth(0).alias("front_keywords"), nth(1).alias("back_keywords"), F.when(i % 2 == 0, pick(i)).alias("wanted_type"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = _table(spark, sf_dir, "conversations").withColumns({"role2": F.lead("role").over(w), "back": F.lead("text").over(w)}).where("role = 'user' AND role2 = 'assistant'")
+    return expected, turns.select(F.concat(F.lit("case-"), case(c)).alias("case_id"), number(c, "conv_id", "turn").alias("card_idx"), F.col("text").alias("front"), "back", pick(c).alias("card_type"))
+
+
+@query(f"WITH {WHOLE} SELECT case_id, exp_idx, card_idx, round(score, 9) AS score FROM scores WHERE score > 0")
+def keyword_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2, A13, A14 as sparse edges: whole texts, read once by an automaton over a case's keywords."""
+    found = score_edges(*_whole_cases(spark, sf_dir))
+    return found.select("case_id", F.col("exp_idx").cast("long"), F.col("card_idx").cast("long"), F.round("score", 9).alias("score"))
+
+
+@query(
+    MATCHED.replace(EXPECTED, WHOLE, 1)
+    + """ SELECT m.case_id, count(gen_idx) AS n_matched, count(*) AS n_expected, coalesce(any_value(g.n), 0) AS n_generated, round(count(gen_idx) / count(*), 9) AS recall, coalesce(sum(gen_idx), -1)::BIGINT AS taken,
+        round(sum(similarity), 9) AS similarity
+    FROM matched m LEFT JOIN (SELECT source_file, count(*) AS n FROM cards GROUP BY 1) g ON g.source_file = m.case_id GROUP BY 1"""
+)
+def whole_text_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9, A6 by whole texts: what each case matched, and how well."""
+    expected, generated = _whole_cases(spark, sf_dir)
+    matches = settle(matching.greedy_match(expected, generated))  # read twice
+    added = matches.groupBy("case_id").agg(F.coalesce(F.sum("gen_idx"), F.lit(-1)).cast("long").alias("taken"), F.round(F.sum("similarity"), 9).alias("similarity"))
+    found = matching.case_recall(matches, generated).withColumn("recall", F.round("recall", 9))
+    return found.join(added, "case_id")
+
+
 DOCUMENT_CARDS = """cards AS (
     SELECT doc_id, doc_id::VARCHAR AS source_file, 0 AS card_idx, 'What does ' || source || ' say?' AS front, text AS back, 'summary_point' AS card_type, 'understand' AS bloom_level, [lang, 'doc::' || source] AS tags FROM documents
 )"""
@@ -887,7 +939,7 @@ def table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cards_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P6."""
-    cards = cards_of(spark, sf_dir).cache()
+    cards = cards_of(spark, sf_dir)
     count = lambda rows, name: rows.groupBy("source_file").agg(F.count("*").alias(name))
     found = cards.select("source_file").distinct().join(count(by_type(cards, "qa"), "n_qa"), "source_file", "left").join(count(by_bloom(cards, "apply"), "n_apply"), "source_file", "left")
     return found.fillna(0)

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.similarity import pair_score
+from cardloom.operators.edges import sparse_match
 
 MATCH_AT = 0.3
 
 
 def score_matrix(expected: DataFrame, generated: DataFrame) -> DataFrame:
-    """case_id, exp_idx, scores (array by gen_idx order) for every expected card."""
+    """case_id, exp_idx, scores (array by gen_idx order) for every expected card; edges.score_edges() gives those above 0 alone."""
     cards = generated.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("card_idx", "front", "back", "card_type"))).alias("cards"))
     rows = expected.join(cards, "case_id", "left").withColumn("cards", F.coalesce("cards", F.array().cast("array<struct<card_idx:int,front:string,back:string,card_type:string>>")))
     each = lambda c: pair_score(F.col("front_keywords"), F.col("back_keywords"), F.col("wanted_type"), c["front"], c["back"], c["card_type"])
@@ -19,25 +20,8 @@ def score_matrix(expected: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def greedy_match(expected: DataFrame, generated: DataFrame, threshold: float = MATCH_AT) -> DataFrame:
-    """case_id, exp_idx, gen_idx (null without a match), similarity (0 without a match).
-
-    In the order of expected cards, each takes the best card not yet taken, the first of equals, if it
-    scores above 0 and at least the threshold.  The order makes this a fold over one case.
-    """
-    cases = score_matrix(expected, generated).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("exp_idx", "scores"))).alias("rows"), F.first("gen").alias("gen"))
-    state = "struct<used:array<int>,out:array<struct<exp_idx:int,at:int,similarity:double>>>"
-
-    def step(acc: Column, row: Column) -> Column:
-        free = F.transform(row["scores"], lambda s, i: F.when(F.array_contains(acc["used"], i.cast("int")), F.lit(-1.0)).otherwise(s))
-        best = F.coalesce(F.array_max(free), F.lit(0.0))
-        at = (F.array_position(free, best) - 1).cast("int")
-        hit = (best > 0) & (best >= F.lit(threshold))
-        found = F.struct(row["exp_idx"].cast("int").alias("exp_idx"), F.when(hit, at).alias("at"), F.when(hit, best).otherwise(F.lit(0.0)).alias("similarity"))
-        return F.struct(F.when(hit, F.array_append(acc["used"], at)).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], found).alias("out"))
-
-    start = F.from_json(F.lit('{"used":[],"out":[]}'), state)
-    folded = cases.select("case_id", "gen", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("m"))
-    return folded.select("case_id", "m.exp_idx", F.get("gen", F.col("m.at")).alias("gen_idx"), "m.similarity")
+    """case_id, exp_idx, gen_idx (null without a match), similarity (0 without a match); see edges.sparse_match()."""
+    return sparse_match(expected, generated, threshold)
 
 
 def unmatched(generated: DataFrame, matches: DataFrame) -> DataFrame:
