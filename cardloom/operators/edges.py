@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import pyarrow as pa
@@ -13,54 +14,64 @@ from pyspark.sql import functions as F
 SHARD = 256
 #: The weights of a pair's score (fixed values): keywords of each side, and the type, where one is wanted; else keywords alone.
 TYPED, BONUS, PLAIN = 0.4, 0.2, 0.5
-HITS = "case_id string, card_idx int, side string, keyword string"
+EDGES = "case_id string, exp_idx int, card_idx int, score double"
 
 
-def _automaton(words: list[str]) -> ahocorasick.Automaton | None:
+def _automaton(wanted: list[dict], side: str) -> tuple[ahocorasick.Automaton | None, dict[str, dict[int, int]]]:
+    """Finds the keywords of one side; by keyword, how often each expected card (by its place) lists it."""
+    listed: dict[str, dict[int, int]] = {}
+    for at, one in enumerate(wanted):
+        for word in one[side] or []:
+            if word is not None:
+                times = listed.setdefault(word, {})
+                times[at] = times.get(at, 0) + 1
     made = ahocorasick.Automaton()
-    for word in words:
+    for word in listed:
         if word:
             made.add_word(word, word)
     if not len(made):
-        return None
+        return None, listed
     made.make_automaton()
-    return made
+    return made, listed
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """case_id, card_idx, side, keyword of every distinct hit, for shards (case_id, front, back: keywords; cards)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            out: list[tuple[str, int, str, str]] = []
-            for side in ("front", "back"):
-                words = [w for w in row[side] or [] if w is not None]
-                made, always = _automaton(words), {""} & set(words)  # every text contains the empty keyword
-                for card in row["cards"]:
-                    text = card[side]
-                    if text is not None:
-                        found = always | ({w for _, w in made.iter(text)} if made else set())
-                        out += [(row["case_id"], card["card_idx"], side, w) for w in found]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["case_id", "card_idx", "side", "keyword"])
+def _found(text: str | None, made: ahocorasick.Automaton | None, listed: dict[str, dict[int, int]]) -> dict[int, int]:
+    """How many of its keywords the text contains, for each expected card that has one there."""
+    count: dict[int, int] = {}
+    if text is not None:
+        words = {w for _, w in made.iter(text)} if made else set()
+        for word in words | ({""} & listed.keys()):  # every text contains the empty keyword
+            for at, times in listed[word].items():
+                count[at] = count.get(at, 0) + times
+    return count
 
 
-def _keywords(expected: DataFrame) -> DataFrame:
-    """case_id, exp_idx, side, keyword and how often an expected card lists it there."""
-    each = lambda side: expected.select("case_id", "exp_idx", F.lit(side).alias("side"), F.explode(f"{side}_keywords").alias("keyword"))
-    return each("front").unionByName(each("back")).groupBy("case_id", "exp_idx", "side", "keyword").agg(F.count("*").alias("times"))
+def _score(one: dict, front: int, back: int, kind: str | None) -> float:
+    f = front / len(one["front"]) if one["front"] else 0.0
+    b = back / len(one["back"]) if one["back"] else 0.0
+    if one["kind"] is None:
+        return f * PLAIN + b * PLAIN
+    return f * TYPED + b * TYPED + (1.0 if kind == one["kind"] else 0.0) * BONUS
 
 
-def keyword_hits(expected: DataFrame, generated: DataFrame) -> DataFrame:
-    """case_id, card_idx, side, keyword: which keywords of its case each side of a card contains.
-
-    One automaton over a case's keywords reads each text once, whatever their number.
-    """
-    listed = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("keyword"))).alias(side)
-    words = _keywords(expected).groupBy("case_id").agg(listed("front"), listed("back"))
-    card = F.struct(F.col("card_idx").cast("int").alias("card_idx"), "front", "back")
-    shards = generated.groupBy("case_id", F.floor(F.col("card_idx") / SHARD).alias("shard")).agg(F.collect_list(card).alias("cards"))
-    return shards.join(words, "case_id").select("case_id", "front", "back", "cards").mapInArrow(_hits, HITS)
+def _edges(batches: Iterator[pa.RecordBatch], by_type: bool) -> Iterator[pa.RecordBatch]:
+    """The edges of shards (case_id, cards, wanted: expected cards)."""
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
+    for batch in batches:
+        for row in batch.to_pylist():
+            wanted, out, alike = row["wanted"], [], {}
+            sides = [_automaton(wanted, side) for side in ("front", "back")]
+            for at, one in enumerate(wanted):
+                alike.setdefault(one["kind"], set()).add(at)
+            for card in row["cards"]:
+                front, back = (_found(card[side], *s) for side, s in zip(("front", "back"), sides, strict=True))
+                typed = alike.get(card["kind"], set()) if by_type and card["kind"] is not None else set()
+                for at in front.keys() | back.keys() | typed:
+                    score = _score(wanted[at], front.get(at, 0), back.get(at, 0), card["kind"])
+                    if score > 0:
+                        out.append((row["case_id"], wanted[at]["exp_idx"], card["card_idx"], score))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["case_id", "exp_idx", "card_idx", "score"])
 
 
 def score_edges(expected: DataFrame, generated: DataFrame, by_type: bool = True) -> DataFrame:
@@ -69,26 +80,14 @@ def score_edges(expected: DataFrame, generated: DataFrame, by_type: bool = True)
     expected: case_id, exp_idx, front_keywords, back_keywords, wanted_type (or null); generated: case_id, card_idx,
     front, back, card_type.  Repeated keywords count as often as they are listed; a side without keywords scores 0,
     a null text contains nothing.  by_type: also the pairs that share no keyword but the wanted type, which
-    score BONUS; without it the work follows the keywords that occur.
+    score BONUS; without it the work follows the keywords that occur.  One automaton over the keywords of a case
+    reads each text once, whatever their number; the expected cards of a case meet in one row, its generated ones don't.
     """
-    side = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("times"))), F.lit(0)).alias(f"{name}_found")
-    met = keyword_hits(expected, generated).join(_keywords(expected), ["case_id", "side", "keyword"])
-    found = met.groupBy("case_id", "exp_idx", "card_idx").agg(side("front"), side("back"))
-    wants = expected.select("case_id", "exp_idx", F.size("front_keywords").alias("front_n"), F.size("back_keywords").alias("back_n"), "wanted_type")
-    kinds = generated.select("case_id", F.col("card_idx").cast("int").alias("card_idx"), "card_type")
-    if by_type:
-        alike = wants.join(kinds, (wants.case_id == kinds.case_id) & (wants.wanted_type == kinds.card_type)).select(wants.case_id, "exp_idx", "card_idx", F.lit(0).cast("long").alias("front_found"), F.lit(0).cast("long").alias("back_found"))
-        found = found.unionByName(alike).groupBy("case_id", "exp_idx", "card_idx").agg(F.max("front_found").alias("front_found"), F.max("back_found").alias("back_found"))
-    rows = found.join(wants, ["case_id", "exp_idx"]).join(kinds, ["case_id", "card_idx"])
-    return rows.select("case_id", "exp_idx", "card_idx", _score().alias("score")).where("score > 0")
-
-
-def _score() -> Column:
-    share = lambda side: F.when(F.col(f"{side}_n") > 0, F.col(f"{side}_found") / F.col(f"{side}_n").cast("double")).otherwise(F.lit(0.0))
-    f, b = share("front"), share("back")
-    bonus = F.when(F.col("card_type") == F.col("wanted_type"), F.lit(1.0)).otherwise(F.lit(0.0))
-    typed = f * F.lit(TYPED) + b * F.lit(TYPED) + bonus * F.lit(BONUS)
-    return F.when(F.col("wanted_type").isNotNull(), typed).otherwise(f * F.lit(PLAIN) + b * F.lit(PLAIN))
+    one = F.struct(F.col("exp_idx").cast("int").alias("exp_idx"), F.col("front_keywords").alias("front"), F.col("back_keywords").alias("back"), F.col("wanted_type").alias("kind"))
+    card = F.struct(F.col("card_idx").cast("int").alias("card_idx"), "front", "back", F.col("card_type").alias("kind"))
+    wanted = expected.groupBy("case_id").agg(F.collect_list(one).alias("wanted"))
+    shards = generated.groupBy("case_id", F.floor(F.col("card_idx") / SHARD).alias("shard")).agg(F.collect_list(card).alias("cards"))
+    return shards.join(wanted, "case_id").select("case_id", "cards", "wanted").mapInArrow(partial(_edges, by_type=by_type), EDGES)
 
 
 def sparse_match(expected: DataFrame, generated: DataFrame, threshold: float) -> DataFrame:
