@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cardloom.settling import discard, lean, remove, settle, shared_dir, work_path
 
-__all__ = ["WORD", "discard", "lean", "lower_ascii", "remove", "settle", "shared_dir", "text_of", "work_path"]
+__all__ = ["SPACES", "STEP", "WORD", "discard", "lean", "lower_ascii", "remove", "settle", "shared_dir", "steps", "text_of", "work_path"]
 
 #: Bytes that separate words: space and U+0009 to U+000D.  Python's bytes.split() uses the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a long text that a worker takes at a time.
+STEP = 1 << 21
 
 
 def text_of(name: str = "text") -> Column:
@@ -21,3 +27,13 @@ def text_of(name: str = "text") -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def steps(data: bytes, mark: re.Pattern[bytes]) -> Iterator[bytes]:
+    """Data in stretches of STEP bytes and as many more as lie before a mark, with which the next one begins."""
+    at = 0
+    while at < len(data):
+        found = mark.search(data, at + STEP)
+        end = found.start() if found else len(data)
+        yield data[at:end]
+        at = end

@@ -16,34 +16,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import discard, settle, text_of
+from cardloom.llm.common import SPACES, discard, settle, steps, text_of
 
 BITS = 64
 #: Buckets of up to so many fingerprints compare them in pairs; larger ones link them through points.
 PAIRED = 32
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Bit b is 1 if it is set in over half the hashes of the shingles, repeats included; no words: 0."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z alone, and ASCII white space
-    if not words:
-        return 0
-    if len(words) < shingle:
-        runs = [b" ".join(words)]
-    else:
-        runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, seed) for x in runs], np.uint64)
-    return majority(hashes)
+def fingerprint(text: str | bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """Bit b is 1 if it is set in over half the hashes of the shingles, repeats included; no words: 0.
 
-
-def majority(hashes: np.ndarray) -> int:
-    """Bit b is 1 if it is set in over half the hashes."""
+    Holds the text and, beside it, the words of a stretch of STEP bytes: some 60 MB, however long the text is.
+    """
+    data = text.encode() if isinstance(text, str) else text or b""
+    digest, ones, total, held = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0, []
+    for part in steps(data, SPACES):
+        words = held + part.lower().split()  # of bytes: A-Z alone, and ASCII white space
+        if len(words) >= shingle:
+            runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+            hashes = np.array([digest(x, seed) for x in runs], np.uint64)
+            ones += ones_in(hashes)
+            total += len(hashes)
+        held = words[max(0, len(words) - shingle + 1) :]
+    if not total and held:
+        ones, total = ones_in(np.array([digest(b" ".join(held), seed)], np.uint64)), 1
+    return most_of(ones, total)
+
+
+def ones_in(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
     ones = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         part = hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return ones
+
+
+def most_of(ones: np.ndarray, total: int) -> int:
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half the hashes."""
+    return most_of(ones_in(hashes), len(hashes))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -51,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, len(batch))
+            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())), np.uint64, len(batch))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "digest", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), text_hash().alias("digest")).mapInArrow(run, "doc_id long, digest long, fp long")
