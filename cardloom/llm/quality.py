@@ -16,11 +16,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cardloom.llm.common import text_of
+from cardloom.llm.common import SPACES, STEP, steps, text_of
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "doubled_symbols", "top_symbol", "distinct_words",
@@ -30,40 +31,83 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 PLAIN = np.frombuffer(b".,", np.uint8)
 CAPITAL = re.compile(rb"(?:^|[\x20\x09-\x0D])[A-Z]")
+NEWLINE = re.compile(rb"\n")
 
 
 def features(text: str | None) -> list[float]:
-    """The features of a text; a null or empty one has defined values too."""
+    """The features of a text; a null or empty one has defined values too.
+
+    Holds the text as bytes, the words or lines of a stretch of STEP bytes, and eight bytes for each distinct
+    word and line of a longer text; a line of any length is taken whole.
+    """
     data = (text or "").encode("utf-8", "replace")
-    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
-    n, w = max(1, len(data)), max(1, len(words))
-    raw = np.frombuffer(data, np.uint8)
-    count = np.bincount(raw, minlength=256)
+    words, short, capitals, said = 0, 0, 0, Distinct()
+    for part in steps(data, SPACES):
+        found = part.split()
+        words += len(found)
+        short += sum(len(x) < 4 for x in found)
+        capitals += sum(1 for _ in CAPITAL.finditer(part))
+        said.add(found)
+    lines, rows = 0, Distinct()
+    for part in steps(data, NEWLINE):
+        filled = [x for x in part.split(b"\n") if x.strip()]
+        lines += len(filled)
+        rows.add(filled)
+    n, w = max(1, len(data)), max(1, words)
+    raw, count, doubled = np.frombuffer(data, np.uint8), np.zeros(256, np.int64), 0
+    for a in range(0, len(raw), STEP):
+        part = raw[a : a + STEP + 1]
+        count += np.bincount(part[:STEP], minlength=256)
+        doubled += int(SYMBOL[part[1:][part[1:] == part[:-1]]].sum())
     symbols = count * SYMBOL
     symbols[PLAIN] = 0
     letters = max(1, int(count[65:91].sum() + count[97:123].sum()))
-    same = raw[1:][(raw[1:] == raw[:-1])]
     share = count[count > 0] / n
     return [
         math.log1p(len(data)),
-        math.log1p(len(words)),
+        math.log1p(words),
         len(data) / w,
         float(count[65:91].sum()) / letters,
         float(count[48:58].sum()) / n,
         float(symbols.sum()) / n,
-        float(SYMBOL[same].sum()) / w,
+        float(doubled) / w,
         float(symbols.max()) / w,
-        len(set(words)) / w,
-        1 - len(set(lines)) / max(1, len(lines)),
-        math.log1p(w / max(1, len(lines))),
+        len(said) / w,
+        1 - len(rows) / max(1, lines),
+        math.log1p(w / max(1, lines)),
         float(count[46] + count[33] + count[63]) / w,
         float(count[128:].sum()) / n,
-        len(CAPITAL.findall(data)) / w,
+        capitals / w,
         float(-(share * np.log2(share)).sum()) if len(data) else 0.0,
-        sum(len(x) < 4 for x in words) / w,
+        short / w,
     ]
 
 
+class Distinct:
+    """Counts distinct strings: one stretch's as they are, those of several by 64 bits of hash each."""
+
+    def __init__(self):
+        self.first: set[bytes] = set()
+        self.hashes: np.ndarray | None = None
+        self.stretches = 0
+
+    def add(self, found: list[bytes]) -> None:
+        self.stretches += 1
+        if self.stretches == 1:
+            self.first = set(found)
+            return
+        if self.hashes is None:
+            self.hashes, self.first = self._hashed(self.first), set()
+        self.hashes = np.union1d(self.hashes, self._hashed(set(found)))
+
+    @staticmethod
+    def _hashed(found: set[bytes]) -> np.ndarray:
+        return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+
+    def __len__(self) -> int:
+        return len(self.first) if self.hashes is None else len(self.hashes)
+
+
 @dataclass
 class Model:
     """Lookup tables by feature and by pair; a score is the logistic of their sum."""
