@@ -23,7 +23,7 @@ from cardloom.operators.scan import numbered_rows
 from cardloom.plans.convert import critique_requests, preview, run_quality
 from cardloom.schemas import BLOOM_LEVELS, CARD, CARD_TYPES, WEIGHTS
 from cardloom.settling import remove, settle, work_path
-from cardloom.sources import files
+from cardloom.sources import files, sink
 from cardloom.sources.cache import cache_misses
 from cardloom.streaming.ingest import spending_by_window
 
@@ -794,6 +794,21 @@ def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.tsv_documents(cards_of(spark, sf_dir)).withColumn("tsv", F.md5("tsv"))
 
 
+@query(
+    f"""WITH {CARDS}, r AS (SELECT source_file, card_idx, card_type, {_tsv("front")} AS f, {_tsv("back")} AS b, array_to_string(list_concat(tags, ['bloom::' || bloom_level]), ' ') AS t FROM cards
+    ), w AS (SELECT source_file, card_idx, 0 AS k, f || chr(9) || b || chr(9) || t AS row FROM r UNION ALL SELECT source_file, card_idx, 1, b || chr(9) || f || chr(9) || t FROM r WHERE card_type = 'reversible')
+    SELECT source_file || '.tsv' AS file, md5('#separator:tab' || chr(10) || '#html:true' || chr(10) || '#tags column:3' || chr(10) || string_agg(row, chr(10) ORDER BY card_idx, k)) AS content FROM w GROUP BY source_file"""
+)
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K6, K8: files that tasks wrote, read back whole.  Writes, reads and removes a folder when it is called."""
+    path = work_path(spark, "files")
+    sink.write_cards(cards_of(spark, sf_dir), path, "tsv")
+    found = spark.read.format("binaryFile").load(path)
+    found = settle(found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.md5("content").alias("content")))
+    remove(spark, path)
+    return found
+
+
 @query(
     f"""WITH {CARDS} SELECT source_file, card_idx, CASE card_type WHEN 'cloze' THEN 'Cloze' WHEN 'reversible' THEN 'Basic (and reversed card)' ELSE 'Basic' END AS model,
         CASE WHEN card_type = 'cloze' THEN 'Extra,Text' ELSE 'Back,Front' END AS fields, len(tags) + 1 AS n_tags FROM cards"""
@@ -822,8 +837,9 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CARDS}, n AS (SELECT row_number() OVER (ORDER BY source_file, card_idx) AS place FROM cards) SELECT count(*) AS total, count(*) FILTER (WHERE place % 9 <> 0) AS added, count(*) FILTER (WHERE place % 9 = 0) AS failed,
     string_agg('Card ' || place || ' failed to add', ';' ORDER BY place) FILTER (WHERE place % 9 = 0) AS errors FROM n""")
 def push_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.orderBy("source_file", "card_idx"))  # a push goes card by card
-    answers = cards_of(spark, sf_dir).select((place - 1).alias("position"), F.when(place % 9 != 0, place).alias("note_id"))
+    placed = numbered_rows(cards_of(spark, sf_dir).select("source_file", "card_idx"), "position", [], ["source_file", "card_idx"])  # a push goes card by card
+    place = F.col("position") + 1
+    answers = placed.select("position", F.when(place % 9 != 0, place).alias("note_id"))
     return export.push_report(answers).withColumn("errors", F.array_join("errors", ";"))
 
 

@@ -49,13 +49,18 @@ def tsv_documents(cards: DataFrame, extra: list[str] | None = None) -> DataFrame
 
 def json_documents(cards: DataFrame, model_used: str, generated_at: str | None = None) -> DataFrame:
     """source_file and its cards as a JSON document with metadata; nulls are written."""
-    stamp = generated_at or datetime.now(UTC).isoformat()
     met = cards.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("card_idx", F.struct(*CARD_FIELDS).alias("card")))).alias("c"))
-    meta = F.struct(F.lit(JSON_VERSION).alias("schema_version"), F.lit(stamp).alias("generated_at"))
-    document = F.struct("source_file", F.transform("c", lambda x: x["card"]).alias("cards"), F.lit(model_used).alias("model_used"), meta.alias("_meta"))
+    document = F.struct("source_file", F.transform("c", lambda x: x["card"]).alias("cards"), *json_meta(model_used, generated_at))
     return met.select("source_file", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def json_meta(model_used: str, generated_at: str | None = None) -> list[Column]:
+    """What follows the cards of a JSON document: model_used and _meta."""
+    stamp = generated_at or datetime.now(UTC).isoformat()
+    meta = F.struct(F.lit(JSON_VERSION).alias("schema_version"), F.lit(stamp).alias("generated_at"))
+    return [F.lit(model_used).alias("model_used"), meta.alias("_meta")]
+
+
 def notes(cards: DataFrame, deck: str, models: dict[str, str] | None = None) -> DataFrame:
     """source_file, card_idx, note."""
     names = models or NOTE_MODELS
@@ -158,7 +163,7 @@ def _below(path: PurePosixPath, sources: list[str]) -> PurePosixPath:
 
 
 def write_documents(documents: DataFrame, column: str, folder: str, suffix: str) -> list[Path]:
-    """K6, K8: one file for each source on the driver's disk, written over what is there; for small results.
+    """K6, K8: one file for each source on the driver's disk, written over what is there; for small results (sources.sink has tasks write).
 
     Sources with one stem keep the folders below the one that they share, so none replaces another; those
     that differ in their suffix alone keep it.
