@@ -15,6 +15,7 @@ from cardloom.functions.similarity import bigrams, jaccard, tokens
 from cardloom.functions.text import let
 from cardloom.settling import settle
 
+# The thresholds of both tables.
 #: The least similarity that any rule accepts, by the set that it compares.
 FLOOR = {"f": 0.5, "t": 0.5, "b": 0.35}
 #: What meets by which set, above which similarity: (set, threshold, same type, same tags).

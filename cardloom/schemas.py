@@ -20,6 +20,7 @@ WEIGHTS = {
     "atomicity": 0.15,
 }
 
+# The fields of cards and sections, in their order.
 CARD = (
     "struct<front:string,back:string,card_type:string,bloom_level:string,tags:array<string>,"
     "related_concepts:array<string>,mnemonic_hint:string,media:array<string>>"

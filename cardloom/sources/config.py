@@ -19,6 +19,7 @@ DEFAULT_TYPES = ("qa", "term_definition", "summary_point", "reversible", "sequen
 class Config:
     """Settings; sections of the file become prefixes of the names."""
 
+    # The defaults.
     model: str = MID
     model_overridden: bool = False
     max_tokens: int = 8192
