@@ -235,10 +235,14 @@ def components(docs: DataFrame, rows: DataFrame, least: Similarity) -> DataFrame
     met = side(many, "a").join(smaller, "key").where((F.struct("an", "a") > F.struct("bn", "b")) & follow & apart)
     pairs = pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     more = _verified(docs, known, pairs, least)
-    discard(member, rarest, few, many, roots)
-    roots = least_reachable(links.unionByName(more))
+    discard(member, rarest, few, many, links)
+    if not more.isEmpty():
+        stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        joined = least_reachable(stars.unionByName(more))
+        discard(roots)
+        roots = joined
     of = known.join(roots, F.col("id") == F.col("node"), "left").select("sid", F.coalesce("root", "id").alias("component"), F.col("doc_id").alias("own"))
     lowest = of.groupBy("component").agg(F.min("own").alias("in_component"))
     found = settle(rows.select("doc_id", "digest", "sid", "n").join(of.join(lowest, "component").drop("own"), "sid").drop("sid"))
-    discard(known, links, more, roots)
+    discard(known, more, roots)
     return found

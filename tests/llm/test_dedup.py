@@ -123,3 +123,16 @@ def test_links_in_large_buckets_and_long_chains(spark, radius):
     for v in values:
         mine[found.get(v, v)].add(v)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_a_round_of_components_is_one_query(spark, monkeypatch):
+    """The driver keeps plans and tasks of every query: a path of 300 and a hub take a few, not eight a round."""
+    calls, settle = [], simhash.settle
+    monkeypatch.setattr(simhash, "settle", lambda *a: calls.append(1) or settle(*a))
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(300)]
+    found = {r.node: r.root for r in simhash.least_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(301)}
+    assert len(calls) <= 12
+    calls.clear()
+    assert simhash.least_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert len(calls) == 2
