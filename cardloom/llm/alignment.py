@@ -8,7 +8,8 @@ each unit once.
 
 All else is relational.  Tokens of a chunk of units are exploded with their places, running sums of their
 lengths give where they end, an equi-join on chunk and end finds the cuts, running counts of cuts give the
-groups, links are counted by their pair of ids, and joins bring the figures back to the units of each block.
+groups, links are counted by their pair of ids, and a join brings the figures back to the units of each block:
+packed by block before they are sent, as that is a third of their size as rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +38,9 @@ SETTINGS = {
 }
 #: Row groups of few rows where rows are large, as a reader takes up to a row group at a time.
 LARGE_ROWS = {"parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1"}
-#: Figures of a unit that its text adds up.
+#: Figures of a unit that its text adds up, and rows that a worker packs at a time.
 FIGURES = ("n_a", "n_best", "count_sum")
+PACK = 1 << 19
 MARK = "▁"
 UNIT = pa.struct([("unit", pa.string()), ("times", pa.int64())])
 DOC = pa.struct([("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
@@ -223,6 +226,8 @@ def chunks(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.Rec
 
 BLOCKS = "block long, docs array<struct<doc_id: long, units: array<int>>>, units array<struct<unit: string, times: long>>"
 TOKENS = "array<struct<id: int, size: int, number: int>>"
+PACKS = "block long, n long, size long, pack binary"
+LOOKED_UP = "doc_id long, n_a long, n_best long, count_sum long, n_b long, n_groups long, groups string"
 CHUNKS = f"chunk long, units array<struct<unit: string, times: long>>, a {TOKENS}, b {TOKENS}"
 
 
@@ -267,11 +272,78 @@ def spelt(places: DataFrame) -> DataFrame:
     return units.select("chunk", "number", groups.alias("groups"), F.size(F.split(F.array_join("a", ","), ",")).alias("n_a"))
 
 
-def _looked_up(table: Column, doc: Column) -> Column:
-    """doc_id, groups and added up FIGURES of a text, from those of its units."""
-    total = lambda name: F.aggregate(doc["units"], F.lit(0).cast("long"), lambda sum, i: sum + table[i][name]).alias(name)
-    groups = F.array_join(F.transform(doc["units"], lambda i: table[i]["groups"]), ";").alias("groups")
-    return F.struct(doc["doc_id"].alias("doc_id"), *map(total, FIGURES), groups)
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, n, size, pack: the n units of a block among up to PACK rows (block, number, FIGURES, groups), as compressed columns."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= PACK:
+            yield _packs(held)
+            held, rows = [], 0
+    if rows:
+        yield _packs(held)
+
+
+def _packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("number", "ascending")])
+    block = table.column("block").to_numpy()
+    start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    bound, size, packs = np.append(start, len(block)), [], []
+    values = [table.column(c).to_numpy().astype("<i8") for c in ("number", *FIGURES)]
+    said = table.column("groups").combine_chunks()
+    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        data = b"".join([*(v[a:b].tobytes() for v in values), "\n".join(said.slice(a, b - a).to_pylist()).encode()])
+        size.append(len(data))
+        packs.append(pa.compress(data, codec="zstd", asbytes=True))
+    return pa.record_batch([pa.array(block[start]), pa.array(np.diff(bound)), pa.array(size, pa.int64()), pa.array(packs, pa.binary())], ["block", "n", "size", "pack"])
+
+
+class Table(NamedTuple):
+    """The units of a block by their number: FIGURES, n_b and n_groups in columns, and groups."""
+
+    figures: np.ndarray
+    groups: pa.Array
+
+
+def _table(packs: list[tuple[int, int, bytes]]) -> Table:
+    columns, said = [], []
+    for n, size, pack in packs:
+        data = pa.decompress(pack, decompressed_size=size, codec="zstd", asbytes=True)
+        end = 8 * n * (1 + len(FIGURES))
+        columns.append(np.frombuffer(data[:end], "<i8").reshape(1 + len(FIGURES), n))
+        said.append(pa.array(data[end:].decode().split("\n"), pa.large_string()))
+    both, groups = np.concatenate(columns, 1), pa.concat_arrays(said)
+    order = np.argsort(both[0])
+    both, groups = both[1:, order], groups.take(pa.array(order))
+    # A group ends with a link, and has a comma between any two tokens of one side.
+    n_groups, commas = (pc.count_substring(groups, mark).to_numpy(zero_copy_only=False).astype(np.int64) for mark in "|,")
+    return Table(np.stack([*both, commas + 2 * n_groups - both[0], n_groups]), groups)
+
+
+def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, FIGURES, n_b, n_groups and groups of texts; a block's packs come before its docs."""
+    block, packs, table = None, [], None
+    for batch in batches:
+        for i in range(len(batch)):
+            row = batch.slice(i, 1)
+            number, n, size, pack = (row.column(k)[0].as_py() for k in range(4))
+            if number != block:
+                block, packs, table = number, [], None
+            if pack is not None:
+                packs.append((n, size, pack))
+                continue
+            if table is None:
+                table = _table(packs) if packs else Table(np.zeros((len(FIGURES) + 2, 0), np.int64), pa.array([], pa.large_string()))
+                packs = []
+            docs = row.column(4).flatten()
+            units = docs.field(1)
+            at = units.offsets.to_numpy().astype(np.int64)
+            at, which = at - at[0], units.flatten()
+            added = [np.diff(np.append(0, np.cumsum(f[which.to_numpy()]))[at]) for f in table.figures]
+            groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), table.groups.take(which)), pa.scalar(";", pa.large_string()))
+            yield pa.record_batch([docs.field(0), *map(pa.array, added), groups.cast(pa.string())], ["doc_id", *FIGURES, "n_b", "n_groups", "groups"])
+        pa.default_memory_pool().release_unused()
 
 
 def align(docs: DataFrame, a: str, b: str) -> DataFrame:
@@ -288,7 +360,8 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     gives no rows.
 
     The units of a block are one row, its texts, or a single longer one, are rows of BLOCK bytes, so a task holds
-    about ten bytes for each byte of such a row, and five for each of a block.  A unit (a stretch without a space) goes to the tokenizers whole.  A hot
+    about ten bytes for each byte of such a row, and five for each of a block.  Figures come back in packs, up to one for
+    each block and PACK rows of a task, and a worker holds those of one block.  A unit (a stretch without a space) goes to the tokenizers whole.  A hot
     unit has one row for each block, a hot pair of ids one for each unit that holds it, and what is left of both
     is split as skewed joins are.  Runs jobs when it is called; the result reads two of the folders they write.
     """
@@ -314,16 +387,13 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
         remove(spark, path)
 
     # The texts of a block look their units up by number.
-    table = units.select("block", "number", "u.unit").join(figures, "unit").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", *FIGURES, "groups"))).alias("table"))
-    table, _ = _written(table, "tables", LARGE_ROWS)
+    rows = units.select("block", "number", "u.unit").join(figures, "unit").select("block", "number", *FIGURES, "groups")
+    packs, _ = _written(rows.mapInArrow(packed, PACKS), "packs")
     remove(spark, fourth)
-    rows = made.select("block", "docs").join(table, "block", "left")
-    rows = rows.select(F.explode(F.transform("docs", lambda d: _looked_up(F.col("table"), d))).alias("d")).select("d.*")
-    # A group ends with a link, and has a comma between any two tokens of one side.
-    times = lambda mark: F.length("groups") - F.length(F.replace("groups", F.lit(mark)))
-    n_groups = times("|").cast("long")
-    n_b = times(",") + 2 * n_groups - F.col("n_a")
-    return rows.select("doc_id", "n_a", n_b.alias("n_b"), n_groups.alias("n_groups"), n_groups.alias("n_links"), "n_best", "count_sum", "groups")
+    sent = made.select("block", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("pack"), "docs")
+    sent = packs.withColumn("docs", F.lit(None).cast(sent.schema["docs"].dataType)).unionByName(sent)
+    rows = sent.repartition("block").sortWithinPartitions("block", F.col("docs").isNotNull()).mapInArrow(looked_up, LOOKED_UP)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")
 
 
 def _written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:

@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from cardloom.llm import alignment, period_runs, superminhash
 from cardloom.llm.pieces import byte_letters
@@ -88,6 +90,30 @@ def test_alignment_of_awkward_texts(spark, tmp_path, monkeypatch):
     assert alignment.align(documents(spark, []), "byte_bpe_50k.json", "piece_bpe_32k.model").count() == 0
 
 
+def test_figures_of_units_travel_packed(monkeypatch):
+    """As rows they took 66 bytes each of the shuffle; texts read them from several packs of a block, in any order."""
+    rnd = np.random.default_rng(3)
+    rows = [(k % 3, k // 3, int(rnd.integers(1, 4)), int(rnd.integers(0, 3)), int(rnd.integers(1, 1 << 20)), f"{rnd.integers(50_000)},{rnd.integers(50_000)}|{rnd.integers(32_000)};3|4,5") for k in range(60_000)]
+    names = ["block", "number", *alignment.FIGURES, "groups"]
+    sent = [pa.record_batch([pa.array(c) for c in zip(*(rows[i] for i in part), strict=True)], names) for part in np.array_split(rnd.permutation(len(rows)), 9)]
+    monkeypatch.setattr(alignment, "PACK", 20_000)
+    packs = pa.Table.from_batches(alignment.packed(iter(sent)))
+    assert len(packs) == 9 and sum(packs.column("n").to_pylist()) == len(rows)
+    assert sum(map(len, packs.column("pack").to_pylist())) < 30 * len(rows)
+
+    docs = [{"doc_id": 7, "units": [5, 0, 5]}, {"doc_id": None, "units": []}, {"doc_id": 8, "units": [19_999]}]
+    kind = pa.list_(alignment.DOC)
+    mine = packs.filter(pc.equal(packs.column("block"), 1)).append_column("docs", pa.nulls(3, kind)).combine_chunks().to_batches()[0]
+    of = pa.record_batch([pa.array([1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([docs], kind)], mine.schema.names)
+    got = pa.Table.from_batches(alignment.looked_up(iter([mine, of]))).to_pylist()
+    unit = {n: x for b, n, *x in rows if b == 1}
+    for doc, found in zip(docs, got, strict=True):
+        own = [unit[i] for i in doc["units"]]
+        want = {c: sum(x[k] for x in own) for k, c in enumerate(alignment.FIGURES)}
+        n_b = sum(x[3].count(",") + 2 * x[3].count("|") - x[0] for x in own)
+        assert found == {"doc_id": doc["doc_id"], **want, "n_b": n_b, "n_groups": 2 * len(own), "groups": ";".join(x[3] for x in own)}
+
+
 def test_units_begin_where_both_tokenizers_end(spark):
     buf = np.frombuffer(" a  b\n c   d".encode(), np.uint8)
     assert alignment.unit_starts(buf, np.array([0, len(buf)])).tolist() == [0, 2, 8]
