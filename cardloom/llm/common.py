@@ -8,9 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cardloom.settling import discard, lean, remove, settle, shared_dir, work_path
+from cardloom.settling import discard, lean, remove, settle, shared_dir, under, work_path
 
-__all__ = ["SPACES", "STEP", "WORD", "discard", "lean", "lower_ascii", "remove", "settle", "shared_dir", "steps", "text_of", "work_path"]
+__all__ = ["SPACES", "STEP", "WORD", "discard", "lean", "lower_ascii", "remove", "settle", "shared_dir", "steps", "text_of", "under", "work_path"]
 
 #: Bytes that separate words: space and U+0009 to U+000D.  Python's bytes.split() uses the same six.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -74,18 +74,19 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, largest: int = 256, group: int = 128) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, largest: int = 256, group: int = 128, bits: int = 21) -> DataFrame:
     """Pieces of every text's ids and end_id, each with its place in a sequence of at most capacity tokens.
 
     docs: doc_id, text (null: empty); other columns are ignored, and every row is a document of its own,
     whatever its doc_id (null included).  A document's ids go, capacity at a time, to windows of their
     own; the rest is cut into pieces of at most `largest` ids, and whenever `group` windows' worth of
-    pieces has gathered, differencing deals them out.  Memory is bounded by one group.  No shuffle; an
-    empty table gives no rows.  ids: little-endian u32.
+    pieces has gathered, differencing deals them out.  Memory is bounded by one group and the table of
+    pieces, which forgets them all when 0.6 * 2**bits are held.  No shuffle; an empty table gives no rows.
+    ids: little-endian u32.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, bits)
         sequence = TaskContext.get().partitionId() * STRIDE
         out: list[tuple] = []
         rest: list[tuple] = []

@@ -12,12 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm import packing, quality, secret_scan
-from cardloom.llm.common import lean, lower_ascii, remove, text_of, work_path
+from cardloom.llm.common import lean, lower_ascii, remove, text_of, under, work_path
 from cardloom.llm.exact_dedup import exact_duplicates
 from cardloom.llm.near_texts import similar_texts
 from cardloom.llm.queries import TOKENIZER, table
 from cardloom.llm.simhash import text_hash
 
+#: Python gets so many bytes at a time: a batch takes memory in the executor and in its worker, and a worker lives through all stages.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
+#: Slots of the packing worker's table of pieces, as a power of two.
+BITS = 19
+
 
 def _row_key(digest: Column) -> Column:
     """Tells rows apart, also where doc_ids repeat or are null."""
@@ -37,6 +42,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts are scored as empty ones; rows that repeat share a score; other columns stay as they are.
     """
+    docs = under(docs, BATCHES)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.scored(F.col("text"), model) >= 0.5)
 
@@ -57,6 +63,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least digest of the text; of rows that repeat one stays.
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    docs = under(docs, BATCHES)
     least = similar_texts(docs).groupBy("component").agg(F.min(order).alias("w"))
     return _only(docs, text_hash(), least.select("w.doc_id", "w.digest"))
 
@@ -64,7 +71,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced by their kinds; n_chars follows where the text changed.  Null texts stay null."""
     hidden = secret_scan.redacted(F.col("text"))
-    rows = docs.withColumn("text", F.struct(F.col("text").alias("old"), hidden.alias("new")))
+    rows = under(docs, BATCHES).withColumn("text", F.struct(F.col("text").alias("old"), hidden.alias("new")))
     if "n_chars" in docs.columns:
         changed = ~F.col("text.old").eqNullSafe(F.col("text.new"))
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text.new").cast("long")).otherwise(F.col("n_chars")))
@@ -73,7 +80,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, empty and null texts included, in sequences of at most 1024 tokens."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(under(docs, BATCHES), TOKENIZER, bits=BITS)
 
 
 STAGES = [

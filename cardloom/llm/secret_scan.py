@@ -143,8 +143,8 @@ class Index:
 
     def __init__(self, wanted: set[str]):
         self.names = sorted(wanted)
-        self.slot = np.full(1 << 24, -1, np.int16)
-        for i, t in enumerate(self.names):
+        self.slot = np.zeros(1 << 24, np.int16)  # 0: not wanted; pages without a wanted trigram take no memory
+        for i, t in enumerate(self.names, 1):
             a, b, c = t.encode("latin-1")
             self.slot[a << 16 | b << 8 | c] = i
         lower = np.arange(256, dtype=np.uint32)
@@ -160,11 +160,11 @@ class Index:
         for start in range(0, len(buf) - 2, STEP):
             b = self.lower[buf[start : start + STEP + 2]]
             found = self.slot[b[:-2] << 16 | b[1:-1] << 8 | b[2:]]
-            at = np.flatnonzero(found >= 0)
+            at = np.flatnonzero(found)
             row = np.searchsorted(offsets, start + at, "right") - 1
             inside = start + at + 2 < offsets[row + 1]
             kind, row = found[at[inside]], row[inside]
-            for i, t in enumerate(self.names):
+            for i, t in enumerate(self.names, 1):
                 out[t][row[kind == i]] = True
         return out
 

@@ -41,15 +41,20 @@ def _in(session, df: DataFrame, spark: SparkSession) -> DataFrame:
     return DataFrame(made, spark)
 
 
+def under(df: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """The same rows in a copy of the session with these settings.  The caller's session and its other queries keep theirs."""
+    copy = df.sparkSession._jsparkSession.cloneSession()
+    for name, value in settings.items():
+        copy.conf().set(name, value)
+    return _in(copy, df, SparkSession(df.sparkSession.sparkContext, copy))
+
+
 def lean(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """The same rows in a copy of the session under which shuffle files go when an action or a write has ended.
 
-    settings: more of that copy's settings.  The caller's session and its other queries keep theirs.
+    settings: more of that copy's settings.
     """
-    copy = df.sparkSession._jsparkSession.cloneSession()
-    for name, value in {CLEANUP: "true", **(settings or {})}.items():
-        copy.conf().set(name, value)
-    return _in(copy, df, SparkSession(df.sparkSession.sparkContext, copy))
+    return under(df, {CLEANUP: "true", **(settings or {})})
 
 
 def settle(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
